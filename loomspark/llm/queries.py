@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspark.llm.lang_id import lang_id
 from loomspark.llm.quality import quality
 from loomspark.llm.secret_scan import secret_scan
+from loomspark.llm.simhash import simhash_groups
 from loomspark.llm.token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -51,7 +51,11 @@ def _is_slot(form: str) -> str:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """One row for each window: its position ``pos``, hash ``h``, and ``slots``, its words, if it holds placeholders."""
+    """``rows`` with ``__windows``: for each window its hash ``h``, and ``slots``, its words, if it holds placeholders.
+
+    Explode it with ``posexplode_outer``: for an inner one the optimizer infers a filter on the array's size, pushes it
+    below these projections, and so evaluates them all again inside it.
+    """
     at = lambda name: ", ".join(f"{name}[i + {k}]" for k in range(WORDS))
     slotted = " or ".join(_is_slot(f"__form[i + {k}]") for k in range(WORDS))
     rows = rows.withColumn("__hash", F.expr("transform(__form, x -> xxhash64(x))")).withColumn("__any", F.expr(f"exists(__form, x -> {_is_slot('x')})"))
@@ -63,7 +67,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """``h, item_id, item_pos, total, item_slots, item_types``: windows of the items that are literal enough; ``total`` counts an item's."""
     rows = _windows(_templates(items.where("item_id is not null").selectExpr("cast(item_id as long) item_id", "text")))
-    rows = rows.select("item_id", "__form", F.posexplode("__windows").alias("item_pos", "w"))
+    rows = rows.select("item_id", "__form", F.posexplode_outer("__windows").alias("item_pos", "w"))
     types = F.expr(f"slice(__form, item_pos + 1, {WORDS})")
     rows = rows.select("item_id", "item_pos", "w.h", F.col("w.slots").alias("item_slots"), types.alias("item_types"))
     literal = F.expr(f"size(filter(item_types, x -> not {_is_slot('x')}))")
@@ -78,7 +82,7 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     if windows.count() <= BROADCAST:
         windows = F.broadcast(windows)
     rows = _windows(_templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode("__windows").alias("pos", "w")).select("doc_id", "text_key", "pos", "w.h", "w.slots")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer("__windows").alias("pos", "w")).select("doc_id", "text_key", "pos", "w.h", "w.slots")
     return rows.join(windows, "h").drop("h")
 
 

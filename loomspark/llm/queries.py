@@ -15,6 +15,7 @@ from loomspark.llm.mixing import mixed
 from loomspark.llm.quality import quality
 from loomspark.llm.secret_scan import secret_scan
 from loomspark.llm.simhash import simhash_groups
+from loomspark.llm.style_tree import main_text
 from loomspark.llm.token_counts import token_counts
 
 
@@ -26,6 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 

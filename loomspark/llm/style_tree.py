@@ -127,6 +127,7 @@ def importance(pages: DataFrame) -> DataFrame:
     unit = F.log("m")
     own = F.when(F.col("m") > 1, (unit - F.col("s_log") / F.col("m")) / unit).otherwise(1.0)
     nodes = nodes.select("host", "path", "m", own.alias("style"), F.when(F.col("m") > 1, F.col("c_n") - F.col("c_log") / unit).otherwise(F.col("c_n")).alias("fresh"), "c_n")
+    nodes, _ = stash(nodes, "styles")
     # Each path's contents count for it and for the paths above it.
     steps = F.split("path", "/")
     above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/")))

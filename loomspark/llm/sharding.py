@@ -12,6 +12,8 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._tables import stash
+
 #: Hash bits, byte limit of a shard, bits of a cell beyond those that an even spread needs, further bits at a time.
 BITS, LIMIT, FINE, DEEPER = 60, 64 << 20, 5, 12
 #: Directory entries (of about 40 bytes) up to which the directory is broadcast.
@@ -47,7 +49,7 @@ def directory(sized: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
     top, found = 0, []
     while True:
         cells = sized.groupBy(prefix(F.col("__bits"), depth).alias("cell")).agg(F.count("*").alias("n"), F.sum("__bytes").alias("bytes"))
-        leaves = _leaves(cells, top, depth, limit).persist()
+        leaves, _ = stash(_leaves(stash(cells, "cells")[0], top, depth, limit), "leaves")
         found.append((depth, leaves.where("__depth is not null or " + ("true" if depth == BITS else "false"))))
         rest = leaves.where("__depth is null").select("cell")
         if depth == BITS or rest.isEmpty():

@@ -1,11 +1,531 @@
-"""Every registered query of the engine with its SQL."""
+"""Every registered query of the engine with its SQL.
+
+The events table stands in for sensors: a user is a recording, its events are readings at the seconds of their
+timestamps, a score is a fixed function of the value, and errors are the positive class.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.functions import scalars
+from loomspark.operators import events as ev
+from loomspark.operators import features as ft
+from loomspark.operators import learning as ln
+from loomspark.operators import resample as rs
+from loomspark.operators import tables as tb
+from loomspark.operators import windows as wn
+from loomspark.sources import recordings as rec
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "window_stats"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+HOUR, DAY = 3600.0, 86400.0
+STEP = 6 * HOUR
+GRIDS = (wn.Grid("base", 0, 2 * DAY, 2 * DAY), wn.Grid("to", 1, 1.5 * DAY, 18 * HOUR), wn.Grid("ld", 2, 2 * DAY, DAY))
+ZONES = wn.Zones(takeoff=(STEP, DAY), landing=(DAY, STEP), least_s=HOUR, margin=DAY / 2)
+THRESHOLD, K, COOLDOWN, HIT = 0.55, 2, DAY, 2 * DAY
+#: Readings an hour on average, as the rate of count-based features.
+HZ = 1 / (7 * HOUR)
+
+SIG = """sig AS (SELECT user_id AS rec, epoch_us(ts)::DOUBLE / 1e6 AS t, value AS v, event_type, event_id, round(value / (value + 50), 6) AS p,
+  (event_type = 'error')::INT AS y FROM events),
+z AS (SELECT *, t - min(t) OVER (PARTITION BY rec) AS s FROM sig),
+spans AS (SELECT rec, max(s) AS span FROM z GROUP BY rec)"""
+WIN = """grids(grid, grid_id, win, hop) AS (VALUES ('base', 0, 172800::DOUBLE, 172800::DOUBLE), ('to', 1, 129600::DOUBLE, 64800::DOUBLE), ('ld', 2, 172800::DOUBLE, 86400::DOUBLE)),
+w AS (SELECT rec, grid, grid_id, k, k * hop AS ws, k * hop + win AS we FROM (
+  SELECT rec, grid, grid_id, win, hop, unnest(range(floor((span - win + 1e-9) / hop)::BIGINT + 1)) AS k FROM spans, grids WHERE span >= win - 1e-9)),
+x AS (SELECT w.*, z.s, z.v, avg(z.v) OVER q AS mu, stddev_pop(z.v) OVER q AS sd, row_number() OVER (PARTITION BY w.rec, w.grid, w.k ORDER BY z.s) - 1 AS i, count(*) OVER q AS n,
+  lag(z.v) OVER (PARTITION BY w.rec, w.grid, w.k ORDER BY z.s) AS before
+  FROM w JOIN z ON z.rec = w.rec AND z.s BETWEEN ws AND we WINDOW q AS (PARTITION BY w.rec, w.grid, w.k))"""
+CURVE = """by_p AS (SELECT p, sum(y) AS pos, count(*) AS n FROM sig GROUP BY p),
+curve AS (SELECT p, pos, n, sum(pos) OVER q AS tp, sum(n) OVER q AS seen, sum(pos) OVER () AS all_pos, sum(n) OVER () AS all_n FROM by_p WINDOW q AS (ORDER BY p DESC)),
+pr AS (SELECT *, tp / seen AS pre, tp / all_pos AS re FROM curve)"""
+TRIG = f"""r AS (SELECT rec, t, p, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM (SELECT rec, t, max(p) AS p FROM sig GROUP BY rec, t)),
+m AS (SELECT rec, i, t, CASE WHEN p >= {THRESHOLD} THEN 1 ELSE 0 END AS run, (-1e300)::DOUBLE AS last, false AS fired FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.rec, r.i, r.t,
+    CASE WHEN r.t - m.last < {COOLDOWN} OR r.p < {THRESHOLD} OR m.run + 1 >= {K} THEN 0 ELSE m.run + 1 END,
+    CASE WHEN r.t - m.last >= {COOLDOWN} AND r.p >= {THRESHOLD} AND m.run + 1 >= {K} THEN r.t ELSE m.last END,
+    r.t - m.last >= {COOLDOWN} AND r.p >= {THRESHOLD} AND m.run + 1 >= {K}
+  FROM m JOIN r ON r.rec = m.rec AND r.i = m.i + 1),
+fired AS (SELECT rec, t FROM m WHERE fired)"""
+SEG = """isl AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY t) AS row FROM sig),
+isl2 AS (SELECT *, row - row_number() OVER (PARTITION BY rec ORDER BY t) AS island FROM isl WHERE y = 1),
+takeoff AS (SELECT rec, min(t) AS mk FROM sig WHERE event_type = 'purchase' AND rec % 2 = 0 GROUP BY rec),
+seg0 AS (SELECT rec, island, min(row) - 1 AS start_idx, max(row) - 1 AS end_idx, coalesce(any_value(mk), min(t)) AS t_ref FROM isl2 LEFT JOIN takeoff USING (rec) GROUP BY rec, island),
+seg AS (SELECT rec, start_idx, end_idx, t_ref, row_number() OVER (PARTITION BY rec ORDER BY start_idx) - 1 AS seg FROM seg0)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    p = F.round(F.col("value") / (F.col("value") + 50), 6)
+    y = (F.col("event_type") == "error").cast("int")
+    return rows.select(F.col("user_id").alias("rec"), scalars.seconds("ts").alias("t"), F.col("value").alias("v"), "event_type", "event_id", p.alias("p"), y.alias("y"))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in every window that holds them."""
+    s = signal(spark, sf_dir)
+    return wn.windowed(rs.zeroed(s), rs.spans(s), GRIDS)
+
+
+def with_marker(s: DataFrame) -> DataFrame:
+    """A marker for the even recordings: the first purchase."""
+    marks = s.where("event_type = 'purchase' and rec % 2 = 0").groupBy("rec").agg(F.min("t").alias("mk"))
+    return s.join(marks, "rec", "left")
+
+
+def error_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.segments(with_marker(signal(spark, sf_dir)), F.col("y") == 1, F.col("mk"))
+
+
+def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.triggers(signal(spark, sf_dir), THRESHOLD, K, COOLDOWN)
+
+
+# -- resampling and windows ---------------------------------------------------------------------------------------------
+RESAMPLED = f"""c AS (SELECT rec, t, avg(v) AS v FROM sig GROUP BY rec, t),
+e AS (SELECT rec, min(t) AS a, ceil((max(t) - min(t) + {STEP / 2}::DOUBLE) / {STEP}::DOUBLE)::BIGINT AS n FROM c GROUP BY rec),
+b AS (SELECT c.rec, least(floor((t - a) / {STEP}::DOUBLE)::BIGINT, n - 1) AS bin, avg(v) AS mean, max(t - a) AS heard FROM c JOIN e USING (rec) GROUP BY ALL),
+g AS (SELECT rec, unnest(range(n)) AS bin FROM e),
+st AS (SELECT rec, quantile_cont(d, 0.5) AS step FROM (SELECT rec, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS d FROM c) WHERE d > 0 GROUP BY rec)"""
+
+
+@query(f"""WITH {SIG}, {RESAMPLED}
+SELECT g.rec, g.bin, round(CASE WHEN mean IS NOT NULL OR g.bin * {STEP}::DOUBLE - last_value(heard IGNORE NULLS) OVER q <= 5 * step THEN last_value(mean IGNORE NULLS) OVER q END, 6) AS v, mean IS NOT NULL AS obs
+FROM g LEFT JOIN b USING (rec, bin) LEFT JOIN st USING (rec)
+WINDOW q AS (PARTITION BY g.rec ORDER BY g.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def resample_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.resample(signal(spark, sf_dir), STEP).select("rec", "bin", *r6("v"), "obs")
+
+
+@query(f"WITH {SIG}, {RESAMPLED} SELECT g.rec, round(avg((mean IS NOT NULL)::INT), 6) AS coverage FROM g LEFT JOIN b USING (rec, bin) GROUP BY g.rec")
+def bin_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.coverage(rs.resample(signal(spark, sf_dir), STEP, fill=False), "rec").select("rec", *r6("coverage"))
+
+
+@query(f"WITH {SIG}, {RESAMPLED} SELECT rec, round(step, 3) AS step FROM st")
+def median_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.median_step(rs.collapse(signal(spark, sf_dir))).select("rec", F.round("step", 3).alias("step"))
+
+
+@query(f"WITH {SIG}, {WIN} SELECT rec, grid, grid_id, k, ws, we, row_number() OVER (PARTITION BY rec ORDER BY we, grid_id) - 1 AS seq FROM w")
+def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = rs.spans(signal(spark, sf_dir)).select("rec", F.lit(0.0).alias("start"), (F.col("stop") - F.col("start")).alias("stop"))
+    return wn.scheduled(wn.hop_windows(ends, GRIDS)).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"""WITH {SIG}, {WIN}
+SELECT rec, grid, k, count(*) AS n, round(avg(v), 6) AS v_mean, round(stddev_pop(v), 6) AS v_std, min(v) AS v_min, max(v) AS v_max, round(quantile_cont(v, 0.5), 6) AS v_median,
+  round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS v_iqr, round(sqrt(avg(v * v)), 6) AS v_rms, round(max(v) - min(v), 6) AS v_range,
+  round(CASE WHEN count(*) >= 3 AND any_value(sd) > 0 THEN avg(power(v - mu, 3)) / power(any_value(sd), 3) END, 6) AS v_skew,
+  round(CASE WHEN count(*) >= 4 AND any_value(sd) > 0 THEN avg(power(v - mu, 4)) / power(any_value(sd), 4) - 3 END, 6) AS v_kurt
+FROM x GROUP BY rec, grid, k HAVING count(*) >= 3""")
+def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = placed(spark, sf_dir).groupBy("rec", "grid", "k").agg(F.count("v").alias("n"), *ft.statistics("v", "v")).where("n >= 3")
+    rounded = [c for c in out.columns if c.startswith("v_") and c not in ("v_min", "v_max")]
+    return out.select("rec", "grid", "k", "n", "v_min", "v_max", *r6(*rounded))
+
+
+@query(f"""WITH {SIG}, {WIN},
+s AS (SELECT *, CASE WHEN v > 40 THEN 1 WHEN v < -40 THEN -1 ELSE 0 END AS sg FROM x)
+SELECT rec, grid, k, sum((abs(v - mu) > 2 * sd)::INT)::DOUBLE AS v_peakcount,
+  round(CASE WHEN count(*) >= 2 AND stddev_pop(s) > 0 THEN regr_slope(v, s) * 86400 END, 6) AS v_slope_day,
+  round(CASE WHEN max(n) >= 4 THEN avg(v) FILTER (WHERE i >= floor(n / 2)) - avg(v) FILTER (WHERE i < floor(n / 2)) END, 6) AS v_halfdiff,
+  round(CASE WHEN max(n) >= 6 THEN avg(v) FILTER (WHERE i >= n - floor(n / 3)) - avg(v) FILTER (WHERE i < floor(n / 3)) END, 6) AS v_thirddiff,
+  round(CASE WHEN max(n) >= 4 THEN avg(v) FILTER (WHERE i >= floor(n * 0.75)) - avg(v) FILTER (WHERE i < floor(n * 0.75)) END, 6) AS v_recent_diff_25pct,
+  round(CASE WHEN count(*) FILTER (WHERE i >= n - 3) >= 3 THEN regr_slope(v, i) FILTER (WHERE i >= n - 3) END, 6) AS recent_slope,
+  round(CASE WHEN count(*) FILTER (WHERE i >= n - 3) >= 2 THEN stddev_pop(v) FILTER (WHERE i >= n - 3) END, 6) AS recent_std,
+  round(avg(v) FILTER (WHERE i >= n - 3), 6) AS recent_mean, round(max(abs(v)) FILTER (WHERE i >= n - 3), 6) AS recent_max_abs,
+  round(CASE WHEN max(n) >= 4 AND stddev_pop(v) >= 1e-6 THEN least(stddev_pop(v) FILTER (WHERE i >= n - 3) / stddev_pop(v), 100) END, 6) AS ratio_recent_std
+FROM s GROUP BY rec, grid, k""")
+def window_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ft.trends(placed(spark, sf_dir), ["rec", "grid", "k"], "v", "v", 1.0, recent_s=(3.0,))
+    names = {f"v_{n}_3s": n for n in ("recent_slope", "recent_std", "recent_mean", "recent_max_abs", "ratio_recent_std")}
+    out = out.withColumnsRenamed(names).withColumn("v_slope_day", F.col("v_slope") * DAY)
+    return out.select("rec", "grid", "k", "v_peakcount", *r6("v_slope_day", "v_halfdiff", "v_thirddiff", "v_recent_diff_25pct", *names.values()))
+
+
+@query(f"""WITH {SIG}, {WIN}, j AS (SELECT rec, grid, k, v - before AS j FROM x WHERE before IS NOT NULL)
+SELECT rec, grid, k, round(avg(abs(j)), 6) AS jerk_mean, round(stddev_pop(j), 6) AS jerk_std, round(sqrt(avg(j * j)), 6) AS jerk_rms FROM j GROUP BY rec, grid, k""")
+def window_jerk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ft.jerk(placed(spark, sf_dir), ["rec", "grid", "k"], "v", 1.0).select("rec", "grid", "k", *r6("jerk_mean", "jerk_std", "jerk_rms"))
+
+
+@query()
+def window_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = rs.resample(signal(spark, sf_dir), HOUR)
+    grid = (wn.Grid("base", 0, 4 * DAY, 4 * DAY),)
+    return ft.spectral(wn.windowed(bins.select("rec", "s", "v"), rs.spans(signal(spark, sf_dir)), grid), ["rec", "grid", "k"], "v", "", "v", 20.0)
+
+
+@query(f"""WITH {SIG}, {WIN},
+mk AS (SELECT rec, min(s) FILTER (WHERE event_type = 'purchase') AS tk, max(s) FILTER (WHERE event_type = 'signup') AS ld FROM z GROUP BY rec),
+o AS (SELECT w.*, tk, ld, greatest(0, least(we, tk + 86400) - greatest(ws, tk - 21600)) AS o_t, greatest(0, least(we, ld + 21600) - greatest(ws, ld - 86400)) AS o_l,
+  abs((ws + we) / 2 - tk) AS d_t, abs((ws + we) / 2 - ld) AS d_l, greatest(3600, 0.25 * (we - ws)) AS thr FROM w LEFT JOIN mk USING (rec)),
+q AS (SELECT *, coalesce(tk IS NOT NULL AND o_t >= thr, false) AS c_t, coalesce(ld IS NOT NULL AND o_l >= thr, false) AS c_l,
+  coalesce(we BETWEEN tk - 21600 AND tk + 86400, false) AS a_t, coalesce(we BETWEEN ld - 86400 AND ld + 21600, false) AS a_l FROM o)
+SELECT rec, grid, k,
+  CASE WHEN NOT c_t AND NOT c_l THEN 'OTHER' WHEN c_t AND (NOT c_l OR o_t > o_l OR (o_t = o_l AND d_t <= d_l)) THEN 'TAKEOFF' ELSE 'LANDING' END AS by_overlap,
+  CASE WHEN NOT c_t AND NOT c_l THEN 'OTHER' WHEN c_t AND c_l AND d_t <= 43200 AND d_l <= 43200 THEN NULL WHEN c_t AND (NOT c_l OR o_t > o_l OR (o_t = o_l AND d_t <= d_l)) THEN 'TAKEOFF' ELSE 'LANDING' END AS by_overlap_drop,
+  CASE WHEN NOT a_t AND NOT a_l THEN 'OTHER' WHEN a_t AND (NOT a_l OR abs(we - tk) <= abs(we - ld)) THEN 'TAKEOFF' ELSE 'LANDING' END AS by_anchor FROM q""")
+def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir)
+    z = rs.zeroed(s)
+    names = F.when(F.col("event_type") == "purchase", "Takeoff").when(F.col("event_type") == "signup", "Landing")
+    pick = z.withColumn("name", names).where("name is not null").groupBy("rec", "name").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    marks = wn.marker_times(pick.select("rec", "name", F.when(F.col("name") == "Takeoff", F.col("a")).otherwise(F.col("b")).alias("t")))
+    ends = rs.spans(s).select("rec", F.lit(0.0).alias("start"), (F.col("stop") - F.col("start")).alias("stop"))
+    rows = wn.hop_windows(ends, GRIDS).join(marks, "rec", "left")
+    ws, we, to, ld = (F.col(c) for c in ("ws", "we", "t_takeoff", "t_landing"))
+    drop = wn.Zones(**{**ZONES.__dict__, "drop": True})
+    return rows.select("rec", "grid", "k", wn.overlap_label(ws, we, to, ld, ZONES).alias("by_overlap"), wn.overlap_label(ws, we, to, ld, drop).alias("by_overlap_drop"), wn.anchor_label(we, (ws + we) / 2, to, ld, ZONES).alias("by_anchor"))
+
+
+# -- recursive streams --------------------------------------------------------------------------------------------------
+@query(f"""WITH RECURSIVE {SIG},
+r AS (SELECT rec, event_id, s, CASE WHEN event_id % 10 <> 3 THEN v END AS v, row_number() OVER (PARTITION BY rec ORDER BY s) AS i FROM z),
+e AS (SELECT rec, event_id, i, v, v AS m, CASE WHEN v IS NOT NULL THEN 0::DOUBLE END AS q FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.rec, r.event_id, r.i, r.v, CASE WHEN r.v IS NULL THEN m ELSE coalesce(0.2 * r.v + 0.8 * m, r.v) END,
+    CASE WHEN r.v IS NULL THEN q ELSE coalesce(0.2 * power(r.v - coalesce(0.2 * r.v + 0.8 * m, r.v), 2) + 0.8 * q, 0) END
+  FROM e JOIN r ON r.rec = e.rec AND r.i = e.i + 1)
+SELECT rec, event_id, CASE WHEN v IS NOT NULL THEN round(m, 6) END AS ema, CASE WHEN v IS NOT NULL THEN round(q, 5) END AS var, CASE WHEN v IS NOT NULL THEN round((v - m) / sqrt(q + 1e-6), 5) END AS zscore FROM e""")
+def recursive_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rs.zeroed(signal(spark, sf_dir)).select("rec", "event_id", "s", F.when(F.col("event_id") % 10 != 3, F.col("v")).alias("v"))
+    rows = rs.ema_zscore(rs.ema_variance(rs.ema(rows, "v", 0.2, "ema"), "v", 0.2, "var"), "v", 0.2, "zscore")
+    return rows.select("rec", "event_id", F.round("ema", 6).alias("ema"), F.round("var", 5).alias("var"), F.round("zscore", 5).alias("zscore"))
+
+
+@query()
+def motion_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = rs.zeroed(signal(spark, sf_dir)).select("rec", "event_id", "s", F.col("v").alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.81).alias("az"))
+    return rs.dynamic(rs.gravity_aligned(rs.magnitude(axes), 1.0), 1.0)
+
+
+@query()
+def baro_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rs.zeroed(signal(spark, sf_dir)).select("rec", "event_id", "s", (900 + F.col("v") / 10).alias("p"))
+    return rs.pressure_trend(rs.climb_rate(rows, 1.0), 1.0)
+
+
+@query(f"""WITH {SIG}, {WIN} SELECT rec, grid, k, CASE WHEN lag(we) OVER q IS NOT NULL THEN greatest(we - lag(we) OVER q, 0) END AS dt_prev_end_s, round(ln(1 + CASE WHEN lag(we) OVER q IS NOT NULL THEN greatest(we - lag(we) OVER q, 0) END), 6) AS log_dt_prev_end_s
+FROM w WINDOW q AS (PARTITION BY rec, grid ORDER BY we, ws)""")
+def window_end_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = rs.spans(signal(spark, sf_dir)).select("rec", F.lit(0.0).alias("start"), (F.col("stop") - F.col("start")).alias("stop"))
+    rows = rs.end_gaps(wn.hop_windows(ends, GRIDS).withColumnsRenamed({"ws": "t_start", "we": "t_end"}), "rec")
+    return rows.select("rec", "grid", "k", "dt_prev_end_s", *r6("log_dt_prev_end_s"))
+
+
+# -- triggers and events ------------------------------------------------------------------------------------------------
+@query(f"WITH RECURSIVE {SIG}, {TRIG} SELECT rec, t FROM fired")
+def trigger_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fired(spark, sf_dir)
+
+
+@query(f"WITH {SIG}, {SEG} SELECT rec, start_idx, end_idx, t_ref, seg FROM seg")
+def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_segments(spark, sf_dir).select("rec", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), "t_ref", F.col("seg").cast("long").alias("seg"))
+
+
+MATCHED = f"""d AS (SELECT seg.rec, seg, t_ref, fired.t, fired.t - t_ref AS d FROM seg LEFT JOIN fired USING (rec)),
+matched AS (SELECT rec, seg, t_ref, arg_min(d, (abs(d), t)) AS delay_nearest, min(d) FILTER (WHERE d >= 0) AS delay_after, coalesce(max(abs(d) <= {HIT}), false) AS hit,
+  coalesce(max(d >= 0 AND d <= {HIT}), false) AS hit_after, count(t) > 0 AS triggered FROM d GROUP BY rec, seg, t_ref)"""
+
+
+@query(f"WITH RECURSIVE {SIG}, {TRIG}, {SEG}, {MATCHED} SELECT rec, seg, t_ref, round(delay_nearest, 3) AS delay_nearest, round(delay_after, 3) AS delay_after, hit, hit_after, triggered FROM matched")
+def event_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.matches(error_segments(spark, sf_dir), fired(spark, sf_dir), HIT)
+    return out.select("rec", F.col("seg").cast("long").alias("seg"), "t_ref", F.round("delay_nearest", 3).alias("delay_nearest"), F.round("delay_after", 3).alias("delay_after"), "hit", "hit_after", "triggered")
+
+
+@query(f"""WITH RECURSIVE {SIG}, {TRIG}, {SEG}, {MATCHED}, h AS (SELECT *, CASE WHEN hit_after THEN delay_after END AS q FROM matched)
+SELECT count(*) AS n_events, round(avg(hit::INT), 6) AS hit_rate, round(avg(hit_after::INT), 6) AS hit_after_rate, round(avg(q), 2) AS delay_mean, round(quantile_cont(q, 0.5), 2) AS delay_median,
+  round(quantile_cont(q, 0.9), 2) AS delay_p90, round(quantile_cont(q, 0.95), 2) AS delay_p95, round(min(q), 2) AS delay_min, round(max(q), 2) AS delay_max FROM h""")
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.rates(ev.matches(error_segments(spark, sf_dir), fired(spark, sf_dir), HIT))
+    return out.select("n_events", *r6("hit_rate", "hit_after_rate"), *(F.round(c, 2).alias(c) for c in out.columns if c.startswith("delay")))
+
+
+@query(f"""WITH {SIG}, {SEG},
+c AS (SELECT *, sum((p < {THRESHOLD})::INT) OVER (PARTITION BY rec, island ORDER BY row) AS low FROM isl2),
+c2 AS (SELECT *, sum((p >= {THRESHOLD})::INT) OVER (PARTITION BY rec, island, low ORDER BY row) AS streak FROM c),
+f AS (SELECT rec, island, min(row) - 1 AS start_idx, min(t) FILTER (WHERE streak >= {K}) AS tf FROM c2 GROUP BY rec, island)
+SELECT f.rec, f.start_idx, seg0.t_ref, round(tf - t_ref, 3) AS latency, coalesce(abs(tf - t_ref) <= {HIT}, false) AS hit FROM f JOIN seg0 USING (rec, island)""")
+def event_in_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.in_segment(with_marker(signal(spark, sf_dir)), F.col("y") == 1, F.col("mk"), THRESHOLD, K, HIT)
+    return out.select("rec", F.col("start_idx").cast("long").alias("start_idx"), "t_ref", F.round("latency", 3).alias("latency"), "hit")
+
+
+@query(f"""WITH RECURSIVE {SIG}, {TRIG}, h AS (SELECT rec, (max(t) - min(t)) / 3600 AS hours FROM sig WHERE rec % 5 = 0 GROUP BY rec)
+SELECT (SELECT count(*) FROM fired WHERE rec % 5 = 0) AS n_triggers, round(sum(hours), 6) AS hours, round((SELECT count(*) FROM fired WHERE rec % 5 = 0) / sum(hours), 8) AS fp_per_hour FROM h""")
+def false_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.per_hour(fired(spark, sf_dir), ev.hours(signal(spark, sf_dir).where("rec % 5 = 0")))
+    return out.select("n_triggers", *r6("hours"), F.round("fp_per_hour", 8).alias("fp_per_hour"))
+
+
+@query()
+def hit_rate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.bootstrap(ev.matches(error_segments(spark, sf_dir), fired(spark, sf_dir), HIT), 200)
+
+
+# -- metrics and thresholds ---------------------------------------------------------------------------------------------
+@query(f"WITH {SIG}, {CURVE} SELECT round(sum(pos / all_pos * pre), 6) AS pr_auc, round(sum((n - pos) * (tp - pos / 2)) / (max(all_pos) * (max(all_n) - max(all_pos))), 6) AS roc_auc FROM pr")
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.average_precision(signal(spark, sf_dir)).select(*r6("pr_auc", "roc_auc"))
+
+
+@query(f"""WITH {SIG}, c AS (SELECT count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.5 AND y = 0) AS tn FROM sig)
+SELECT tp, fp, fn, tn, round(tp / (tp + fp + 1e-12), 6) AS precision, round(tp / (tp + fn + 1e-12), 6) AS recall,
+  round(5 * (tp / (tp + fp + 1e-12)) * (tp / (tp + fn + 1e-12)) / (4 * (tp / (tp + fp + 1e-12)) + tp / (tp + fn + 1e-12) + 1e-12), 6) AS fbeta FROM c""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confusion(signal(spark, sf_dir), 0.5, 2.0).select("tp", "fp", "fn", "tn", *r6("precision", "recall", "fbeta"))
+
+
+@query(f"""WITH {SIG}, {CURVE}, f AS (SELECT p, lag(p) OVER (ORDER BY p) AS lower, 5 * pre * re / (4 * pre + re + 1e-10) AS f1, 5 * pre * re / greatest(4 * pre + re, 1e-12) AS f2 FROM pr),
+whole AS (SELECT 0::DOUBLE AS p, 5 * avg(y) / (4 * avg(y) + 1) AS f FROM sig)
+SELECT (SELECT p FROM f ORDER BY f1 DESC, p LIMIT 1) AS t_sum, (SELECT coalesce(lower, p) FROM f ORDER BY f2 DESC, coalesce(lower, p) LIMIT 1) AS t_before,
+  (SELECT p FROM (SELECT p, f2 AS f FROM f UNION ALL SELECT * FROM whole) ORDER BY f DESC, p LIMIT 1) AS t_ends,
+  (SELECT min(p) FROM pr WHERE re >= 0.8) AS t_recall, (SELECT max(p) FROM pr WHERE re >= 0.8) AS t_recall_best""")
+def best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir)
+    out = None
+    for name, df in [*((f"t_{v}", ev.best_threshold(s, 2.0, v)) for v in ("sum", "before", "ends")), ("t_recall", ev.recall_threshold(s, 0.8)), ("t_recall_best", ev.recall_threshold(s, 0.8, True))]:
+        df = df.select(F.col("threshold").alias(name))
+        out = df if out is None else out.crossJoin(df)  # a row each
+    return out
+
+
+CUTS = ", ".join(str(i / 31) for i in range(32))
+
+
+@query(f"""WITH {SIG}, q AS (SELECT unnest(quantile_cont(p, [{CUTS}])) AS t FROM sig UNION ALL SELECT i / 15 FROM range(16) AS r(i))
+SELECT DISTINCT round(least(greatest(t, 0), 1), 9) AS threshold FROM q""")
+def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.candidates(signal(spark, sf_dir), 32).select(F.round("threshold", 9).alias("threshold")).distinct()
+
+
+@query()
+def budget_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir)
+    options = ev.candidates(s, 32)
+    values = [r.threshold for r in options.collect()]  # 48 at most
+    quiet = ev.hours(s.where("rec % 5 = 0"))
+    return ev.budget_threshold(ev.sweep(s, values, K, COOLDOWN), options, quiet, error_segments(spark, sf_dir), 0.02, HIT)
+
+
+# -- feature tables -----------------------------------------------------------------------------------------------------
+TAB = "tab AS (SELECT event_id, rec, t, y, p, event_type, CASE WHEN event_type <> 'view' THEN v END AS f1, CASE WHEN event_id % 3 > 0 THEN (event_id % 17)::DOUBLE END AS f2, 1::DOUBLE AS f3 FROM sig)"
+FEATURES = ("f1", "f2", "f3")
+
+
+def tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir)
+    f1, f2 = F.when(F.col("event_type") != "view", F.col("v")), F.when(F.col("event_id") % 3 > 0, (F.col("event_id") % 17).cast("double"))
+    return s.select("event_id", "rec", "t", "y", "p", "event_type", f1.alias("f1"), f2.alias("f2"), F.lit(1.0).alias("f3"))
+
+
+@query(f"""WITH {SIG}, {TAB} SELECT event_id, (f1 IS NOT NULL)::DOUBLE AS has_a, (f2 IS NOT NULL)::DOUBLE AS has_b, round(((f1 IS NOT NULL)::INT + (f2 IS NOT NULL)::INT) / 2, 6) AS ab_coverage,
+  coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2, f3 FROM tab""")
+def missing_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tb.missingness(tab(spark, sf_dir), FEATURES, {"a": ["f1"], "b": ["f2"]}, {"ab": ["f1", "f2"]})
+    return out.select("event_id", "has_a", "has_b", *r6("ab_coverage"), *FEATURES)
+
+
+@query(f"WITH {SIG}, {TAB} SELECT event_id, (f1 IS NULL)::INT AS m__f1, (f2 IS NULL)::INT AS m__f2 FROM tab")
+def missing_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tb.masks(tab(spark, sf_dir), FEATURES)
+    return out.select("event_id", *(c for c in out.columns if c.startswith("m__")))
+
+
+@query(f"""WITH {SIG}, {TAB}, u AS (UNPIVOT (SELECT event_type, f1, f2, f3 FROM tab) ON f1, f2, f3 INTO NAME feature VALUE x)
+SELECT event_type, feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM u GROUP BY ALL""")
+def scaler_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tb.fit_scaler(tab(spark, sf_dir), FEATURES, "event_type").where("mean is not null")
+    return out.select("event_type", "feature", *r6("mean", "std"))
+
+
+@query(f"""WITH {SIG}, {TAB}, a AS (SELECT avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f2) AS m2, stddev_pop(f2) AS s2 FROM tab)
+SELECT event_id, round(coalesce((f1 - m1) / s1, 0), 6) AS f1, round(coalesce((f2 - m2) / s2, 0), 6) AS f2, 0::DOUBLE AS f3 FROM tab, a""")
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tab(spark, sf_dir)
+    return tb.scale(t, tb.fit_scaler(t, FEATURES), FEATURES, "mean", 1e-8).select("event_id", *r6(*FEATURES))
+
+
+@query(f"""WITH {SIG}, {TAB}, a AS (SELECT quantile_cont(f1, 0.5) AS m1, quantile_cont(f2, 0.5) AS m2 FROM tab WHERE rec % 2 = 0)
+SELECT event_id, round(coalesce(f1, m1), 6) AS f1, coalesce(f2, m2) AS f2 FROM tab, a""")
+def median_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tab(spark, sf_dir)
+    return tb.impute(t, tb.fit_medians(t.where("rec % 2 = 0"), tb.varying(t, FEATURES))).select("event_id", *r6("f1"), "f2")
+
+
+@query(f"""WITH {SIG}, {TAB}, a AS (SELECT avg((f1 IS NULL)::INT) AS f1, avg((f2 IS NULL)::INT) AS f2, avg((f3 IS NULL)::INT) AS f3 FROM tab),
+u AS (UNPIVOT a ON f1, f2, f3 INTO NAME feature VALUE share) SELECT feature, round(share, 6) AS share FROM u WHERE share > 0.05 ORDER BY share DESC LIMIT 10""")
+def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.missing_shares(tab(spark, sf_dir), FEATURES).select("feature", *r6("share"))
+
+
+@query(f"WITH {SIG} SELECT event_type AS label, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM sig GROUP BY event_type")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = signal(spark, sf_dir).groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+    return n.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query(f"WITH {SIG} SELECT round(least((count(*) - sum(y)) / sum(y), 3.5), 6) AS pos_weight FROM sig")
+def positive_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.positive_weight(signal(spark, sf_dir), "y", 3.5).select(*r6("pos_weight"))
+
+
+@query(f"""WITH {SIG}, mk AS (SELECT rec, min(s) AS tk FROM z WHERE event_type = 'purchase' GROUP BY rec),
+q AS (SELECT event_id, y, CASE WHEN y = 0 THEN CASE WHEN coalesce(abs(s - tk), 1e9) <= 86400 THEN 1::DOUBLE WHEN coalesce(abs(s - tk), 1e9) <= 432000 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END END AS w FROM z LEFT JOIN mk USING (rec))
+SELECT event_id, round(coalesce(w, greatest(sum(w) OVER () / greatest(sum(y) OVER (), 1), 1e-12)), 6) AS weight FROM q""")
+def distance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = rs.zeroed(signal(spark, sf_dir))
+    marks = z.where("event_type = 'purchase'").groupBy("rec").agg(F.min("s").alias("tk"))
+    rows = z.join(marks, "rec", "left").withColumn("dist", F.col("s") - F.col("tk"))
+    return tb.distance_weights(rows, "y", "dist", DAY, 5 * DAY, 0.5, 0.1).select("event_id", *r6("weight"))
+
+
+DRAW = "(('0x' || substr(md5('42:' || event_id), 1, 12))::BIGINT::DOUBLE / 281474976710656)"
+
+
+@query(f"WITH {SIG}, n AS (SELECT event_id, y, row_number() OVER (PARTITION BY y ORDER BY {DRAW}, event_id) AS i, (SELECT 2 * sum(y) FROM sig) AS k FROM sig) SELECT event_id, y FROM n WHERE y = 1 OR i <= k")
+def undersampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.undersample(signal(spark, sf_dir), "y", 2, "event_id").select("event_id", "y")
+
+
+@query(f"WITH {SIG} SELECT event_id FROM sig WHERE {DRAW} < 0.3")
+def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.keep(signal(spark, sf_dir), 0.3, "event_id").select("event_id")
+
+
+@query(f"WITH {SIG} SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY rec ORDER BY t, event_id) - 1 AS i FROM sig) WHERE i % 3 = 0")
+def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.thin(signal(spark, sf_dir), 3, "rec", "t", "event_id").select("event_id")
+
+
+@query(f"WITH {SIG} SELECT event_id, unnest(range(1, CASE WHEN y = 1 THEN 4 ELSE 2 END))::INT AS copy FROM sig")
+def oversampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.oversample(signal(spark, sf_dir), "y", 3).select("event_id", "copy")
+
+
+# -- sequences, sessions, splits ----------------------------------------------------------------------------------------
+@query(f"""WITH {SIG}, g AS (SELECT *, t - lag(t) OVER q AS gap, row_number() OVER q - 1 AS i, lag(event_type, 2) OVER q AS lb, lag(t, 2) OVER q AS tl FROM sig WINDOW q AS (PARTITION BY rec ORDER BY t)),
+l AS (SELECT rec, 2.5 * coalesce(quantile_cont(gap, 0.5), 60) AS lim FROM g GROUP BY rec),
+r AS (SELECT *, max(gap) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS widest FROM g)
+SELECT rec, i - 4 AS start, t AS t_detect, tl AS t_label, lb AS label FROM r JOIN l USING (rec) WHERE i >= 4 AND widest <= lim""")
+def window_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signal(spark, sf_dir).select("rec", F.col("t").alias("t_detect"), F.col("t").alias("t_label"), F.col("event_type").alias("label"))
+    return wn.sequences(rows, 5, 0, "rec").select("rec", F.col("start").cast("long").alias("start"), "t_detect", "t_label", "label")
+
+
+@query(f"WITH {SIG}, j AS (SELECT *, coalesce((s - lag(s) OVER (PARTITION BY rec ORDER BY s) > 36000)::INT, 0) AS j FROM z) SELECT event_id, (sum(j) OVER (PARTITION BY rec ORDER BY s))::BIGINT AS session FROM j")
+def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.sessions(rs.zeroed(signal(spark, sf_dir)), 10 * HOUR).select("event_id", "session")
+
+
+@query(f"""WITH {SIG}, i AS (SELECT rec, v, row_number() OVER (PARTITION BY rec ORDER BY t) AS row FROM sig), f AS (SELECT rec, row - row_number() OVER (PARTITION BY rec ORDER BY row) AS island FROM i WHERE v > 50),
+l AS (SELECT rec, max(n) / 2 AS seconds FROM (SELECT rec, island, count(*) AS n FROM f GROUP BY ALL) GROUP BY rec) SELECT DISTINCT sig.rec, coalesce(seconds, 0)::DOUBLE AS seconds FROM sig LEFT JOIN l USING (rec)""")
+def longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.longest_run(signal(spark, sf_dir), F.col("v") > 50, ["t"], 2.0)
+
+
+@query(f"""WITH {SIG}, c AS (SELECT rec, span, greatest(1, ceil(span / 604800))::BIGINT AS n FROM spans), i AS (SELECT *, unnest(range(n)) AS i FROM c)
+SELECT rec, CASE WHEN n > 1 THEN printf('%s#chunk%04d', rec::VARCHAR, i) ELSE rec::VARCHAR END AS chunk, i * 604800::DOUBLE AS start, round(least(span, (i + 1) * 604800), 6) AS stop FROM i""")
+def recording_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = rs.spans(signal(spark, sf_dir)).select("rec", F.lit(0.0).alias("start"), (F.col("stop") - F.col("start")).alias("stop"))
+    return wn.chunks(ends, 7 * DAY).select("rec", "chunk", "start", *r6("stop"))
+
+
+@query(f"""WITH {SIG}, s AS (SELECT *, max((event_type = 'error' AND rec % 3 > 0)::INT) OVER (PARTITION BY rec) = 0 AS q FROM z)
+SELECT event_id, rec::VARCHAR AS stream_id, q AS is_nonflight, CASE WHEN q THEN rec::VARCHAR || '__nf' || lpad(floor(s / 604800)::BIGINT::VARCHAR, 4, '0') ELSE rec::VARCHAR END AS group_id FROM s""")
+def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signal(spark, sf_dir)
+    return wn.streams(rows, (F.col("event_type") == "error") & (F.col("rec") % 3 > 0), 7 * DAY).select("event_id", "stream_id", "is_nonflight", "group_id")
+
+
+GROUPS = "gr AS (SELECT rec, round((max(t) - min(t)) / 3600, 6) AS hours, sum(y) AS positives, count(*) OVER () AS m FROM sig GROUP BY rec)"
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal(spark, sf_dir).groupBy("rec").agg(F.round((F.max("t") - F.min("t")) / 3600, 6).alias("hours"), F.sum("y").alias("positives"))
+
+
+@query(f"""WITH {SIG}, {GROUPS}, i AS (SELECT rec, m, row_number() OVER (ORDER BY hours DESC, rec) - 1 AS i FROM gr)
+SELECT rec, CASE WHEN i < greatest(1, round_even(0.3 * m, 0)) THEN 'test' WHEN i < greatest(1, round_even(0.3 * m, 0)) + greatest(1, round_even(0.2 * m, 0)) THEN 'val' ELSE 'train' END AS part FROM i""")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.split_groups(groups(spark, sf_dir))
+
+
+@query(f"""WITH {SIG}, {GROUPS}, i AS (SELECT rec, row_number() OVER (ORDER BY positives DESC, rec) - 1 AS i FROM gr)
+SELECT rec, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INT AS fold FROM i""")
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.fold_groups(groups(spark, sf_dir))
+
+
+# -- models -------------------------------------------------------------------------------------------------------------
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signal(spark, sf_dir)
+    return s.select("event_id", "rec", "y", "v", F.pmod("t", F.lit(DAY)).alias("hour"), (F.col("event_id") % 11).cast("double").alias("noise")).join(ln.fold_groups(groups(spark, sf_dir)), "rec")
+
+
+@query()
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = ("v", "hour", "noise")
+    rows = samples(spark, sf_dir)
+    model = ln.forest(rows.where("fold > 0"), x, trees=10, depth=4)
+    return ln.score(model, rows.where("fold = 0")).select("event_id", "y", "p")
+
+
+@query()
+def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = ("v", "hour", "noise")
+    rows = samples(spark, sf_dir)
+    model = ln.boosted(rows.where("fold > 0"), x, trees=5, depth=3)
+    return ln.score(model, rows.where("fold = 0")).select("event_id", "y", "p")
+
+
+# -- ingest -------------------------------------------------------------------------------------------------------------
+@query(f"""WITH {SIG}, d AS (SELECT rec, s / 52000 * CASE rec % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 1e3 WHEN 2 THEN 1e6 ELSE 1e9 END AS ts FROM z),
+m AS (SELECT rec, quantile_cont(d, 0.5) AS step FROM (SELECT rec, ts - lag(ts) OVER (PARTITION BY rec ORDER BY ts) AS d FROM d) WHERE d > 0 GROUP BY rec)
+SELECT rec, CASE WHEN 1 / step BETWEEN 0.5 AND 200 THEN 's' WHEN 1e3 / step BETWEEN 0.5 AND 200 THEN 'ms' WHEN 1e6 / step BETWEEN 0.5 AND 200 THEN 'us' WHEN 1e9 / step BETWEEN 0.5 AND 200 THEN 'ns' END AS unit FROM m""")
+def time_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scale = F.element_at(F.array(*(F.lit(x) for x in (1.0, 1e3, 1e6, 1e9))), (F.col("rec") % 4 + 1).cast("int"))
+    rows = rs.zeroed(signal(spark, sf_dir)).select("rec", F.lit("accel").alias("kind"), (F.col("s") / 52000 * scale).alias("ts"), "event_id")
+    ordered = rows.select("rec", "kind", "ts", F.col("ts").alias("line"))
+    return rec.units(ordered)
+
+
+@query("""SELECT user_id AS rec, event_id AS line, CASE event_type WHEN 'purchase' THEN 'marker' WHEN 'view' THEN 'baro' ELSE 'accel' END AS kind, CASE event_type WHEN 'purchase' THEN 'Takeoff' END AS name,
+  floor(epoch_us(ts) / 1000)::DOUBLE AS ts, CASE WHEN event_type <> 'purchase' THEN value END AS x, CASE event_type WHEN 'click' THEN event_id::DOUBLE END AS y, CASE event_type WHEN 'click' THEN 1.5::DOUBLE END AS z
+FROM events WHERE event_type IN ('purchase', 'view', 'click')""")
+def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ms, v, kind = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string"), F.col("value").cast("string"), F.col("event_type")
+    line = F.when(kind == "purchase", F.concat(F.lit(" Takeoff;"), ms)).when(kind == "view", F.concat(ms, F.lit(":"), v)).when(kind == "click", F.concat(ms, F.lit(":"), v, F.lit(":"), F.col("event_id").cast("string"), F.lit(":1.5 ")))
+    line = line.when(kind == "signup", F.concat(ms, F.lit(":1.0d"))).otherwise(F.lit("MER data 1:2"))
+    return rec.parse_text(rows.select(F.col("user_id").alias("rec"), F.col("event_id").alias("line"), line.alias("text")))

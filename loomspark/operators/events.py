@@ -34,28 +34,38 @@ class Trigger:
         return True
 
 
+def _parts(scores: DataFrame, threshold: float, cooldown: float, key: str) -> DataFrame:
+    """``key, times, ps``: stretches of a recording that start afresh, in time order, for thresholds from this one on.
+
+    Nothing carries over where no score has been high for a whole cooldown and the last one was low: a trigger needs a
+    high score.  What comes before the first high score is left out.
+    """
+    rows = highest(scores, key)
+    w = Window.partitionBy(key).orderBy("t")
+    high = F.col("p") >= threshold
+    before = F.max(F.when(high, F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = high & (before.isNull() | ((F.col("t") - before >= cooldown) & (F.lag("p").over(w) < threshold)))
+    parts = rows.withColumn("__cut", cut.cast("long")).withColumn("__part", F.sum("__cut").over(w)).where("__part > 0")
+    packed = parts.groupBy(key, "__part").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("__x"))
+    return packed.select(key, F.transform("__x", lambda x: x["t"]).alias("times"), F.transform("__x", lambda x: x["p"]).alias("ps"))
+
+
 def triggers(scores: DataFrame, threshold: float, k: int = 1, cooldown: float = 60.0, key: str = "rec") -> DataFrame:
     """``key, t`` of every trigger.
 
-    The cooldown makes the order of a recording sequential; only candidates (scores at or above the threshold, with
-    the number of scores in a row) are folded, within segments that a pause of ``cooldown`` or a miss of k scores has
-    cut off from what came before.
+    The cooldown makes the state machine sequential, so it runs over arrays: one for each stretch of a recording that
+    starts afresh.
     """
-    rows = highest(scores, key)
-    kind = dict(rows.dtypes)[key]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        machine = Trigger(threshold, k, cooldown)
-        return pdf.loc[[machine.step(t, p) for t, p in zip(pdf["t"], pdf["p"])], [key, "t"]]
+    @F.pandas_udf("array<double>")
+    def run(times: pd.Series, ps: pd.Series) -> pd.Series:
+        out = []
+        for ts, values in zip(times, ps):
+            machine = Trigger(threshold, k, cooldown)
+            out.append([t for t, p in zip(ts, values) if machine.step(t, p)])
+        return pd.Series(out, dtype=object)
 
-    # Nothing carries over where no score has been high for a whole cooldown: a trigger needs a high score.
-    w = Window.partitionBy(key).orderBy("t")
-    hot = F.when(F.col("p") >= threshold, F.col("t"))
-    before = F.max(hot).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = (F.col("p") >= threshold) & (before.isNull() | ((F.col("t") - before >= cooldown) & (F.lag("p").over(w) < threshold)))
-    parts = rows.withColumn("__cut", cut.cast("long")).withColumn("__part", F.sum("__cut").over(w))
-    return parts.where("__part > 0").select(key, "__part", "t", "p").groupBy(key, "__part").applyInPandas(run, f"`{key}` {kind}, t double")
+    return _parts(scores, threshold, cooldown, key).select(key, F.explode(run("times", "ps")).alias("t"))
 
 
 def hours(rows: DataFrame, key: str = "rec", time: str = "t") -> DataFrame:
@@ -188,17 +198,18 @@ def candidates(scored: DataFrame, size: int = 512, anchors: int = 16) -> DataFra
 
 
 def sweep(scores: DataFrame, thresholds: Sequence[float], k: int, cooldown: float, key: str = "rec") -> DataFrame:
-    """``threshold, key, t``: the triggers of every candidate, all state machines in one pass over each recording."""
-    rows = highest(scores, key)
-    kind = dict(rows.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        machines = [Trigger(x, k, cooldown) for x in thresholds]
-        found = [(m.threshold, t) for t, p in zip(pdf["t"], pdf["p"]) for m in machines if m.step(t, p)]
-        return pd.DataFrame({"threshold": [x for x, _ in found], key: pdf[key].iloc[0], "t": [t for _, t in found]}).astype({"threshold": float, "t": float})
-
-    return rows.groupBy(key).applyInPandas(run, f"threshold double, `{key}` {kind}, t double")
+    """``threshold, key, t``: the triggers of every candidate, all state machines in one pass over the scores."""
+
+    @F.pandas_udf("array<struct<threshold: double, t: double>>")
+    def run(times: pd.Series, ps: pd.Series) -> pd.Series:
+        out = []
+        for ts, values in zip(times, ps):
+            machines = [Trigger(x, k, cooldown) for x in thresholds]
+            out.append([{"threshold": m.threshold, "t": t} for t, p in zip(ts, values) for m in machines if m.step(t, p)])
+        return pd.Series(out, dtype=object)
+
+    found = _parts(scores, min(thresholds), cooldown, key).select(key, F.explode(run("times", "ps")).alias("f"))
+    return found.select("f.threshold", key, "f.t")
 
 
 def budget_threshold(fired: DataFrame, thresholds: DataFrame, quiet: DataFrame, segs: DataFrame, budget: float, window: float, key: str = "rec") -> DataFrame:

@@ -37,7 +37,7 @@ def write_features(df: DataFrame, path: str, csv: bool = False) -> None:
     df.write.mode("overwrite").partitionBy(*(["domain"] if "domain" in df.columns else [])).parquet(f"{path}/parquet")
     if csv:
         order = [c for c in ("file_id", "grid", "t_end", "t_start") if c in df.columns]
-        df.orderBy(*order).toDF(*map(outside, df.columns)).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+        (df.orderBy(*order) if order else df).toDF(*map(outside, df.columns)).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

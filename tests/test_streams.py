@@ -141,7 +141,7 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     rng = np.random.default_rng(9)
     schema = "rec int, ts timestamp, p double"
-    rows = [(r, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(t)), float(u)) for r in range(3) for t, u in zip(range(0, 200, 2), rng.random(100))]
+    rows = [(r, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=int(t))).to_pydatetime(), float(u)) for r in range(3) for t, u in zip(range(0, 200, 2), rng.random(100))]
     for i, (a, b) in enumerate([(0, 40), (40, 41), (41, 100)]):
         part = [x for r in range(3) for x in rows[r * 100 + a : r * 100 + b]]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

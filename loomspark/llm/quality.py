@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from loomspark.llm._tables import tune
 from loomspark.llm.ftrl import Ftrl, logits, probabilities
 
-#: Hashed features (2 to this power); about how many labelled documents are learned from; passes; score from which a document is good.
-BITS, SAMPLE, EPOCHS, GOOD = 18, 6000, 4, 0.3
+#: Hashed features (2 to this power); about how many labelled documents are learned from; least number of updates; score from which a document is good.
+BITS, SAMPLE, UPDATES, GOOD = 18, 6000, 24_000, 0.3
 #: Words and runs of marks, in UTF-8.
 WORD = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 #: The pair of a word and itself, whatever the word.
@@ -39,7 +39,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, updates: int = UPDATES) -> np.ndarray:
     """Weights learned from about ``sample`` labelled rows, chosen by a hash of the id, of those that ``learnable`` marks.
 
     The chosen labels (two integers each) are broadcast, and as many sparse vectors come to the driver: both are bounded
@@ -57,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
 
     got = rows.mapInArrow(vectors, "doc_id long, y int, i array<int>, v array<double>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     examples = [(np.asarray(i.values).astype(np.int64), np.asarray(v.values), y) for y, i, v in zip(got["y"].to_pylist(), got["i"], got["v"])]
-    return Ftrl(1 << BITS, 1).fit(examples, epochs)
+    return Ftrl(1 << BITS, 1).fit(examples, -(-updates // max(1, len(examples))))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def linked(distinct: DataFrame) -> DataFrame:
 
     # The rest of the ball in the other segment; complete fingerprints are looked up.
     rest = F.explode(F.when(exact, _array(_masks([1, 2]))).otherwise(_array(_masks([0, 1])))).alias("rest")
-    shift = lambda column, up: F.when(up, F.shiftleft(column, HALF)).otherwise(column)
+    shift = lambda column, up: F.when(up, F.shiftleft(column, HALF)).otherwise(F.col(column))
     ball = met.where("is_heavy").select("fp", "side", "mask", rest)
     ball = ball.select("fp", F.col("fp").bitwiseXOR(shift("mask", F.col("side") == 1)).bitwiseXOR(shift("rest", F.col("side") == 0)).alias("other"), "mask")
     ball = ball.where((F.col("mask") != 0) | (F.col("fp") < F.col("other")))

@@ -27,7 +27,7 @@ from loomspark.llm._tables import tune
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
 #: Tokens above which a document is over the limit; chunk length in characters; bounds of the word and state tables.
-LIMIT, CHUNK, WORDS, STATES = 4096, 1 << 16, 400_000, 120_000
+LIMIT, CHUNK, WORDS, STATES = 4096, 1 << 16, 500_000, 400_000
 #: Letters and punctuation between which a further reset lies, where no piece holds one after the other.
 LETTERS, POINTS = r"a-zA-Z\u00c0-\u024f", r"!-/:-@\[-`{-~"
 
@@ -61,6 +61,7 @@ class Transducer:
         self.parts = re.compile("|".join([*cuts, *line, f"{MARK}*[^{MARK}{line}]+", f"{MARK}+"]))
         self.reset = re.compile(f"(?<=[^{MARK}]){MARK}")
         self.words: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # a full table of words is kept while the next one fills
         self.fits = lru_cache(1 << 18)(self._fits)
         self._clear()
 
@@ -124,10 +125,12 @@ class Transducer:
         for w in self.parts.findall(text):
             n = words.get(w)
             if n is None:
-                n = self.word(w)
+                n = self.older.get(w)
+                if n is None:
+                    n = self.word(w)
                 if len(w) <= 64:
                     if len(words) >= WORDS:
-                        words.clear()
+                        self.older, self.words = words, (words := {})
                     words[w] = n
             total += n
         return total

@@ -27,41 +27,63 @@ def statistics(v: str, name: str) -> list[Column]:
     ]
 
 
-def trends(rows: DataFrame, keys: Sequence[str], v: str, name: str, hz: float, time: str = "s", recent_s: Sequence[float] = (2.0, 3.0), dead: float = 0.0) -> DataFrame:
-    """Order-sensitive features of each window's present values, in time order, missing ones left out first.
+def compact(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], time: str = "s") -> DataFrame:
+    """``rows`` with, for each column, the place ``__i`` of its value among the window's ``__n`` present ones, their mean and std, and the value before.
 
-    Peak count (beyond two standard deviations), slope, zero crossings a second (dead zone ``dead``), halves' and
-    thirds' difference, last quarter against the rest, and slope, std, mean, largest magnitude and std ratio of the last
-    seconds, counted in values at ``hz``.
+    All columns share one sort by window and time.
     """
-    w = Window.partitionBy(*keys)
-    x = rows.where(F.col(v).isNotNull()).select(*keys, F.col(time).alias("__t"), F.col(v).alias("__v"))
-    x = x.withColumns({"__i": F.row_number().over(w.orderBy("__t")) - 1, "__n": F.count("*").over(w), "__mu": F.avg("__v").over(w), "__sd": F.stddev_pop("__v").over(w), "__t0": F.min("__t").over(w)})
-    sign = F.when(F.col("__v") > dead, 1).when(F.col("__v") < -dead, -1).otherwise(0)
-    x = x.withColumn("__s", sign).withColumn("__cross", (F.col("__s") * F.lag("__s").over(w.orderBy("__t")) < 0).cast("int"))
-    i, n, y = F.col("__i"), F.col("__n"), F.col("__v")
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy(time)
+    out = {}
+    for c in columns:
+        out |= {
+            f"{c}__i": F.when(F.col(c).isNotNull(), F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1), f"{c}__n": F.count(c).over(whole),
+            f"{c}__mu": F.avg(c).over(whole), f"{c}__sd": F.stddev_pop(c).over(whole), f"{c}__before": F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    return rows.withColumns(out)
+
+
+def feature(c: str, kind: str, hz: float = 1.0, seconds: float = 2.0, time: str = "s", dead: float = 0.0) -> Column:
+    """An order-sensitive feature of a compacted column: its missing values are left out before anything is counted."""
+    y, i, n = F.col(c), F.col(f"{c}__i"), F.col(f"{c}__n")
+    late = lambda least: i >= n - max(least, int(seconds * hz))  # noqa: E731  the last seconds as a number of values
     mean = lambda condition: F.avg(F.when(condition, y))
-    third = F.floor(n / 3)
-    out = [
-        F.sum((F.abs(y - F.col("__mu")) > 2 * F.col("__sd")).cast("int")).cast("double").alias(f"{name}_peakcount"),
-        F.when((F.count("*") >= 2) & (F.stddev_pop("__t") > 0), F.regr_slope(y, F.col("__t") - F.col("__t0"))).alias(f"{name}_slope"),
-        (F.coalesce(F.sum("__cross"), F.lit(0)) / (F.max(n) / hz)).alias(f"{name}_zcr_ps"),
-        F.when(F.max(n) >= 4, mean(i >= F.floor(n / 2)) - mean(i < F.floor(n / 2))).alias(f"{name}_halfdiff"),
-        F.when(F.max(n) >= 6, mean(i >= n - third) - mean(i < third)).alias(f"{name}_thirddiff"),
-        F.when(F.max(n) >= 4, mean(i >= F.floor(n * 0.75)) - mean(i < F.floor(n * 0.75))).alias(f"{name}_recent_diff_25pct"),
-    ]
-    for s in recent_s:
-        k, kk = max(3, int(s * hz)), max(1, int(s * hz))
-        last, late = i >= n - k, i >= n - kk
-        tag = f"{s:g}s"
-        out += [
-            F.when(F.count(F.when(last, 1)) >= 3, F.regr_slope(F.when(last, y), i / hz)).alias(f"{name}_recent_slope_{tag}"),
-            F.when(F.count(F.when(late, 1)) >= 2, F.stddev_pop(F.when(late, y))).alias(f"{name}_recent_std_{tag}"),
-            mean(late).alias(f"{name}_recent_mean_{tag}"),
-            F.max(F.when(late, F.abs(y))).alias(f"{name}_recent_max_abs_{tag}"),
-            F.when((F.max(n) >= 4) & (F.count(F.when(late, 1)) >= 2) & (F.stddev_pop(y) >= 1e-6), F.least(F.stddev_pop(F.when(late, y)) / F.stddev_pop(y), F.lit(100.0))).alias(f"{name}_ratio_recent_std_{tag}"),
-        ]
-    return x.groupBy(*keys).agg(*out)
+    gate = lambda least, value: F.when(F.max(n) >= least, value)
+    last, recent = F.when(late(3), y), F.when(late(1), y)
+    recent_std = F.when(F.count(last) >= 2, F.stddev_pop(last))
+    if kind == "peakcount":
+        return F.coalesce(F.sum((F.abs(y - F.col(f"{c}__mu")) > 2 * F.col(f"{c}__sd")).cast("double")), F.lit(0.0))
+    if kind == "slope":
+        t = F.when(y.isNotNull(), F.col(time) - F.col("__origin"))
+        return F.when((F.count(y) >= 2) & (F.stddev_pop(t) > 0), F.regr_slope(y, t))
+    if kind == "zcr_ps":
+        sign = lambda x: F.when(x > dead, 1).when(x < -dead, -1).otherwise(0)
+        return F.coalesce(F.sum((sign(y) * sign(F.col(f"{c}__before")) < 0).cast("int")), F.lit(0)) / (F.max(n) / hz)
+    if kind == "halfdiff":
+        return gate(4, mean(i >= F.floor(n / 2)) - mean(i < F.floor(n / 2)))
+    if kind == "thirddiff":
+        return gate(6, mean(i >= F.floor(2 * n / 3)) - mean(i < F.floor(n / 3)))
+    if kind == "recent_diff_25pct":
+        return gate(4, mean(i >= F.floor(n * 0.75)) - mean(i < F.floor(n * 0.75)))
+    if kind == "recent_slope":
+        return F.when(F.count(last) >= 3, F.regr_slope(last, (i - n) / hz))
+    if kind == "recent_std":
+        return recent_std
+    if kind == "recent_mean":
+        return F.avg(recent)
+    if kind == "recent_max_abs":
+        return F.max(F.abs(recent))
+    if kind == "ratio_recent_std":
+        return F.when((F.max(n) >= 4) & (F.stddev_pop(y) >= 1e-6), F.least(recent_std / F.stddev_pop(y), F.lit(100.0)))
+    raise ValueError(f"no feature {kind!r}")
+
+
+def trends(rows: DataFrame, keys: Sequence[str], v: str, name: str, hz: float, time: str = "s", recent_s: Sequence[float] = (2.0, 3.0), dead: float = 0.0) -> DataFrame:
+    """The order-sensitive features of one column; those of the last seconds are named by their length."""
+    x = compact(rows.where(F.col(v).isNotNull()), keys, [v], time).withColumn("__origin", F.min(time).over(Window.partitionBy(*keys)))
+    out = [feature(v, k, hz, time=time, dead=dead).alias(f"{name}_{k}") for k in ("peakcount", "slope", "zcr_ps", "halfdiff", "thirddiff", "recent_diff_25pct")]
+    late = ("recent_slope", "recent_std", "recent_mean", "recent_max_abs", "ratio_recent_std")
+    return x.groupBy(*keys).agg(*out, *(feature(v, k, hz, s, time).alias(f"{name}_{k}_{s:g}s") for s in recent_s for k in late))
 
 
 def jerk(rows: DataFrame, keys: Sequence[str], v: str, hz: float, time: str = "s", recent_s: float = 2.0) -> DataFrame:

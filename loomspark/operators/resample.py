@@ -20,10 +20,11 @@ from loomspark.sources.scratch import stash
 HOLD, CHUNK = 5.0, 86_400.0
 
 
-def collapse(samples: DataFrame, value: str = "v") -> DataFrame:
-    """Readings ``(rec, t, v)`` of the same time are averaged first; missing readings and times are dropped."""
-    rows = samples.select("rec", present(F.col("t")).alias("t"), present(F.col(value)).alias("v"))
-    return rows.where("t is not null").groupBy("rec", "t").agg(F.avg("v").alias("v"))
+def collapse(samples: DataFrame, *values: str) -> DataFrame:
+    """Readings ``(rec, t, values…)`` of the same time are averaged first; rows without a time are dropped."""
+    values = values or ("v",)
+    rows = samples.select("rec", present(F.col("t")).alias("t"), *(present(F.col(v)).alias(v) for v in values))
+    return rows.where("t is not null").groupBy("rec", "t").agg(*(F.avg(v).alias(v) for v in values))
 
 
 def spans(samples: DataFrame) -> DataFrame:
@@ -42,28 +43,31 @@ def median_step(samples: DataFrame) -> DataFrame:
     return steps.groupBy("rec").agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(0.5)).alias("step"))
 
 
-def resample(samples: DataFrame, step: float, hold: float = HOLD, fill: bool = True) -> DataFrame:
-    """``rec, bin, s, v, obs``: bin means on the grid of ``step`` seconds from the first reading to the last.
+def resample_columns(samples: DataFrame, values: Sequence[str], step: float, hold: float = HOLD, fill: bool = True) -> DataFrame:
+    """``rec, bin, s``, each value's bin means on the grid of ``step`` seconds from the first reading to the last, and ``obs_<value>``.
 
     An empty bin takes the last observed mean while the bin's time is at most ``hold`` median steps after the last
-    reading before it; NULL otherwise, or always without ``fill``.
+    reading of that value before it; NULL otherwise, or always without ``fill``.
     """
-    rows = collapse(samples)
-    z = zeroed(rows).withColumn("bin", F.floor(F.col("s") / step))
-    edges = spans(rows).select("rec", F.ceil((F.col("stop") - F.col("start") + step / 2) / step).alias("n"))
-    last = edges.select("rec", (F.col("n") - 1).alias("last"))
-    z = z.join(last, "rec").withColumn("bin", F.least("bin", "last"))
-    means = z.groupBy("rec", "bin").agg(F.avg("v").alias("mean"), F.max(F.when(F.col("v").isNotNull(), F.col("s"))).alias("at"))
-    grid = edges.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bin"))
-    full = grid.join(means, ["rec", "bin"], "left").withColumn("obs", F.col("mean").isNotNull())
+    rows = collapse(samples, *values)
+    edges = spans(rows).select("rec", F.col("start").alias("__a"), F.ceil((F.col("stop") - F.col("start") + step / 2) / step).alias("__n"))
+    z = rows.join(edges, "rec").withColumn("s", F.col("t") - F.col("__a")).withColumn("bin", F.least(F.floor(F.col("s") / step), F.col("__n") - 1))
+    means = z.groupBy("rec", "bin").agg(*(F.avg(v).alias(v) for v in values), *(F.max(F.when(F.col(v).isNotNull(), F.col("s"))).alias(f"__at_{v}") for v in values))
+    grid = edges.select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("bin"))
+    full = grid.join(means, ["rec", "bin"], "left").withColumns({f"obs_{v}": F.col(v).isNotNull() for v in values})
     time = F.col("bin") * F.lit(step)
+    observed = [f"obs_{v}" for v in values]
     if not fill:
-        return full.select("rec", "bin", time.alias("s"), F.col("mean").alias("v"), "obs")
-    limit = median_step(rows.where("v is not null")).select("rec", (hold * F.col("step")).alias("limit"))
-    full = full.join(limit, "rec", "left")
+        return full.select("rec", "bin", time.alias("s"), *values, *observed)
+    full = full.join(median_step(rows).select("rec", (hold * F.col("step")).alias("__limit")), "rec", "left")
     w = Window.partitionBy("rec").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    held, since = F.last("mean", True).over(w), time - F.last("at", True).over(w)
-    return full.select("rec", "bin", time.alias("s"), F.when(F.col("obs") | (since <= F.col("limit")), held).alias("v"), "obs")
+    held = lambda v: F.when(F.col(f"obs_{v}") | (time - F.last(f"__at_{v}", True).over(w) <= F.col("__limit")), F.last(v, True).over(w)).alias(v)
+    return full.select("rec", "bin", time.alias("s"), *map(held, values), *observed)
+
+
+def resample(samples: DataFrame, step: float, hold: float = HOLD, fill: bool = True) -> DataFrame:
+    """``rec, bin, s, v, obs`` of one value; see :func:`resample_columns`."""
+    return resample_columns(samples, ["v"], step, hold, fill).withColumnRenamed("obs_v", "obs")
 
 
 def coverage(grid: DataFrame, *keys: str) -> DataFrame:

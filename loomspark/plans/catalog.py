@@ -154,7 +154,7 @@ s AS (SELECT *, CASE WHEN v > 40 THEN 1 WHEN v < -40 THEN -1 ELSE 0 END AS sg FR
 SELECT rec, grid, k, sum((abs(v - mu) > 2 * sd)::INT)::DOUBLE AS v_peakcount,
   round(CASE WHEN count(*) >= 2 AND stddev_pop(s) > 0 THEN regr_slope(v, s) * 86400 END, 6) AS v_slope_day,
   round(CASE WHEN max(n) >= 4 THEN avg(v) FILTER (WHERE i >= floor(n / 2)) - avg(v) FILTER (WHERE i < floor(n / 2)) END, 6) AS v_halfdiff,
-  round(CASE WHEN max(n) >= 6 THEN avg(v) FILTER (WHERE i >= n - floor(n / 3)) - avg(v) FILTER (WHERE i < floor(n / 3)) END, 6) AS v_thirddiff,
+  round(CASE WHEN max(n) >= 6 THEN avg(v) FILTER (WHERE i >= floor(2 * n / 3)) - avg(v) FILTER (WHERE i < floor(n / 3)) END, 6) AS v_thirddiff,
   round(CASE WHEN max(n) >= 4 THEN avg(v) FILTER (WHERE i >= floor(n * 0.75)) - avg(v) FILTER (WHERE i < floor(n * 0.75)) END, 6) AS v_recent_diff_25pct,
   round(CASE WHEN count(*) FILTER (WHERE i >= n - 3) >= 3 THEN regr_slope(v, i) FILTER (WHERE i >= n - 3) END, 6) AS recent_slope,
   round(CASE WHEN count(*) FILTER (WHERE i >= n - 3) >= 2 THEN stddev_pop(v) FILTER (WHERE i >= n - 3) END, 6) AS recent_std,

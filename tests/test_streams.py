@@ -77,7 +77,7 @@ def test_resample_holds_and_lets_go(spark):
     got = {r.bin: r for r in rs.resample(rows, 1.0).collect()}
     assert (got[1].v, got[1].obs) == (3.0, True)  # equal times first become one reading
     assert (got[2].v, got[2].obs) == (3.0, False)
-    assert got[13].v == 5.0 and got[14].v is None  # the median step is 2: ten seconds after the last reading
+    assert got[8].v == 5.0 and got[9].v is None  # the median step is 1: five seconds after the last reading
     assert got[20].v == 6.0
     assert {r.bin: r.v for r in rs.resample(rows, 1.0, fill=False).collect()}[2] is None
 

@@ -529,3 +529,15 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(kind == "purchase", F.concat(F.lit(" Takeoff;"), ms)).when(kind == "view", F.concat(ms, F.lit(":"), v)).when(kind == "click", F.concat(ms, F.lit(":"), v, F.lit(":"), F.col("event_id").cast("string"), F.lit(":1.5 ")))
     line = line.when(kind == "signup", F.concat(ms, F.lit(":1.0d"))).otherwise(F.lit("MER data 1:2"))
     return rec.parse_text(rows.select(F.col("user_id").alias("rec"), F.col("event_id").alias("line"), line.alias("text")))
+
+
+@query()
+def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full feature table, an hour of the events taken as a second of a sensor."""
+    from loomspark.plans import sensors
+
+    s = signal(spark, sf_dir).withColumn("t", F.col("t") / HOUR)
+    accel = s.select("rec", "t", F.col("v").alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.81).alias("az"))
+    marks = s.where("event_type = 'purchase'").groupBy("rec").agg(F.min("t").alias("t")).select("rec", F.lit("Takeoff").alias("name"), "t")
+    cfg = sensors.Settings(accel_hz=0.2, baro_hz=0.2, coverage=0.3, grids=(wn.Grid("base", 0, 100.0, 100.0), wn.Grid("to", 1, 120.0, 60.0)), zones=wn.Zones((10.0, 40.0), (40.0, 10.0)))
+    return sensors.imputed(sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") / 10).alias("p")), marks, cfg, s.where("rec % 5 = 0").select("rec").distinct()))

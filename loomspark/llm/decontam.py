@@ -136,3 +136,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
     if bad.count() <= BROADCAST:
         bad = F.broadcast(bad)
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+
+
+def sql(share: float = SHARE) -> str:
+    """The same pairs in DuckDB's SQL."""
+    forms = lambda table, key: f"""
+  SELECT {key}, text, raw, list_transform(tok, lambda x, i: CASE
+    WHEN ord(raw[i]) BETWEEN 48 AND 57 THEN '{NUMBER}'
+    WHEN i > 1 AND raw[i] IN ({_quoted(UNITS)}) AND ord(raw[i - 1]) BETWEEN 48 AND 57 THEN '{UNIT}'
+    WHEN i > 1 AND ord(x) NOT IN (10, 33, 46, 58, 59, 63) AND left(x, 1) <> left(raw[i], 1) AND x <> upper(x) THEN '{NAME}'
+    ELSE raw[i] END) AS form
+  FROM (SELECT *, list_transform(tok, lambda x: lower(CASE WHEN ord(x) IN (10, 33, 46, 58, 59, 63) THEN regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+', '') ELSE x END)) AS raw
+    FROM (SELECT {key}, text, regexp_extract_all(COALESCE(text, ''), '{TOKEN}') AS tok FROM {table}))"""
+    cut = f"list_transform(range(1, len(form) - {WORDS - 2}), lambda i: {{'pos': i, 'words': form[i:i + {WORDS - 1}], 'raw': raw[i:i + {WORDS - 1}]}})"
+    slots = f"('{NUMBER}', '{UNIT}', '{NAME}')"
+    return f"""
+WITH d AS ({forms('documents', 'doc_id')}), b AS ({forms('benchmark', 'item_id')}),
+dw AS (SELECT doc_id, key, w.pos AS pos, w.words AS words, w.raw AS raw FROM (SELECT doc_id, md5(text) AS key, unnest({cut}) AS w FROM d)),
+bw AS (SELECT DISTINCT item_id, w.pos AS item_pos, w.words AS words, w.raw AS item_raw FROM (SELECT item_id, unnest({cut}) AS w FROM b WHERE item_id IS NOT NULL)
+  WHERE len(list_filter(w.words, lambda x: x NOT IN {slots})) >= {LITERAL}),
+totals AS (SELECT item_id, count(DISTINCT item_pos) AS total FROM bw GROUP BY item_id),
+hits AS (SELECT doc_id, key, pos, item_id, item_pos, pos - item_pos AS shift, words, raw, item_raw FROM dw JOIN bw USING (words)),
+pairs AS (SELECT doc_id, key, item_id, shift, words[k] AS t, item_raw[k] AS a, raw[k] AS b FROM hits, range(1, {WORDS + 1}) AS g(k) WHERE words[k] IN {slots}),
+maps AS (SELECT doc_id, key, item_id, shift, count(DISTINCT (t, a)) AS n_a, count(DISTINCT (t, b)) AS n_b, count(DISTINCT (t, a, b)) AS n_ab, max(a <> b) AS changed FROM pairs GROUP BY ALL),
+bad AS (SELECT * FROM maps WHERE n_ab > n_a OR n_ab > n_b),
+sound AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad m WHERE m.doc_id IS NOT DISTINCT FROM h.doc_id AND m.key = h.key AND m.item_id = h.item_id AND m.shift = h.shift)),
+found AS (SELECT doc_id, key, item_id, any_value(total) AS n_windows, count(DISTINCT item_pos) AS n_matched FROM sound JOIN totals USING (item_id) GROUP BY doc_id, key, item_id),
+new AS (SELECT DISTINCT doc_id, key, item_id FROM maps WHERE changed AND n_ab <= n_a AND n_ab <= n_b)
+SELECT f.doc_id, f.item_id, max(n_windows) AS n_windows, max(n_matched) AS n_matched,
+  max(EXISTS (SELECT 1 FROM new n WHERE n.doc_id IS NOT DISTINCT FROM f.doc_id AND n.key = f.key AND n.item_id = f.item_id)) AS reparameterised
+FROM found f WHERE n_matched >= {share} * n_windows GROUP BY f.doc_id, f.item_id
+"""

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import sharding
+from loomspark.llm import decontam, sharding
 from loomspark.llm.ann import nearest
-from loomspark.llm.decontam import contaminated
 from loomspark.llm.lang_id import lang_id
 from loomspark.llm.mixing import mixed
 from loomspark.llm.quality import quality
@@ -24,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_html_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_extendible_sharding": sharding.sql()}
+    return {"op1_decontamination": decontam.sql(), "op7_extendible_sharding": sharding.sql()}

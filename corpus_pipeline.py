@@ -15,7 +15,7 @@ from loomspark.llm.simhash import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or whose language has a calibrated probability below one half."""
+    """Drops documents without letters or whose language has a calibrated probability little above chance."""
     return keep_identified(docs, docs)
 
 

@@ -23,7 +23,8 @@ from loomspark.llm.ftrl import Ftrl, logits, probabilities, temperature
 BITS, ORDER, STEP = 15, 3, 1 << 19
 #: At most about this many labelled documents of each language are learned from; passes over them.
 PER_LANGUAGE, EPOCHS = 600, 3
-UNKNOWN = "und"
+#: Calibrated probability below which a language counts as not identified: little more than chance among four.
+UNKNOWN, LEAST = "und", 0.3
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -159,7 +160,7 @@ def lang_id(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, train: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, train: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose language is identified with at least this calibrated probability, all columns as they are."""
     model = predictor(docs, fit(train, learnable()))
     at = docs.columns.index("text")

@@ -1,8 +1,8 @@
-"""The trigger state machine and the recursive average on streams."""
+"""The trigger state machine, the recursive average and the window scheduler on streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomspark.operators.events import Trigger
+from loomspark.operators.windows import Grid
 
 
 def triggers(scores: DataFrame, threshold: float, k: int = 1, cooldown: float = 60.0, late: str = "1 minute") -> DataFrame:
@@ -51,3 +52,46 @@ def ema(samples: DataFrame, a: float, late: str = "1 minute") -> DataFrame:
 
     kind = dict(samples.dtypes)["rec"]
     return rows.select("rec", "ts", "t", "v").groupBy("rec").applyInPandasWithState(run, f"rec {kind}, t double, v double, m double", "m double", "append", GroupStateTimeout.NoTimeout)
+
+
+def windows(samples: DataFrame, grids: Sequence[Grid], late: str = "1 minute") -> DataFrame:
+    """``rec, grid, grid_id, k, ws, we, n, mean, dt_prev_end`` of every window of a stream ``(rec, ts, v)``, once it is over.
+
+    Times count from the recording's first sample, as in the batch tables; a window is over when a later sample than its
+    end comes, and windows that are over together come by end, then by grid.  ``dt_prev_end`` is the time since the end of
+    the same grid's window before.  The state holds the samples of the longest window, the next window of each grid and
+    its last end; samples older than the last one seen are dropped, like those beyond the watermark.
+    """
+    rows = samples.withWatermark("ts", late).withColumn("t", F.unix_micros("ts") / 1e6)
+    longest = max(g.win for g in grids)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values("t", kind="stable")
+        if state.exists:
+            t0, now, times, values, due = state.get
+            times, values, due = list(times), list(values), list(due)
+        else:
+            t0, now, times, values, due = float(pdf["t"].iloc[0]), float("-inf"), [], [], [0] * len(grids)
+        out = []
+        for t, v in zip(pdf["t"], pdf["v"]):
+            s = float(t) - t0
+            if s < now:
+                continue
+            ready = sorted((round(k * g.hop, 6) + g.win, g.grid_id, k, i) for i, g in enumerate(grids) for k in range(due[i], due[i] + 1 + max(0, int((s - g.win) / g.hop) - due[i] + 1)) if round(k * g.hop, 6) + g.win < s)
+            for we, grid_id, k, i in ready:
+                g, ws = grids[i], round(k * grids[i].hop, 6)
+                inside = [x for u, x in zip(times, values) if ws <= u <= we and x == x]
+                out.append((key[0], g.name, grid_id, k, ws, we, len(inside), sum(inside) / len(inside) if inside else None, g.hop if k else None))
+                due[i] = k + 1
+            now = s
+            times.append(s)
+            values.append(float("nan") if v is None else float(v))
+            first = next(j for j, u in enumerate(times) if u >= s - longest)
+            del times[:first], values[:first]
+        state.update((t0, now, times, values, due))
+        yield pd.DataFrame(out, columns=["rec", "grid", "grid_id", "k", "ws", "we", "n", "mean", "dt_prev_end"]).astype({"ws": float, "we": float, "mean": float, "dt_prev_end": float})
+
+    kind = dict(samples.dtypes)["rec"]
+    schema = f"rec {kind}, grid string, grid_id int, k long, ws double, we double, n long, mean double, dt_prev_end double"
+    memory = "t0 double, now double, times array<double>, vals array<double>, due array<long>"
+    return rows.select("rec", "ts", "t", "v").groupBy("rec").applyInPandasWithState(run, schema, memory, "append", GroupStateTimeout.NoTimeout)

@@ -100,3 +100,24 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """``docs``, all rows and columns, in the order of the mixture: file after file, row after row."""
     rows = interleave(docs, **how)
     return rows.repartitionByRange(*order()).sortWithinPartitions(*order()).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sql(block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE) -> str:
+    """The same rows in DuckDB's SQL, for default weights."""
+    return f"""
+WITH RECURSIVE tot AS (SELECT source, sum(COALESCE(octet_length(encode(text)), 0))::BIGINT AS bytes FROM documents GROUP BY source),
+w AS (SELECT source, bytes, power(greatest(1, bytes)::DOUBLE, {alpha}::DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS k, count(*) OVER () AS n FROM tot),
+c AS (SELECT *, greatest({cycle}, 4 * n) AS cyc, (greatest({cycle}, 4 * n) - n) * w / sum(w) OVER () AS exact FROM w),
+p AS (SELECT *, 1 + floor(exact)::BIGINT + (row_number() OVER (ORDER BY floor(exact) - exact, k) <= cyc - sum(1 + floor(exact)::BIGINT) OVER ())::BIGINT AS share FROM c),
+l AS (SELECT list(share ORDER BY k) AS sh, any_value(cyc) AS cyc FROM p),
+due AS (
+  SELECT 0::BIGINT AS slot, sh, cyc, list_transform(sh, lambda x: 0::BIGINT) AS i, list_transform(sh, lambda x: (cyc + x - 1) // x) AS d FROM l
+  UNION ALL
+  SELECT slot + 1, sh, cyc, j, list_transform(range(1, len(sh) + 1), lambda q: CASE WHEN j[q] < sh[q] AND j[q] * cyc // sh[q] <= slot + 1 THEN ((j[q] + 1) * cyc + sh[q] - 1) // sh[q] ELSE 9000000000 END)
+  FROM (SELECT *, list_transform(range(1, len(sh) + 1), lambda q: i[q] + (q = list_position(d, list_min(d)))::BIGINT) AS j FROM due) WHERE slot + 1 < cyc),
+cell AS (SELECT list_position(d, list_min(d)) AS k, i[list_position(d, list_min(d))] AS i, slot, list_min(d) AS deadline FROM due),
+docs AS (SELECT doc_id, d.source, k, share, cyc, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT % greatest(1, (bytes + {block} - 1) // {block}) AS block
+  FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, source, block, block // share * cyc + slot AS slot, block // share * cyc + i * cyc // share AS release, block // share * cyc + deadline AS deadline
+FROM docs JOIN cell ON cell.k = docs.k AND cell.i = block % share
+"""

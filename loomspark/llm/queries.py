@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontam, sharding
+from loomspark.llm import decontam, mixing, sharding
 from loomspark.llm.ann import nearest
 from loomspark.llm.lang_id import lang_id
-from loomspark.llm.mixing import mixed
 from loomspark.llm.quality import quality
 from loomspark.llm.secret_scan import secret_scan
 from loomspark.llm.simhash import simhash_groups
@@ -55,7 +54,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op10_ann_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontam.sql(), "op7_extendible_sharding": sharding.sql()}
+    return {"op1_decontamination": decontam.sql(), "op7_extendible_sharding": sharding.sql(), "op9_pfair_mixing": mixing.sql()}

@@ -245,6 +245,14 @@ def test_mixed_rows(spark, documents):
     assert slots == sorted(slots) and len(slots) == len(order)
 
 
+@pytest.mark.parametrize("block", [500, 20_000])
+def test_mixing_matches_sql(spark, documents, block):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    got, want = mixing.mixed(documents, block=block).toPandas(), con.execute(mixing.sql(block)).df()
+    assert sorted(map(tuple, got[want.columns].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_mixing_edge_cases(spark, documents):
     odd = spark.createDataFrame([(1, None, None, 1), (1, None, None, 1), (None, "x", "a", 1)], "doc_id long, text string, source string, slot int")
     assert mixing.mixed(odd).count() == 3 and mixing.mixture(odd).columns == odd.columns

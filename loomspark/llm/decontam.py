@@ -9,7 +9,7 @@ its matches don't count.  A document is contaminated by an item of whose windows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm._tables import stash
@@ -78,7 +78,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Windows of documents that are windows of items."""
-    windows, _ = stash(benchmark_windows(items), "benchmark")
+    windows = benchmark_windows(items)
     if windows.count() <= BROADCAST:
         windows = F.broadcast(windows)
     rows = _windows(_templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
@@ -88,32 +88,16 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _pairs(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """``doc_id, text_key, item_id, n_windows, n_matched, reparameterised`` of contaminated rows."""
-    hits, _ = stash(_hits(docs, items), "hits")
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     key = ["doc_id", "text_key", "item_id"]
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*key, "shift")]
-    slots = hits.where("item_slots is not null and slots is not null")
-    slots = slots.select(*key, "shift", F.expr("inline(transform(item_types, (x, i) -> struct(x as t, item_slots[i] as a, slots[i] as b)))")).where(_is_slot("t"))
-    maps = slots.groupBy(*key, "shift").agg(
-        F.countDistinct("t", "a").alias("n_a"), F.countDistinct("t", "b").alias("n_b"), F.countDistinct("t", "a", "b").alias("n_ab"), F.max(F.col("a") != F.col("b")).alias("changed")
-    )
-    bad = maps.where("n_ab > n_a or n_ab > n_b")
-    sound = hits.alias("h").join(bad.alias("b"), same(_Prefixed("h"), _Prefixed("b")), "left_anti")
-    found = sound.groupBy(*key).agg(F.max("total").alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"))
-    found = found.where(F.col("n_matched") >= share * F.col("n_windows"))
-    new = maps.where("changed and n_ab <= n_a and n_ab <= n_b").select(*key).distinct().withColumn("reparameterised", F.lit(True))
-    out = found.alias("f").join(new.alias("n"), same(_Prefixed("f"), _Prefixed("n"))[:3], "left")
-    return out.select(*(f"f.{c}" for c in found.columns), F.coalesce("n.reparameterised", F.lit(False)).alias("reparameterised"))
-
-
-class _Prefixed:
-    """Columns of an aliased frame."""
-
-    def __init__(self, name: str):
-        self.name = name
-
-    def __getitem__(self, column: str) -> Column:
-        return F.col(f"{self.name}.{column}")
+    values = f"filter(transform(item_types, (x, i) -> struct(x as t, item_slots[i] as a, slots[i] as b)), v -> {_is_slot('v.t')})"
+    hits = _hits(docs, items).select(*key, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "total", F.expr(f"case when item_slots is not null and slots is not null then {values} end").alias("ab"))
+    # An alignment has one match at most for each window of the item, so its sets are no larger than the item.
+    lines = hits.groupBy(*key, "shift").agg(F.max("total").alias("total"), F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("ab"))).alias("ab"))
+    n_distinct = lambda what: F.size(F.array_distinct(F.expr(f"transform(ab, v -> struct(v.t, {what}))")))
+    sound = lines.where((F.size("ab") <= n_distinct("v.a")) & (F.size("ab") <= n_distinct("v.b")))
+    sound = sound.select(*key, "total", F.expr("exists(ab, v -> v.a <> v.b)").alias("changed"), F.explode_outer("at").alias("item_pos"))
+    found = sound.groupBy(*key).agg(F.max("total").alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("changed").alias("reparameterised"))
+    return found.where(F.col("n_matched") >= share * F.col("n_windows"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:

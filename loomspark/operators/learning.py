@@ -76,8 +76,19 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], fit, k: int = 5) -> Da
     return out
 
 
+def scaled(x: np.ndarray, scaler: dict[str, np.ndarray]) -> np.ndarray:
+    """``x`` by a scaler's ``mean`` and ``scale``; values that are then missing or infinite are 0."""
+    z = (x - scaler["mean"]) / np.maximum(scaler["scale"], 1e-8)
+    return np.where(np.isfinite(z), z, 0.0)
+
+
 def gru(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Logits of sequences ``(n, steps, features)``: stacked gated recurrent layers, then a rectified layer, then the outputs."""
+    """Logits of sequences ``(n, steps, features)``: stacked gated recurrent layers, then a rectified layer, then the outputs.
+
+    If the weights hold a scaler (``mean, scale``), it is applied first.
+    """
+    if "mean" in weights:
+        x = scaled(x, weights)
     sig = lambda v: 1 / (1 + np.exp(-v))
     layer = 0
     while f"w_ih_{layer}" in weights:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import importlib.util
+import io
 import json
 import math
+from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.operators.learning import gru
+from loomspark.sources import onnx
 
 
 def strict(value: Any) -> Any:
@@ -42,3 +50,53 @@ def write_features(df: DataFrame, path: str, csv: bool = False) -> None:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/parquet")
+
+
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """One file, through Spark's file systems."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def _arrays(**named: np.ndarray) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **named)
+    return held.getvalue()
+
+
+def export_sequence_model(
+    test: DataFrame, weights: dict[str, np.ndarray], features: Sequence[str], path: str, ys: Sequence[str], key: str, head: int = 0, heat: float = 1.0, x: str = "x", rows: int = 32, profile: dict[str, Any] | None = None, limit: float = 0.02
+) -> dict[str, Any]:
+    """``model.onnx, features.json, scaler.npz, weights.npz, golden.npz`` and ``profile.json`` below ``path``; returns the profile.
+
+    The golden rows are ``rows`` sequences of ``test``, the first by a hash of ``key``, with the model's probabilities.
+    If the ONNX runtime is installed, the file is run on them: the profile's ``onnx_parity`` has the largest difference,
+    and "warning" where that exceeds ``limit``.
+    """
+    spark = test.sparkSession
+    taken = test.select(x, *ys).orderBy(F.xxhash64(key), key).limit(rows).collect()
+    if not taken:
+        raise ValueError("there are no sequences to check the model with")
+    many = np.array([r[x] for r in taken], float)
+    p = 1 / (1 + np.exp(-gru(many, weights)[:, head : head + 1] / heat))
+    model = onnx.encode(weights, many.shape[1], head, heat)
+    parity: dict[str, Any] = {"golden_rows": len(taken), "max_abs_diff": None, "warn_if_gt": limit, "status": "unknown"}
+    if importlib.util.find_spec("onnxruntime"):
+        gap = float(np.abs(onnx.run(model, many) - p).max())
+        parity |= {"max_abs_diff": gap, "status": "ok" if gap < limit else "warning"}
+    shape = {"seq_len": many.shape[1], "n_features": many.shape[2], "head_index": head, "calibration_temperature": heat, "onnx": {"input_name": "x", "output_name": "p", "output_is_probability": True, "static_batch": 1}}
+    said = strict({"model_type": "gru"} | shape | (profile or {}) | {"onnx_parity": parity})
+    golden = {"X": many.astype(np.float32), "p_out": p.astype(np.float32)} | {y: np.array([r[y] for r in taken], np.float32) for y in ys}
+    files = {"model.onnx": model, "weights.npz": _arrays(**weights), "golden.npz": _arrays(**golden)}
+    if "mean" in weights:
+        files["scaler.npz"] = _arrays(mean=weights["mean"].astype(np.float32), scale=weights["scale"].astype(np.float32))
+    for name, value in (("features.json", list(features)), ("profile.json", said)):
+        files[name] = json.dumps(value, allow_nan=False, sort_keys=True).encode()
+    for name, data in files.items():
+        write_bytes(spark, data, f"{path}/{name}")
+    return said

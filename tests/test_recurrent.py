@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import learning as ln
 from loomspark.operators import recurrent as rc
+from loomspark.sources import onnx, sinks
 
 SMALL = rc.Training(hidden=6, layers=2, head=5, dropout=0.0, epochs=6, patience=6, batch=16, rate=0.02, workers=2)
 
@@ -50,3 +53,21 @@ def test_no_sequences(spark):
     with pytest.raises(ValueError):
         rc.fit_gru(none, none, ["y_takeoff", "y_landing"], "id", cfg=SMALL)
     assert rc.fit_temperature(spark.createDataFrame([], "p double, y int")) == 1.0
+
+
+@pytest.mark.parametrize("layers,heat", [(1, 1.0), (2, 1.7)])
+def test_export(spark, tmp_path, layers, heat):
+    pytest.importorskip("onnxruntime")
+    test = made(spark, 40, 3)
+    cfg = rc.Training(hidden=6, layers=layers, head=5)
+    weights = rc.start(3, 2, cfg) | rc.scaler(test)
+    said = sinks.export_sequence_model(test, weights, ["a", "b", "c"], str(tmp_path / "m"), ["y_takeoff", "y_landing"], "id", head=1, heat=heat, profile={"threshold": float("nan"), "trigger_k": 2})
+    assert said["onnx_parity"]["status"] == "ok" and said["onnx_parity"]["max_abs_diff"] < 1e-5
+    stored = json.loads((tmp_path / "m" / "profile.json").read_text())
+    assert stored["threshold"] is None and stored["trigger_k"] == 2 and stored["seq_len"] == 4
+    golden, model = np.load(tmp_path / "m" / "golden.npz"), (tmp_path / "m" / "model.onnx").read_bytes()
+    np.testing.assert_allclose(onnx.run(model, golden["X"]), golden["p_out"], atol=1e-5)
+    assert len(golden["y_landing"]) == 32 and json.loads((tmp_path / "m" / "features.json").read_text()) == ["a", "b", "c"]
+    assert set(np.load(tmp_path / "m" / "scaler.npz")) == {"mean", "scale"}
+    with pytest.raises(ValueError):
+        sinks.export_sequence_model(test.limit(0), weights, [], str(tmp_path / "n"), ["y_takeoff"], "id")

@@ -172,14 +172,22 @@ def best_threshold(scored: DataFrame, beta: float = 1.0, variant: str = "sum") -
     c = curve(scored)
     value = fbeta(F.col("precision"), F.col("recall"), beta, F.lit(1e-10 if variant == "sum" else 1e-12), add=variant == "sum")
     c = c.select("p", F.coalesce(value, F.lit(0.0)).alias("fbeta"))
-    if variant == "before":
-        w = Window.orderBy("p")
-        c = c.withColumn("p", F.coalesce(F.lag("p").over(w), F.col("p")))  # one row for each distinct score
     if variant == "ends":
         whole = scored.agg(F.avg("y").alias("precision")).select(F.lit(0.0).alias("p"), fbeta(F.col("precision"), F.lit(1.0), beta, F.lit(1e-12)).alias("fbeta"))
         c = c.unionByName(whole)
     best = F.max_by(F.struct("p", "fbeta"), F.struct("fbeta", -F.col("p")))
-    return c.agg(best.alias("b")).select(F.col("b.p").alias("threshold"), F.col("b.fbeta").alias("fbeta"))
+    found = c.agg(best.alias("b")).select(F.col("b.p").alias("threshold"), F.col("b.fbeta").alias("fbeta"))
+    if variant == "before":
+        lower = scored.select("p").crossJoin(F.broadcast(found)).agg(F.max(F.when(F.col("p") < F.col("threshold"), F.col("p"))).alias("lower"))  # one row
+        found = found.crossJoin(F.broadcast(lower)).select(F.coalesce("lower", "threshold").alias("threshold"), "fbeta")
+    return found
+
+
+def delays(rows: DataFrame, detect: str = "t_detect", label: str = "t_label") -> DataFrame:
+    """``n, mean, median, p90, p95, min, max`` of the seconds from a sequence's label to its detection, where both are known."""
+    d = F.col(detect) - F.col(label)
+    share = lambda q: F.percentile(d, F.lit(q))
+    return rows.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), share(0.5).alias("median"), share(0.9).alias("p90"), share(0.95).alias("p95"), F.min(d).alias("min"), F.max(d).alias("max"))
 
 
 def recall_threshold(scored: DataFrame, recall: float, corrected: bool = False) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.tables import positions
+
 
 def split_sizes(n: int, val: float, test: float) -> tuple[int, int]:
     """Validation and test recordings of n: at least one each from three on."""
@@ -25,20 +27,20 @@ def split_sizes(n: int, val: float, test: float) -> tuple[int, int]:
 def split_groups(groups: DataFrame, val: float = 0.2, test: float = 0.3, key: str = "rec") -> DataFrame:
     """``rec, part`` (train, val, test): the longest recordings test first, ties by name; no recording is in two parts.
 
-    Quotas depend on the number of recordings alone; the ranking is a distributed sort, numbered partition by partition.
+    Quotas depend on the number of recordings alone; the ranking is a distributed sort, numbered range by range.
     """
     n = groups.count()
     n_val, n_test = split_sizes(n, val, test)
-    ranked = groups.withColumn("__i", F.row_number().over(Window.orderBy(F.desc("hours"), key)) - 1)  # a row for each recording
+    ranked = positions(groups, F.desc("hours"), F.col(key))
     part = F.when(F.col("__i") < n_test, "test").when(F.col("__i") < n_test + n_val, "val").otherwise("train")
     return ranked.select(key, part.alias("part"))
 
 
 def fold_groups(groups: DataFrame, k: int = 5, key: str = "rec", weight: str = "positives") -> DataFrame:
     """``rec, fold``: recordings dealt to the folds in a snake by their positives, so folds are balanced."""
-    i = F.row_number().over(Window.orderBy(F.desc(weight), key)) - 1
+    ranked = positions(groups, F.desc(weight), F.col(key))
     turn, at = F.floor(F.col("__i") / k), F.col("__i") % k
-    return groups.withColumn("__i", i).select(key, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+    return ranked.select(key, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
 def leaks(a: DataFrame, b: DataFrame, key: str = "rec") -> bool:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.scratch import stash
+
 
 def any_present(columns: Sequence[str]) -> Column:
     return F.coalesce(*[F.col(c) for c in columns]).isNotNull().cast("double") if columns else F.lit(0.0)
@@ -90,6 +92,20 @@ def distance_weights(df: DataFrame, y: str, dist: str, near: float, mid: float,
     return rows.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce("weight", "__pos")).drop("__pos")  # one row
 
 
+def positions(df: DataFrame, *order: Column, name: str = "__i") -> DataFrame:
+    """``df`` with each row's place (from 0) in a total order, without a task that sees all rows.
+
+    Rows are dealt to ranges of the order and written once, so that every later read finds the same ranges; places are
+    counted within ranges and shifted by the sizes of the ranges before.
+    """
+    dealt = stash(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1 + F.col("__start")
+    return dealt.join(F.broadcast(starts), "__range").withColumn(name, place).drop("__range", "__start")
+
+
 def draw(*keys: str | Column, seed: int = 42) -> Column:
     """A reproducible draw from 0 to 1 by the MD5 of the seed and the keys."""
     text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k for k in keys))
@@ -109,7 +125,8 @@ def undersample(df: DataFrame, y: str, per_positive: float, *keys: str, seed: in
     if not p or not n or per_positive <= 0 or k == n:
         return df
     negatives = df.where(F.col(y) == 0).withColumn("__u", draw(*keys, seed=seed))
-    return df.where(F.col(y) == 1).unionByName(negatives.orderBy("__u", *keys).limit(k).drop("__u"))
+    few = positions(negatives, F.col("__u"), *map(F.col, keys)).where(F.col("__i") < k)
+    return df.where(F.col(y) == 1).unionByName(few.drop("__u", "__i"))
 
 
 def thin(df: DataFrame, every: int, key: str, *order: str) -> DataFrame:

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars
 from loomspark.operators import events as ev
 from loomspark.operators import features as ft
 from loomspark.operators import learning as ln
+from loomspark.operators import recurrent as rc
 from loomspark.operators import resample as rs
 from loomspark.operators import tables as tb
 from loomspark.operators import windows as wn
 from loomspark.sources import recordings as rec
+from loomspark.sources.scratch import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "window_stats"
@@ -443,6 +445,14 @@ def window_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.sequences(rows, 5, 0, "rec").select("rec", F.col("start").cast("long").alias("start"), "t_detect", "t_label", "label")
 
 
+@query(f"""WITH {SIG}, d AS (SELECT t - lag(t, 2) OVER (PARTITION BY rec ORDER BY t) AS d FROM sig) SELECT count(d) AS n, round(avg(d), 2) AS mean, round(quantile_cont(d, 0.5), 2) AS median,
+  round(quantile_cont(d, 0.9), 2) AS p90, round(quantile_cont(d, 0.95), 2) AS p95, round(min(d), 2) AS min, round(max(d), 2) AS max FROM d""")
+def timing_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("rec").orderBy("t")
+    out = ev.delays(signal(spark, sf_dir).select(F.col("t").alias("t_detect"), F.lag("t", 2).over(w).alias("t_label")))
+    return out.select("n", *(F.round(c, 2).alias(c) for c in out.columns[1:]))
+
+
 @query(f"WITH {SIG}, j AS (SELECT *, coalesce((s - lag(s) OVER (PARTITION BY rec ORDER BY s) > 36000)::INT, 0) AS j FROM z) SELECT event_id, (sum(j) OVER (PARTITION BY rec ORDER BY s))::BIGINT AS session FROM j")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.sessions(rs.zeroed(signal(spark, sf_dir)), 10 * HOUR).select("event_id", "session")
@@ -509,6 +519,17 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.score(model, rows.where("fold = 0")).select("event_id", "y", "p")
 
 
+@query()
+def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small sequence model fitted on part of the recordings, and its scores for the others."""
+    rows = signal(spark, sf_dir).select("rec", F.col("t").alias("t_detect"), F.col("t").alias("t_label"), F.col("event_type").alias("label"), "v", (F.col("event_id") % 11).cast("double").alias("noise"))
+    seqs = wn.sequences(rows, 4, 1, "rec", ["v", "noise"]).withColumns({"y_takeoff": (F.col("label") == "error").cast("int"), "y_landing": (F.col("label") == "signup").cast("int"), "quiet": F.lit(False), "key": F.concat_ws(":", "rec", "start")})
+    seqs = stash(seqs.join(ln.split_groups(groups(spark, sf_dir)), "rec"), "sequences")
+    cfg = rc.Training(hidden=8, layers=1, head=8, epochs=2, workers=4)
+    weights, _ = rc.fit_gru(seqs.where("part = 'train'"), seqs.where("part = 'val'"), ["y_takeoff", "y_landing"], "key", "quiet", cfg=cfg)
+    return ln.gru_scores(seqs.where("part = 'test'"), weights).select("rec", "start", "y_takeoff", "y_landing", F.col("p")[0].alias("p_takeoff"), F.col("p")[1].alias("p_landing"))
+
+
 # -- ingest -------------------------------------------------------------------------------------------------------------
 @query(f"""WITH {SIG}, d AS (SELECT rec, s / 52000 * CASE rec % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 1e3 WHEN 2 THEN 1e6 ELSE 1e9 END AS ts FROM z),
 m AS (SELECT rec, quantile_cont(d, 0.5) AS step FROM (SELECT rec, ts - lag(ts) OVER (PARTITION BY rec ORDER BY ts) AS d FROM d) WHERE d > 0 GROUP BY rec)

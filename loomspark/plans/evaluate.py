@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,50 @@ def fitter(rules: Rules, model: Callable = ln.forest, **how) -> Callable[[DataFr
     return fit
 
 
+def drawn(space: dict[str, Sequence[Any]], n: int, seed: int = 42, first: Sequence[dict[str, Any]] = ()) -> list[dict[str, Any]]:
+    """``n`` different settings from a space of values, ``first`` ones before the drawn; all of them if there are no more."""
+    rng, out, names = np.random.default_rng(seed), [dict(f) for f in first][:n], sorted(space)
+    total = int(np.prod([len(space[k]) for k in names], dtype=float))
+    seen = {tuple(repr(f.get(k)) for k in names) for f in out}
+    for _ in range(64 * max(n, 1)):
+        if len(out) >= n or len(seen) >= total:
+            break
+        one = {k: space[k][int(rng.integers(len(space[k])))] for k in names}
+        mark = tuple(repr(one[k]) for k in names)
+        if mark not in seen:
+            seen.add(mark)
+            out.append(one)
+    return out
+
+
+def search(train: DataFrame, features: Sequence[str], settings: Sequence[dict[str, Any]], rules: Rules = Rules(), model: Callable = ln.forest, **how) -> tuple[dict[str, Any], list[dict[str, Any]]]:
+    """The best of ``settings`` and all of them with their out-of-fold scores, best first by ``pr_auc``, then ``roc_auc``.
+
+    ``train`` has ``fold`` and what :func:`fitter` needs.  Names of a setting that are :class:`Rules` (weights of near and
+    far negatives, say) change the rules, the others go to the model.
+    """
+    if not settings:
+        raise ValueError("there are no settings to choose from")
+    own, table = {f.name for f in fields(Rules)}, []
+    for one in settings:
+        ruled = replace(rules, **{k: v for k, v in one.items() if k in own})
+        fit = fitter(ruled, model, **how | {k: v for k, v in one.items() if k not in own})
+        held = stash(ln.out_of_fold(train, features, fit, rules.folds), "held")
+        best = ev.best_threshold(held, ruled.beta, "ends").first()
+        table.append(dict(one) | ev.average_precision(held).first().asDict() | {"threshold": best.threshold, "fbeta": best.fbeta})
+    table.sort(key=lambda r: (-(r["pr_auc"] or 0.0), -(r["roc_auc"] or 0.0)))
+    return {k: table[0][k] for k in settings[0]}, table
+
+
+def across(reports: Sequence[dict[str, Any]]) -> dict[str, Any]:
+    """Mean and population deviation of every number that all reports (of several seeds, say) have, by its path."""
+    flat = lambda v, at="": {k: x for n, w in v.items() for k, x in (flat(w, f"{at}{n}.") if isinstance(w, dict) else {f"{at}{n}": w}).items()}
+    rows = [flat(r) for r in reports]
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    names = [k for k in (rows[0] if rows else {}) if all(number(r.get(k)) for r in rows)]
+    return {k: {"mean": float(np.mean([r[k] for r in rows])), "std": float(np.std([r[k] for r in rows]))} for k in names}
+
+
 def event_report(scored: DataFrame, marker: str, threshold: float, rules: Rules) -> dict[str, Any]:
     """Trigger-level and segment-level results of scored windows ``(rec, t, p, y, quiet, <marker>)`` at a threshold."""
     flights, quiet = scored.where("not quiet"), scored.where("quiet")

@@ -3,8 +3,10 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loomspark.operators import learning as ln
+from loomspark.operators import tables as tb
 from loomspark.plans import evaluate as e
 from loomspark.sources import sinks
 
@@ -39,3 +41,34 @@ def test_baseline(spark, table, tmp_path, model, how):
 def test_few_quiet_hours_fall_back(table):
     rows = e.labelled(table, "TAKEOFF").withColumnRenamed("a", "p")
     assert e.budget_choice(rows, "t_takeoff", e.Rules(least_hours=1e9))["by"] == "fbeta"
+
+
+def test_drawn_settings():
+    space = {"trees": [4, 8], "depth": [2, 3, 4]}
+    got = e.drawn(space, 4, first=[{"trees": 8, "depth": 3}])
+    assert got[0] == {"trees": 8, "depth": 3} and len({tuple(sorted(g.items())) for g in got}) == 4
+    assert got == e.drawn(space, 4, first=[{"trees": 8, "depth": 3}]) and len(e.drawn(space, 50)) == 6
+
+
+def test_search(table):
+    rows = e.labelled(table, "TAKEOFF").fillna(0.0, ["b"])
+    positives = rows.groupBy("rec").agg({"y": "sum"}).withColumnRenamed("sum(y)", "positives")
+    train = rows.join(ln.fold_groups(positives, 3), "rec")
+    settings = [{"depth": 1, "w_far": 0.2}, {"depth": 3, "w_far": 1.0}]
+    best, ranked = e.search(train, ["a", "b"], settings, e.Rules(folds=3), trees=4)
+    assert best in settings and len(ranked) == 2 and ranked[0]["pr_auc"] >= ranked[1]["pr_auc"] > 0.3
+    with pytest.raises(ValueError):
+        e.search(train, ["a"], [])
+
+
+def test_across():
+    got = e.across([{"a": {"x": 1.0, "s": "q"}, "n": 2}, {"a": {"x": 3.0, "s": "q"}, "n": 2}])
+    assert got == {"a.x": {"mean": 2.0, "std": 1.0}, "n": {"mean": 2.0, "std": 0.0}} and e.across([]) == {}
+
+
+def test_positions(spark):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("id", "id % 10 as g")
+    got = {r.id: r.place for r in tb.positions(rows, F.desc("g"), F.col("id"), name="place").collect()}
+    want = sorted(range(1000), key=lambda i: (-(i % 10), i))
+    assert [got[i] for i in want] == list(range(1000))
+    assert tb.positions(rows.limit(0), F.col("id")).count() == 0

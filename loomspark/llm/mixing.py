@@ -3,13 +3,16 @@
 Every source's documents are dealt into blocks by a hash.  A source of weight w gives its i-th block (from 1) the
 release time floor((i - 1) / w) and the deadline ceil(i / w); each time slot goes to the released block of the earliest
 deadline.  On one processor this meets all deadlines, so at any slot a source has had less than one block more or fewer
-than its weight promises, until a source runs out.  Weights are whole parts of a cycle, after which the schedule
-repeats: the slots of one cycle are computed, and the slot of every block follows by arithmetic.
+than its weight promises, until a source runs out.  Given weights are scheduled exactly, block by block.  Default
+weights, unless ``exact``, are whole parts of a cycle, after which the schedule repeats: one part for each source and
+the others by weight, so shares lean to equal ones and the promise holds for these parts, not for the weights.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from loomspark.llm.sharding import hash_bits, text_bytes
 
 #: Slots of a cycle (more if there are very many sources), bytes of a block, exponent of a source's bytes in its default weight.
 CYCLE, BLOCK, ALPHA = 1000, 4 << 20, 0.7
+#: Blocks of an exact schedule (about 60 bytes each) up to which it is broadcast.
+BROADCAST = 200_000
 
 
 def parts(weights: dict[str | None, float], cycle: int) -> dict[str | None, int]:
@@ -54,9 +59,40 @@ def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int,
     return out
 
 
-def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE) -> DataFrame:
+def exact_schedule(weights: dict[str | None, float], blocks: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
+    """``(source, block, slot, release, deadline)`` of all blocks, by slot, from the weights themselves, without rounding.
+
+    Slots in which no block is released, as sources have run out, are skipped.
+    """
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    names = sorted(blocks, key=lambda s: (s is not None, s))
+    shares = [Fraction(weights[s]) for s in names]
+    unit = lcm(*(w.denominator for w in shares))
+    whole = [int(w * unit) for w in shares]
+    total = sum(whole)
+    waiting = [(0, k, 0) for k in range(len(names)) if blocks[names[k]]]
+    ready: list[tuple[int, int, int, int]] = []
+    slot, out = 0, []
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * total // whole[k]), k, i, release))
+        deadline, k, i, release = heapq.heappop(ready)
+        assert release <= slot < deadline
+        out.append((names[k], i, slot, release, deadline))
+        if i + 1 < blocks[names[k]]:
+            heapq.heappush(waiting, ((i + 1) * total // whole[k], k, i + 1))
+        slot += 1
+    return out
+
+
+def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE, exact: bool | None = None) -> DataFrame:
     """``docs`` with ``__block, __slot, __release, __deadline``; see :func:`mixed`."""
     spark = docs.sparkSession
+    exact = weights is not None if exact is None else exact
     totals = docs.groupBy(F.col("source").alias("s")).agg(F.sum(text_bytes()).alias("bytes")).collect()  # a row for each source
     if weights is None:
         weights = {r.s: max(1, r.bytes) ** alpha for r in totals}
@@ -68,6 +104,14 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
     if not totals:
         none = F.lit(None).cast("long")
         return docs.withColumns({f"__{c}": none for c in ("block", "slot", "release", "deadline")})
+    if exact:
+        counts = {r.s: max(1, -(-r.bytes // block)) for r in totals}
+        sizes = spark.createDataFrame(list(counts.items()), "__s string, __n long")
+        cells = spark.createDataFrame(exact_schedule(weights, counts), "__t string, __i long, __slot long, __release long, __deadline long")
+        dealt = docs.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("__s"))).withColumn("__block", hash_bits() % F.col("__n"))
+        small = sum(counts.values()) <= BROADCAST
+        dealt = dealt.join(F.broadcast(cells) if small else cells, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__block") == F.col("__i")))
+        return dealt.drop("__s", "__n", "__t", "__i")
     shares = parts(weights, max(cycle, 4 * len(totals)))
     whole = sum(shares.values())
     sizes = spark.createDataFrame([(r.s, max(1, -(-r.bytes // block)), shares[r.s]) for r in totals], "__s string, __n long, __share long")
@@ -83,17 +127,19 @@ def order() -> list[Column]:
     return [F.col("__slot"), hash_bits()]
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE, exact: bool | None = None) -> DataFrame:
     """Where every document comes in the mixture: ``doc_id, source, block, slot, release, deadline``.
 
     Reading by slot gives the mixture; slots of a source that has run out are skipped.  ``weights`` are the targets by
-    source (None for rows without one), by default its bytes to the power ``alpha``.  Every document is in one block of
+    source (None for rows without one), by default its bytes to the power ``alpha``; given weights are met exactly, the
+    default ones with ``exact``, else by the parts of a cycle (the rows of :func:`sql`).  Every document is in one block of
     its source, chosen by a hash of the id, about ``block`` bytes a block; null texts have no bytes, null ids hash
     alike, repeated rows come together, an empty table gives no rows.  One aggregate by source is collected (a row for
-    each source), and the cycle that is broadcast has a fixed number of slots or 4 for each source.
+    each source); the cycle that is broadcast has a fixed number of slots or 4 for each source, an exact schedule a row
+    for each block, broadcast if they are few.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return interleave(rows, weights, block, alpha, cycle).selectExpr("doc_id", "source", "__block block", "__slot slot", "__release release", "__deadline deadline")
+    return interleave(rows, weights, block, alpha, cycle, exact).selectExpr("doc_id", "source", "__block block", "__slot slot", "__release release", "__deadline deadline")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:

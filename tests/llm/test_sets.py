@@ -261,6 +261,30 @@ def test_mixing_edge_cases(spark, documents):
         mixing.mixed(documents, {"src0": 1.0})
 
 
+@pytest.mark.parametrize("n", [20, 100])
+def test_given_weights_are_met_within_a_block(spark, n):
+    weights = {str(k): 1 / 3 if k == 0 else 2 / 3 / (n - 1) for k in range(n)}
+    blocks = {s: int(900 * w) + 1 for s, w in weights.items()}
+    cells = mixing.exact_schedule(weights, blocks)
+    assert len(cells) == sum(blocks.values())
+    had = dict.fromkeys(weights, 0)
+    for source, block, slot, release, deadline in cells:
+        assert block == had[source] and release <= slot < deadline
+        had[source] += 1
+        assert slot >= 880 or all(abs(had[s] - (slot + 1) * w) < 1 + 1e-9 for s, w in weights.items())
+    docs = spark.createDataFrame([(k * 10_000 + i, "x", s) for k, (s, b) in enumerate(blocks.items()) for i in range(b)], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, weights, block=1).collect()
+    want = {(s, b): (slot, release, deadline) for s, b, slot, release, deadline in cells}
+    assert len(got) == docs.count() and all(want[r.source, r.block] == (r.slot, r.release, r.deadline) for r in got)
+    assert all(abs(r.block - r.slot * weights[r.source]) < 1 + 1e-9 for r in got)
+
+
+def test_exact_default_weights_and_joined_schedule(spark, documents, monkeypatch):
+    got = {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500, exact=True).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert len(got) == documents.count() and got == {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500, exact=True).collect()}
+
+
 # -- pages
 SIDE = '<div class="box">Buy now &amp; save</div>'
 

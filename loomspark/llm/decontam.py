@@ -5,6 +5,9 @@ lower-cased.  Windows of five such tokens are hashed and hash-joined with the be
 whatever its parameters are.  For windows that hold placeholders the values are kept: on each alignment of a document
 with an item, values must map one to one (the same value of the item always becomes the same value of the document), or
 its matches don't count.  A document is contaminated by an item of whose windows it holds 0.8 or more.
+
+A pair that isn't found so is judged again by windows of any way: templates in which capitalised words at starts of
+sentences are names too, templates without names (for copies in lower case or capitals), and plain lower-cased words.
 """
 
 from __future__ import annotations
@@ -34,46 +37,70 @@ def _quoted(words: list[str]) -> str:
 
 
 def _templates(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__raw``, the lower-cased words, and ``__form``, their canonical forms."""
+    """``rows`` with ``__raw``, the lower-cased words, ``__form``, their canonical forms, and ``__start``, forms in which capitalised words at starts of sentences are names too."""
     tokens = rows.withColumn("__token", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({TOKEN})"), F.lit(0)))
-    bare = "case when ascii(x) in (10, 33, 46, 58, 59, 63) then regexp_replace(x, '^[^\\\\p{L}\\\\p{N}]+', '') else x end"
-    raw = F.expr(f"transform(__token, x -> lower({bare}))")
+    ends = "ascii(x) in (10, 33, 46, 58, 59, 63)"
+    tokens = tokens.withColumn("__bare", F.expr(f"transform(__token, x -> case when {ends} then regexp_replace(x, '^[^\\\\p{{L}}\\\\p{{N}}]+', '') else x end)"))
+    tokens = tokens.withColumn("__raw", F.expr("transform(__bare, x -> lower(x))"))
     form = F.expr(f"""transform(__token, (x, i) -> case
         when ascii(__raw[i]) between 48 and 57 then '{NUMBER}'
         when i > 0 and __raw[i] in ({_quoted(UNITS)}) and ascii(__raw[i - 1]) between 48 and 57 then '{UNIT}'
-        when i > 0 and ascii(x) not in (10, 33, 46, 58, 59, 63) and left(x, 1) <> left(__raw[i], 1) and x <> upper(x) then '{NAME}'
+        when i > 0 and not {ends} and left(x, 1) <> left(__raw[i], 1) and x <> upper(x) then '{NAME}'
         else __raw[i] end)""")
-    return tokens.withColumn("__raw", raw).withColumn("__form", form).drop("__token")
+    start = F.expr(f"""transform(__token, (x, i) -> case
+        when (i = 0 or {ends}) and __form[i] = __raw[i] and left(__bare[i], 1) <> left(__raw[i], 1) and __bare[i] <> upper(__bare[i]) then '{NAME}'
+        else __form[i] end)""")
+    return tokens.withColumn("__form", form).withColumn("__start", start).drop("__token", "__bare")
 
 
 def _is_slot(form: str) -> str:
     return f"{form} in ('{NUMBER}', '{UNIT}', '{NAME}')"
 
 
+def _at(name: str, words: int = WORDS) -> str:
+    return ", ".join(f"{name}[i + {k}]" for k in range(words))
+
+
+def _cut(made: str, words: int = WORDS, where: str = "true") -> str:
+    """An array with ``made`` for each ``i`` at which a window begins, none if the text is shorter or not ``where``."""
+    return f"case when size(__raw) >= {words} and {where} then transform(sequence(0, size(__raw) - {words}), i -> {made}) else array() end"
+
+
 def _windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__windows``: for each window its hash ``h``, and ``slots``, its words, if it holds placeholders.
+    """``rows`` with ``__windows``, ``pos, h, own, slots``: the template of every window (``own``), and, where they differ from it, its plain words and its template with names at starts; ``slots`` are its words, for templates that hold placeholders.
 
-    Explode it with ``posexplode_outer``: for an inner one the optimizer infers a filter on the array's size, pushes it
+    Explode it with ``explode_outer``: for an inner one the optimizer infers a filter on the array's size, pushes it
     below these projections, and so evaluates them all again inside it.
     """
-    at = lambda name: ", ".join(f"{name}[i + {k}]" for k in range(WORDS))
-    slotted = " or ".join(_is_slot(f"__form[i + {k}]") for k in range(WORDS))
-    rows = rows.withColumn("__hash", F.expr("transform(__form, x -> xxhash64(x))")).withColumn("__any", F.expr(f"exists(__form, x -> {_is_slot('x')})"))
-    made = f"""case when size(__form) >= {WORDS} then transform(sequence(0, size(__form) - {WORDS}), i -> struct(
-        xxhash64({at('__hash')}) as h, case when __any and ({slotted}) then array({at('__raw')}) end as slots)) end"""
-    return rows.withColumn("__windows", F.expr(made))
+    rows = rows.withColumn("__hash", F.expr("transform(__form, x -> xxhash64(x))"))
+    # The hashes tell slots: these are where the form's differs from the word's.
+    rows = rows.withColumn("__plain", F.expr("transform(__raw, (x, i) -> case when x = __form[i] then __hash[i] else xxhash64(x) end)"))
+    rows = rows.withColumn("__named", F.expr("transform(__start, (x, i) -> case when x = __form[i] then __hash[i] else xxhash64(x) end)"))
+    differs = lambda a, b: "(" + " or ".join(f"{a}[i + {k}] <> {b}[i + {k}]" for k in range(WORDS)) + ")"
+    words = f"array({_at('__raw')})"
+    own = _cut(f"struct(i as pos, xxhash64({_at('__hash')}) as h, true as own, case when {differs('__hash', '__plain')} then {words} end as slots)")
+    some = lambda a, b, slots: f"filter({_cut(f'case when {differs(a, b)} then struct(i as pos, xxhash64({_at(a)}) as h, false as own, {slots} as slots) end', where=f'{a} <> {b}')}, x -> x is not null)"
+    return rows.withColumn("__windows", F.expr(f"concat({own}, {some('__plain', '__hash', 'cast(null as array<string>)')}, {some('__named', '__hash', words)})"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """``h, item_id, item_pos, total, item_slots, item_types``: windows of the items that are literal enough; ``total`` counts an item's."""
-    rows = _windows(_templates(items.where("item_id is not null").selectExpr("cast(item_id as long) item_id", "text")))
-    rows = rows.select("item_id", "__form", F.posexplode_outer("__windows").alias("item_pos", "w"))
-    types = F.expr(f"slice(__form, item_pos + 1, {WORDS})")
-    rows = rows.select("item_id", "item_pos", "w.h", F.col("w.slots").alias("item_slots"), types.alias("item_types"))
+    """``h, item_id, item_pos, own, total, whole, item_slots, item_types``: windows of the items.
+
+    ``own`` are templates that are literal enough, ``total`` counts an item's.  The others are the plain words of all
+    windows, which ``whole`` counts, and templates, literal enough, with names at starts of sentences or without names.
+    """
+    rows = _templates(items.where("item_id is not null").selectExpr("cast(item_id as long) item_id", "text"))
+    rows = rows.withColumn("__lower", F.expr(f"transform(__form, (x, i) -> case when x = '{NAME}' then __raw[i] else x end)"))
+    kinds = [("__form", "true"), ("__start", "false"), ("__lower", "false"), ("__raw", "false")]
+    made = ", ".join(_cut(f"struct(i as item_pos, {own} as own, array({_at(name)}) as item_types, array({_at('__raw')}) as words)") for name, own in kinds)
+    rows = rows.select("item_id", F.explode_outer(F.expr(f"concat({made})")).alias("w")).select("item_id", "w.*")
+    hashed = ", ".join(f"xxhash64(item_types[{k}])" for k in range(WORDS))
     literal = F.expr(f"size(filter(item_types, x -> not {_is_slot('x')}))")
-    rows = rows.where(literal >= LITERAL).dropDuplicates(["item_id", "item_pos", "h"])
-    totals = rows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
-    return rows.join(totals, "item_id").select("h", "item_id", "item_pos", "total", "item_slots", "item_types")
+    rows = rows.where(literal >= LITERAL).withColumn("h", F.expr(f"xxhash64({hashed})"))
+    rows = rows.groupBy("item_id", "item_pos", "h").agg(F.max("own").alias("own"), F.first("item_types").alias("item_types"), F.first("words").alias("words"))
+    totals = rows.groupBy("item_id").agg(F.expr("count(distinct case when own then item_pos end)").alias("total"), F.countDistinct("item_pos").alias("whole"))
+    slots = F.expr(f"case when exists(item_types, x -> {_is_slot('x')}) then words end").alias("item_slots")
+    return rows.join(totals, "item_id").select("h", "item_id", "item_pos", "own", "total", "whole", slots, "item_types")
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -82,22 +109,27 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     if windows.count() <= BROADCAST:
         windows = F.broadcast(windows)
     rows = _windows(_templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer("__windows").alias("pos", "w")).select("doc_id", "text_key", "pos", "w.h", "w.slots")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer("__windows").alias("w")).select("doc_id", "text_key", "w.pos", "w.h", F.col("w.own").alias("doc_own"), "w.slots")
     return rows.join(windows, "h").drop("h")
 
 
 def _pairs(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """``doc_id, text_key, item_id, n_windows, n_matched, reparameterised`` of contaminated rows."""
+    """``doc_id, text_key, item_id, n_windows, n_matched, reparameterised`` of contaminated rows.
+
+    An item is found by its templates that are literal enough, or else by all its windows, each in any of its ways.
+    """
     key = ["doc_id", "text_key", "item_id"]
     values = f"filter(transform(item_types, (x, i) -> struct(x as t, item_slots[i] as a, slots[i] as b)), v -> {_is_slot('v.t')})"
-    hits = _hits(docs, items).select(*key, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "total", F.expr(f"case when item_slots is not null and slots is not null then {values} end").alias("ab"))
-    # An alignment has one match at most for each window of the item, so its sets are no larger than the item.
-    lines = hits.groupBy(*key, "shift").agg(F.max("total").alias("total"), F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("ab"))).alias("ab"))
-    n_distinct = lambda what: F.size(F.array_distinct(F.expr(f"transform(ab, v -> struct(v.t, {what}))")))
-    sound = lines.where((F.size("ab") <= n_distinct("v.a")) & (F.size("ab") <= n_distinct("v.b")))
-    sound = sound.select(*key, "total", F.expr("exists(ab, v -> v.a <> v.b)").alias("changed"), F.explode_outer("at").alias("item_pos"))
-    found = sound.groupBy(*key).agg(F.max("total").alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("changed").alias("reparameterised"))
-    return found.where(F.col("n_matched") >= share * F.col("n_windows"))
+    hits = _hits(docs, items).select(*key, (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "total", "whole", (F.col("own") & F.col("doc_own")).alias("own"), F.expr(f"case when item_slots is not null and slots is not null then {values} end").alias("ab"))
+    # An alignment has a few matches at most for each window of the item, so its sets are no larger than the item.
+    sets = lambda own, n: [F.collect_set(F.expr(f"case when {own} then item_pos end")).alias(f"at{n}"), F.array_distinct(F.flatten(F.collect_set(F.expr(f"case when {own} then ab end")))).alias(f"ab{n}")]
+    lines = hits.groupBy(*key, "shift").agg(F.max("total").alias("total"), F.max("whole").alias("whole"), *sets("own", 1), *sets("true", 2))
+    n_distinct = lambda n, what: f"size(array_distinct(transform(ab{n}, v -> struct(v.t, v.{what}))))"
+    way = lambda n, size: f"case when size(ab{n}) <= {n_distinct(n, 'a')} and size(ab{n}) <= {n_distinct(n, 'b')} then transform(at{n}, p -> struct({n} as way, {size} as n, p as item_pos, exists(ab{n}, v -> v.a <> v.b) as changed)) else array() end"
+    sound = lines.select(*key, F.explode_outer(F.expr(f"concat({way(1, 'total')}, {way(2, 'whole')})")).alias("m")).select(*key, "m.*")
+    found = sound.groupBy(*key, "way").agg(F.max("n").alias("n_windows"), F.countDistinct("item_pos").alias("n_matched"), F.max("changed").alias("reparameterised"))
+    found = found.where(F.col("n_matched") >= share * F.col("n_windows"))
+    return found.groupBy(*key).agg(F.min(F.struct("way", "n_windows", "n_matched", "reparameterised")).alias("m")).select(*key, "m.n_windows", "m.n_matched", "m.reparameterised")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:

@@ -185,6 +185,26 @@ def test_whole_items_in_the_documents(spark):
     assert want and want <= got and len(got) <= 1.1 * len(want)
 
 
+def test_names_at_starts_and_changed_case(spark):
+    text = "Tom has 5 apples. Anna gives him 3 more apples. How many apples does Tom have now?"
+    other = "Ben has 7 apples. Sara gives him 4 more apples. How many apples does Ben have now?"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = [other, text.lower(), text.upper(), text.lower().replace("5", "9"), "Intro. " + other, other.replace("does Ben", "does Sara"), "Ben has 7 pears. Nothing else of it is here."]
+    got = {r.doc_id: r for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert [got[k].reparameterised for k in range(5)] == [True, False, False, True, True]
+
+
+def test_same_rows_as_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    got = decontam.contaminated(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))).toPandas()
+    want = con.execute(decontam.sql()).df()
+    key = lambda d: sorted(map(tuple, d[["doc_id", "item_id", "n_windows", "n_matched", "reparameterised"]].values.tolist()))
+    assert len(want) and key(got) == key(want)
+
+
 # -- sharding
 def check_shards(rows, limit):
     by = {}

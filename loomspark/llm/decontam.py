@@ -66,8 +66,8 @@ def _cut(made: str, words: int = WORDS, where: str = "true") -> str:
     return f"case when size(__raw) >= {words} and {where} then transform(sequence(0, size(__raw) - {words}), i -> {made}) else array() end"
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__windows``, ``pos, h, own, slots``: the template of every window (``own``), and, where they differ from it, its plain words and its template with names at starts; ``slots`` are its words, for templates that hold placeholders.
+def _windows(rows: DataFrame, short: list[int] = []) -> DataFrame:  # noqa: B006
+    """``rows`` with ``__windows``, ``pos, h, own, slots``: the template of every window (``own``), and, where they differ from it, its plain words and its template with names at starts; ``slots`` are its words, for templates that hold placeholders.  For lengths in ``short`` there are plain windows of that length too (of one word: only a whole text).
 
     Explode it with ``explode_outer``: for an inner one the optimizer infers a filter on the array's size, pushes it
     below these projections, and so evaluates them all again inside it.
@@ -80,7 +80,9 @@ def _windows(rows: DataFrame) -> DataFrame:
     words = f"array({_at('__raw')})"
     own = _cut(f"struct(i as pos, xxhash64({_at('__hash')}) as h, true as own, case when {differs('__hash', '__plain')} then {words} end as slots)")
     some = lambda a, b, slots: f"filter({_cut(f'case when {differs(a, b)} then struct(i as pos, xxhash64({_at(a)}) as h, false as own, {slots} as slots) end', where=f'{a} <> {b}')}, x -> x is not null)"
-    return rows.withColumn("__windows", F.expr(f"concat({own}, {some('__plain', '__hash', 'cast(null as array<string>)')}, {some('__named', '__hash', words)})"))
+    none = "cast(null as array<string>)"
+    few = [_cut(f"struct(i as pos, xxhash64({_at('__plain', n)}) as h, false as own, {none} as slots)", n, "size(__raw) = 1" if n == 1 else "true") for n in short]
+    return rows.withColumn("__windows", F.expr(f"concat({', '.join([own, some('__plain', '__hash', none), some('__named', '__hash', words), *few])})"))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -88,15 +90,17 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
     ``own`` are templates that are literal enough, ``total`` counts an item's.  The others are the plain words of all
     windows, which ``whole`` counts, and templates, literal enough, with names at starts of sentences or without names.
+    An item of fewer words is one plain window.
     """
     rows = _templates(items.where("item_id is not null").selectExpr("cast(item_id as long) item_id", "text"))
     rows = rows.withColumn("__lower", F.expr(f"transform(__form, (x, i) -> case when x = '{NAME}' then __raw[i] else x end)"))
     kinds = [("__form", "true"), ("__start", "false"), ("__lower", "false"), ("__raw", "false")]
     made = ", ".join(_cut(f"struct(i as item_pos, {own} as own, array({_at(name)}) as item_types, array({_at('__raw')}) as words)") for name, own in kinds)
+    made += f", case when size(__raw) between 1 and {WORDS - 1} then array(struct(0 as item_pos, false as own, __raw as item_types, __raw as words)) else array() end"
     rows = rows.select("item_id", F.explode_outer(F.expr(f"concat({made})")).alias("w")).select("item_id", "w.*")
-    hashed = ", ".join(f"xxhash64(item_types[{k}])" for k in range(WORDS))
+    hashed = " ".join(f"when {n} then xxhash64({', '.join(f'xxhash64(item_types[{k}])' for k in range(n))})" for n in range(1, WORDS + 1))
     literal = F.expr(f"size(filter(item_types, x -> not {_is_slot('x')}))")
-    rows = rows.where(literal >= LITERAL).withColumn("h", F.expr(f"xxhash64({hashed})"))
+    rows = rows.where((literal >= LITERAL) | (F.size("item_types").between(1, WORDS - 1))).withColumn("h", F.expr(f"case size(item_types) {hashed} end"))
     rows = rows.groupBy("item_id", "item_pos", "h").agg(F.max("own").alias("own"), F.first("item_types").alias("item_types"), F.first("words").alias("words"))
     totals = rows.groupBy("item_id").agg(F.expr("count(distinct case when own then item_pos end)").alias("total"), F.countDistinct("item_pos").alias("whole"))
     slots = F.expr(f"case when exists(item_types, x -> {_is_slot('x')}) then words end").alias("item_slots")
@@ -108,7 +112,8 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = benchmark_windows(items)
     if windows.count() <= BROADCAST:
         windows = F.broadcast(windows)
-    rows = _windows(_templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    short = sorted(r.n for r in benchmark_windows(items).where(F.size("item_types") < WORDS).select(F.size("item_types").alias("n")).distinct().collect())
+    rows = _windows(_templates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), short)
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer("__windows").alias("w")).select("doc_id", "text_key", "w.pos", "w.h", F.col("w.own").alias("doc_own"), "w.slots")
     return rows.join(windows, "h").drop("h")
 
@@ -136,8 +141,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     """Documents that hold a benchmark item: ``doc_id, item_id, n_windows, n_matched, reparameterised``.
 
     One row for each document id and item; ``reparameterised`` tells that values differ from the item's.  Null or empty
-    texts and texts of fewer than five words match nothing; items without an id, or without a window of three literal
-    words, take no part; repeated rows count once; an empty table on either side gives no rows; rows without a document
+    texts match nothing; items without an id or without a word take no part; an item of two to four words is found as a
+    sequence of plain words, an item of one word only as a whole text; repeated rows count once; an empty table on either side gives no rows; rows without a document
     id are reported with a null id.  Other columns are not read.
 
     The benchmark's windows are counted, and broadcast if they are few, so that only matches are shuffled.

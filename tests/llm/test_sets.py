@@ -195,6 +195,16 @@ def test_names_at_starts_and_changed_case(spark):
     assert [got[k].reparameterised for k in range(5)] == [True, False, False, True, True]
 
 
+def test_items_of_numbers_and_short_items(spark):
+    texts = ["Calculate 12 + 30 * 4 - 7 = ?", "What is 17 * 23?", "Paris", "1 2 3 4 5 6 7 8 9 10 and then we stop it"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = ["Now calculate 12 + 30 * 4 - 7 = 125 at once", "So: what is 17 * 23? It is 391.", "We went to Paris", "paris", texts[3], "What is 17 * 24?", "Calculate 12 + 30 * 4 - 8 = ?"]
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (3, 2), (4, 3)}
+    kept = decontam.decontaminate(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items)
+    assert {r.doc_id for r in kept.collect()} == {2, 5, 6}
+
+
 def test_same_rows_as_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -20,10 +22,23 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def sampled(salt: int, share: float, *columns: str) -> Column:
+    """True for this share of the rows, by a 64-bit hash of the columns: exact to 2^-53, so no share becomes none."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*columns, F.lit(salt)) < F.lit(int(share * 2.0**64) - 2**63)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset it is a temporary one if Spark runs in one process; on a cluster that raises, as each machine
+    would write a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,10 +63,23 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _stashed[:] = [x for x in _stashed if x[1] != path]
+
+
+def stashed() -> int:
+    """How many tables are in the shared folder now, for :func:`discard_since`."""
+    return len(_stashed)
+
+
+def discard_since(mark: int, *keep: str) -> None:
+    """Delete the tables stashed since then but for those at ``keep``, once no plan reads them any longer."""
+    for spark, path in _stashed[mark:]:
+        if path not in keep:
+            discard(spark, path)
 
 
 def _sweep() -> None:
-    for spark, path in _stashed:
+    for spark, path in [*_stashed]:
         try:
             discard(spark, path)
         except Exception:  # the session has ended: its folder goes with the cluster's own cleaning

@@ -3,6 +3,10 @@
 Document frequencies come from every learnable document; the classifier is fitted by follow-the-regularised-leader with
 elastic-net penalties on a bounded sample of each language, and a temperature fitted on examples held back from it
 turns its scores into probabilities.
+
+A document is rejected if it has no letter, if even its likeliest language is hardly likelier than chance, or if its
+n-grams are too rare for that language: their mean inverse document frequency is a number of standard deviations above
+that of the language's examples, more being allowed for short texts, whose mean varies more.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._tables import tune
+from loomspark.llm._tables import sampled, tune
 from loomspark.llm.ftrl import Ftrl, logits, probabilities, temperature
 
 #: Hashed features (2 to this power), n-gram lengths 1 to ORDER, and code points hashed at a time.
 BITS, ORDER, STEP = 15, 3, 1 << 19
 #: At most about this many labelled documents of each language are learned from; passes over them.
 PER_LANGUAGE, EPOCHS = 600, 3
-#: Calibrated probability below which a language counts as not identified: little more than chance among four.
-UNKNOWN, LEAST = "und", 0.3
+#: Calibrated probability below which a long text's language counts as not identified; n-grams at which half of the way from chance to it is required.
+UNKNOWN, LEAST, HALFWAY = "und", 0.4, 300
+#: Standard deviations of the mean rarity of n-grams above which a text is in no learned language; neighbouring n-grams that vary as one; examples that the deviation within a language's documents is known from at least.
+FOREIGN, TIED, KNOWN = 7.0, 6, 20
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -61,26 +67,63 @@ class Model:
     idf: np.ndarray
     languages: list[str]
     heat: float
+    #: By language: mean rarity of its examples, variance between them, and variance of n-grams within one.
+    rarities: np.ndarray
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        index, counts = grams(text)
-        value = np.log1p(counts) * self.idf[index]
-        return index, value / (np.linalg.norm(value) or 1.0)
+    def scores(self, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of the languages."""
+        if len(self.languages) == 1:
+            return np.ones(1)
+        return probabilities(logits(self.weights, *weighted(index, counts, self.idf)) / self.heat)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability; ``und`` and 0 if there is no letter or nothing was learned."""
         if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
-        p = probabilities(logits(self.weights, *self.vector(text)) / self.heat) if len(self.languages) > 1 else np.ones(1)
+        p = self.scores(*grams(text))
         k = int(np.argmax(p))
         return self.languages[k], float(p[k])
 
+    def accepts(self, text: str | None, least: float = LEAST, foreign: float = FOREIGN) -> bool:
+        """Whether the text is in a learned language, as far as its length allows to say."""
+        if not text or not self.languages or not has_letter(text):
+            return False
+        index, counts = grams(text)
+        p = self.scores(index, counts)
+        k, n, chance = int(np.argmax(p)), int(counts.sum()), 1 / len(self.languages)
+        if p[k] < chance + max(0.0, least - chance) * n / (n + HALFWAY):
+            return False
+        mean, between, within = self.rarities[k]
+        return bool(counts @ self.idf[index] / n <= mean + foreign * np.sqrt(between + TIED * within / n))
+
+
+def weighted(index: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sublinear TF-IDF of unit length."""
+    value = np.log1p(counts) * idf[index]
+    return index, value / (np.linalg.norm(value) or 1.0)
+
+
+def _rarities(examples: list[tuple[np.ndarray, np.ndarray, int]], idf: np.ndarray, languages: int) -> np.ndarray:
+    """``mean, variance between, variance within`` by language, those of all examples where a language has few."""
+    rows = []
+    for index, counts, y in examples:
+        n = counts.sum()
+        mean = counts @ idf[index] / n
+        rows.append((y, mean, counts @ (idf[index] - mean) ** 2 / n))
+    y, mean, within = np.array(rows).T if rows else np.zeros((3, 0))
+    out = []
+    for k in range(languages):
+        own = y == k if (y == k).sum() >= KNOWN else np.ones(len(y), bool)
+        out.append((mean[own].mean(), mean[own].var(), within[own].mean()) if own.any() else (np.inf, 0.0, 0.0))
+    return np.array(out).reshape(-1, 3)
+
 
 def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) that ``learnable`` marks and that have a language and a text.
 
     Frequencies cover all these rows.  The classifier's sample holds about ``per_language`` rows of each language,
-    chosen by a hash of the id, so the driver gets at most that many sparse vectors for each language.
+    chosen by a hash of the id and the text, repeated rows once, so the driver gets about that many sparse vectors of at
+    most 2^BITS entries for each language.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -104,9 +147,12 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, ep
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return Model(np.zeros(((1 << BITS) + 1, 1)), idf, [], 1.0)
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(1e6 * min(1.0, per_language / counts[lang]))))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < share[F.col("lang")])
+        return Model(np.zeros(((1 << BITS) + 1, 1)), idf, [], 1.0, np.zeros((0, 3)))
+    chosen = F.lit(False)
+    for lang in languages:
+        chosen = chosen | ((F.col("lang") == lang) & sampled(4, per_language / counts[lang], "doc_id", "text"))
+    # A repeated row is chosen with all its copies: they are merged where they are read, before the exchange.
+    sample = rows.where(chosen).groupBy("doc_id", "lang", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("doc_id", "text", "lang")
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,17 +160,15 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, ep
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i.tolist() for i, _ in pairs], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in pairs], pa.list_(pa.int32()))], names=["doc_id", "lang", "i", "c"])
 
     got = sample.mapInArrow(vectors, "doc_id long, lang string, i array<int>, c array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    examples = []
-    for lang, i, c in zip(got["lang"].to_pylist(), got["i"], got["c"]):
-        index = np.asarray(i.values)
-        value = np.log1p(np.asarray(c.values)) * idf[index]
-        examples.append((index, value / (np.linalg.norm(value) or 1.0), languages.index(lang)))
-    back = [e for k, e in enumerate(examples) if k % 5 == 4]
+    examples = [(np.asarray(i.values), np.asarray(c.values), languages.index(lang)) for lang, i, c in zip(got["lang"].to_pylist(), got["i"], got["c"]) if len(i)]
+    rarities = _rarities(examples, idf, len(languages))
     if len(languages) == 1:
-        return Model(np.zeros(((1 << BITS) + 1, 1)), idf, languages, 1.0)
-    weights = Ftrl(1 << BITS, len(languages)).fit([e for k, e in enumerate(examples) if k % 5 != 4], epochs)
+        return Model(np.zeros(((1 << BITS) + 1, 1)), idf, languages, 1.0, rarities)
+    vectors_of = lambda back: [(*weighted(i, c, idf), y) for k, (i, c, y) in enumerate(examples) if (k % 5 == 4) is back]
+    weights = Ftrl(1 << BITS, len(languages)).fit(vectors_of(False), epochs)
+    back = vectors_of(True)
     heat = temperature(np.array([logits(weights, i, v) for i, v, _ in back]), np.array([y for _, _, y in back], int))
-    return Model(weights, idf, languages, heat)
+    return Model(weights, idf, languages, heat, rarities)
 
 
 def held_out() -> Column:
@@ -147,7 +191,8 @@ def lang_id(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     Learns from ``train`` (default: ``docs``), held-out ids excluded; rows with a null id are neither held out nor
     learned from.  A null text or one without a letter is ``und`` with score 0, as is everything when no row has a
     language; ties go to the language first in the alphabet.  Repeated rows give repeated rows, an empty table none;
-    columns other than doc_id, text and lang are not read.
+    columns other than doc_id, text and lang are not read.  A very long text is hashed in pieces of STEP code points, so
+    it takes little more memory than itself.
     """
     model = predictor(docs, fit(docs if train is None else train, learnable()))
 
@@ -160,16 +205,19 @@ def lang_id(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, train: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with at least this calibrated probability, all columns as they are."""
+def keep_identified(docs: DataFrame, train: DataFrame, least: float = LEAST, foreign: float = FOREIGN) -> DataFrame:
+    """The rows of ``docs`` in a language learned from ``train``, all columns as they are.
+
+    Rows go whose text is null, has no letter, is not identified with a probability of ``least`` (less for short texts,
+    down to chance), or consists of n-grams too rare for its language by ``foreign`` standard deviations; without any
+    labelled row all go.  Repeated rows are judged alike; an empty table gives none.
+    """
     model = predictor(docs, fit(train, learnable()))
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            said = [m.predict(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in said], pa.bool_()))
+            yield batch.filter(pa.array([m.accepts(t, least, foreign) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-

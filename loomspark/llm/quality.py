@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._tables import tune
+from loomspark.llm._tables import sampled, tune
 from loomspark.llm.ftrl import Ftrl, logits, probabilities
 
 #: Hashed features (2 to this power); about how many labelled documents are learned from; least number of updates; score from which a document is good.
@@ -42,13 +42,14 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE, updates: int = UPDATES) -> np.ndarray:
     """Weights learned from about ``sample`` labelled rows, chosen by a hash of the id, of those that ``learnable`` marks.
 
-    The chosen labels (two integers each) are broadcast, and as many sparse vectors come to the driver: both are bounded
-    by ``sample``.
+    The chosen labels (two integers each) are broadcast, and as many sparse vectors, of 2^BITS entries at most each, come
+    to the driver: both are bounded by ``sample``.  Repeated rows of either table are learned from once.
     """
-    known = labels.where(learnable & F.col("quality").isin(0, 1)).selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) y")
+    known = labels.where(learnable & F.col("quality").isin(0, 1)).selectExpr("cast(doc_id as long) doc_id", "cast(quality as int) y").distinct()
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1))))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    chosen = known.where(sampled(8, sample / max(n, 1), "doc_id"))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("doc_id", "text", "y")
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +67,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from ``labels`` (doc_id, quality) outside the held-out ids; rows with a null id are neither held out nor
     learned from, and labels other than 0 and 1 are ignored.  A null or empty text scores by the bias alone, as does
     everything (0.5) without labels.  Repeated rows give repeated rows, an empty table none; other columns are not read.
-    The weights broadcast to the tasks have a fixed size.
+    A very long text is one list of words and its distinct features at a time.  The weights broadcast to the tasks have a fixed size.
     """
     tune(docs.sparkSession)
     learnable = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False))

@@ -1,125 +1,109 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's documents are dealt into blocks by a hash.  A source of weight w gives its i-th block (from 1) the
-release time floor((i - 1) / w) and the deadline ceil(i / w); each time slot goes to the released block of the earliest
-deadline.  On one processor this meets all deadlines, so at any slot a source has had less than one block more or fewer
-than its weight promises, until a source runs out.  Given weights are scheduled exactly, block by block.  Default
-weights, unless ``exact``, are whole parts of a cycle, after which the schedule repeats: one part for each source and
-the others by weight, so shares lean to equal ones and the promise holds for these parts, not for the weights.
+Every source's documents are dealt into blocks by a hash.  A source of weight w (weights are whole numbers or fractions,
+w their share) gives its i-th block (from 1) the release time floor((i - 1) / w) and the deadline ceil(i / w), without
+rounding; each time slot goes to the released block of the earliest deadline.  On one processor this meets all
+deadlines, so at any slot a source has had less than one block more or fewer than its weight promises, until a source
+runs out.  Slots in which no block is released, as sources have run out, are skipped.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
+from itertools import islice
 from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._tables import stash
 from loomspark.llm.sharding import hash_bits, text_bytes
 
-#: Slots of a cycle (more if there are very many sources), bytes of a block, exponent of a source's bytes in its default weight.
-CYCLE, BLOCK, ALPHA = 1000, 4 << 20, 0.7
-#: Blocks of an exact schedule (about 60 bytes each) up to which it is broadcast.
+#: Bytes of a block at most, blocks that the input makes at least (smaller inputs have smaller blocks), exponent of a source's bytes in its default weight.
+BLOCK, SPREAD, ALPHA = 4 << 20, 512, 0.7
+#: Blocks of a schedule (about 60 bytes each) up to which it is broadcast.
 BROADCAST = 200_000
 
+CELLS = "__t string, __i long, __slot long, __release long, __deadline long"
 
-def parts(weights: dict[str | None, float], cycle: int) -> dict[str | None, int]:
-    """Whole parts of the cycle for each source, one at least, by largest remainders."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    names = sorted(weights, key=lambda s: (s is not None, s))
-    spare, total = cycle - len(names), sum(weights.values())
-    exact = {s: spare * weights[s] / total for s in names}
-    got = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: int(exact[s]) - exact[s])[: cycle - sum(got.values())]:
-        got[s] += 1
-    return got
-
-
-def schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """``(source, block, slot, release, deadline)`` of one cycle, by slot: the earliest deadline of the released goes first."""
-    cycle = sum(shares.values())
-    names = sorted(shares, key=lambda s: (s is not None, s))
-    window = lambda k, i: (i * cycle // shares[names[k]], -(-(i + 1) * cycle // shares[names[k]]))
-    waiting = [(0, k, 0) for k in range(len(names))]
-    ready: list[tuple[int, int, int, int]] = []
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(cycle):
-        while waiting and waiting[0][0] <= slot:
-            release, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(k, i)[1], k, i, release))
-        deadline, k, i, release = heapq.heappop(ready)
-        assert release <= slot < deadline
-        out.append((names[k], i, slot, release, deadline))
-        if i + 1 < shares[names[k]]:
-            heapq.heappush(waiting, (window(k, i + 1)[0], k, i + 1))
-    return out
+Cell = tuple[str | None, int, int, int, int]
+
+
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The same proportions as whole numbers, exactly."""
+    if any(not 0 < w < float("inf") for w in weights.values()):
+        raise ValueError("target weights must be positive and finite")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def by_size(n_bytes: int, alpha: float = ALPHA) -> int:
+    """The default weight of a source: its bytes to the power ``alpha``, a whole number."""
+    return int(max(1, n_bytes) ** alpha)
 
 
-def exact_schedule(weights: dict[str | None, float], blocks: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """``(source, block, slot, release, deadline)`` of all blocks, by slot, from the weights themselves, without rounding.
+def schedule(weights: dict[str | None, float], blocks: dict[str | None, int]) -> Iterator[Cell]:
+    """``(source, block, slot, release, deadline)`` of all blocks, by slot; memory for one block of each source.
 
-    Slots in which no block is released, as sources have run out, are skipped.
+    Ties of deadlines go to the source first in order, null before all.
     """
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
     names = sorted(blocks, key=lambda s: (s is not None, s))
-    shares = [Fraction(weights[s]) for s in names]
-    unit = lcm(*(w.denominator for w in shares))
-    whole = [int(w * unit) for w in shares]
-    total = sum(whole)
+    parts = whole({s: weights[s] for s in names})
+    share = [parts[s] for s in names]
+    total = sum(share)
     waiting = [(0, k, 0) for k in range(len(names)) if blocks[names[k]]]
     ready: list[tuple[int, int, int, int]] = []
-    slot, out = 0, []
+    slot = 0
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * total // whole[k]), k, i, release))
+            heapq.heappush(ready, (-(-(i + 1) * total // share[k]), k, i, release))
         deadline, k, i, release = heapq.heappop(ready)
         assert release <= slot < deadline
-        out.append((names[k], i, slot, release, deadline))
+        yield names[k], i, slot, release, deadline
         if i + 1 < blocks[names[k]]:
-            heapq.heappush(waiting, ((i + 1) * total // whole[k], k, i + 1))
+            heapq.heappush(waiting, ((i + 1) * total // share[k], k, i + 1))
         slot += 1
-    return out
 
 
-def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE, exact: bool | None = None) -> DataFrame:
+def _cells(docs: DataFrame, weights: dict[str | None, float], blocks: dict[str | None, int]) -> DataFrame:
+    """The schedule as a table, made by one task as a stream and written once: neither it nor the driver holds it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = schedule(weights, blocks) if batch.num_rows else iter(())
+            while part := list(islice(cells, 10_000)):
+                columns = list(zip(*part))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["__t", "__i", "__slot", "__release", "__deadline"])
+
+    return stash(docs.sparkSession.range(1).coalesce(1).mapInArrow(run, CELLS), "schedule")[0]
+
+
+def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``__block, __slot, __release, __deadline``; see :func:`mixed`."""
     spark = docs.sparkSession
-    exact = weights is not None if exact is None else exact
     totals = docs.groupBy(F.col("source").alias("s")).agg(F.sum(text_bytes()).alias("bytes")).collect()  # a row for each source
-    if weights is None:
-        weights = {r.s: max(1, r.bytes) ** alpha for r in totals}
-    else:
-        missing = [r.s for r in totals if r.s not in weights]
-        if missing:
-            raise ValueError(f"no target weight for the sources {missing[:5]}")
-        weights = {r.s: weights[r.s] for r in totals}
     if not totals:
         none = F.lit(None).cast("long")
         return docs.withColumns({f"__{c}": none for c in ("block", "slot", "release", "deadline")})
-    if exact:
-        counts = {r.s: max(1, -(-r.bytes // block)) for r in totals}
-        sizes = spark.createDataFrame(list(counts.items()), "__s string, __n long")
-        cells = spark.createDataFrame(exact_schedule(weights, counts), "__t string, __i long, __slot long, __release long, __deadline long")
-        dealt = docs.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("__s"))).withColumn("__block", hash_bits() % F.col("__n"))
-        small = sum(counts.values()) <= BROADCAST
-        dealt = dealt.join(F.broadcast(cells) if small else cells, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__block") == F.col("__i")))
-        return dealt.drop("__s", "__n", "__t", "__i")
-    shares = parts(weights, max(cycle, 4 * len(totals)))
-    whole = sum(shares.values())
-    sizes = spark.createDataFrame([(r.s, max(1, -(-r.bytes // block)), shares[r.s]) for r in totals], "__s string, __n long, __share long")
-    slots = spark.createDataFrame(schedule(shares), "__t string, __i long, __at long, __from long, __to long")
-    dealt = docs.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("__s"))).withColumn("__block", hash_bits() % F.col("__n"))
-    dealt = dealt.join(F.broadcast(slots), F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__block") % F.col("__share") == F.col("__i")))
-    start = F.floor(F.col("__block") / F.col("__share")) * whole
-    return dealt.withColumns({"__slot": start + F.col("__at"), "__release": start + F.col("__from"), "__deadline": start + F.col("__to")}).drop("__s", "__n", "__share", "__t", "__i", "__at", "__from", "__to")
+    missing = [r.s for r in totals if weights is not None and r.s not in weights]
+    if missing:
+        raise ValueError(f"no target weight for the sources {missing[:5]}")
+    weights = {r.s: by_size(r.bytes, alpha) if weights is None else weights[r.s] for r in totals}
+    block = block or min(BLOCK, max(1, -(-sum(r.bytes for r in totals) // SPREAD)))
+    blocks = {r.s: max(1, -(-r.bytes // block)) for r in totals}
+    sizes = F.broadcast(spark.createDataFrame(list(blocks.items()), "__s string, __n long"))
+    dealt = docs.join(sizes, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__block", hash_bits() % F.col("__n"))
+    # Beyond the bound both sides are shuffled by block, of which none is larger than a few documents beyond its size.
+    cells = _cells(docs, weights, blocks)
+    small = sum(blocks.values()) <= BROADCAST
+    return dealt.join(F.broadcast(cells) if small else cells, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__block") == F.col("__i"))).drop("__s", "__n", "__t", "__i")
 
 
 def order() -> list[Column]:
@@ -127,43 +111,68 @@ def order() -> list[Column]:
     return [F.col("__slot"), hash_bits()]
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE, exact: bool | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """Where every document comes in the mixture: ``doc_id, source, block, slot, release, deadline``.
 
-    Reading by slot gives the mixture; slots of a source that has run out are skipped.  ``weights`` are the targets by
-    source (None for rows without one), by default its bytes to the power ``alpha``; given weights are met exactly, the
-    default ones with ``exact``, else by the parts of a cycle (the rows of :func:`sql`).  Every document is in one block of
-    its source, chosen by a hash of the id, about ``block`` bytes a block; null texts have no bytes, null ids hash
-    alike, repeated rows come together, an empty table gives no rows.  One aggregate by source is collected (a row for
-    each source); the cycle that is broadcast has a fixed number of slots or 4 for each source, an exact schedule a row
-    for each block, broadcast if they are few.
+    Reading by slot gives the mixture.  ``weights`` are the targets by source (None for rows without one), met exactly;
+    by default a source's is its bytes to the power ``alpha``, rounded down.  Every document is in one block of its
+    source, chosen by a hash of the id (of the text, for rows without an id), about ``block`` bytes a block: by default
+    BLOCK, or less where the input wouldn't make SPREAD blocks.  A document is never split, so a very long one makes its
+    block larger; null texts have no bytes; repeated rows come together; an empty table gives no rows; other columns are
+    not read.  One aggregate by source is collected (a row for each source); the schedule has a row for each block and is
+    broadcast if they are few, else joined.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return interleave(rows, weights, block, alpha, cycle, exact).selectExpr("doc_id", "source", "__block block", "__slot slot", "__release release", "__deadline deadline")
+    return interleave(rows, weights, block, alpha).selectExpr("doc_id", "source", "__block block", "__slot slot", "__release release", "__deadline deadline")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """``docs``, all rows and columns, in the order of the mixture: file after file, row after row."""
+    """``docs``, all rows and columns, in the order of the mixture: written, file after file and row after row.
+
+    :func:`positions` finds that order again in what was written.
+    """
     rows = interleave(docs, **how)
     return rows.repartitionByRange(*order()).sortWithinPartitions(*order()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def sql(block: int = BLOCK, alpha: float = ALPHA, cycle: int = CYCLE) -> str:
+def positions(docs: DataFrame) -> DataFrame:
+    """``docs``, as read from one folder of files, with ``position``, the number of each row (from 0) by file and row.
+
+    A frame that is not read from files is written to the shared folder first.  The table of files is broadcast: one
+    row for each, counted before.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        docs = stash(docs, "placed")[0]
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = sorted((r.file, r.n) for r in placed.groupBy(F.col("__file").alias("file")).agg(F.count("*").alias("n")).collect())  # a row for each file
+    starts, at = [], 0
+    for file, n in sizes:
+        starts.append((file, at))
+        at += n
+    table = docs.sparkSession.createDataFrame(starts, "__name string, __start long")
+    placed = placed.join(F.broadcast(table) if len(starts) <= BROADCAST else table, F.col("__file") == F.col("__name"))
+    return placed.withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__name", "__start")
+
+
+def sql(block: int = BLOCK, spread: int = SPREAD, alpha: float = ALPHA) -> str:
     """The same rows in DuckDB's SQL, for default weights."""
     return f"""
 WITH RECURSIVE tot AS (SELECT source, sum(COALESCE(octet_length(encode(text)), 0))::BIGINT AS bytes FROM documents GROUP BY source),
-w AS (SELECT source, bytes, power(greatest(1, bytes)::DOUBLE, {alpha}::DOUBLE) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS k, count(*) OVER () AS n FROM tot),
-c AS (SELECT *, greatest({cycle}, 4 * n) AS cyc, (greatest({cycle}, 4 * n) - n) * w / sum(w) OVER () AS exact FROM w),
-p AS (SELECT *, 1 + floor(exact)::BIGINT + (row_number() OVER (ORDER BY floor(exact) - exact, k) <= cyc - sum(1 + floor(exact)::BIGINT) OVER ())::BIGINT AS share FROM c),
-l AS (SELECT list(share ORDER BY k) AS sh, any_value(cyc) AS cyc FROM p),
+size AS (SELECT least({block}, greatest(1, (sum(bytes) + {spread} - 1) // {spread}))::BIGINT AS block FROM tot),
+w AS (SELECT source, floor(power(greatest(1, bytes)::DOUBLE, {alpha}::DOUBLE))::BIGINT AS w, greatest(1, (bytes + block - 1) // block)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM tot, size),
+l AS (SELECT list(w ORDER BY k) AS w, list(n ORDER BY k) AS n, sum(w)::BIGINT AS t FROM w),
 due AS (
-  SELECT 0::BIGINT AS slot, sh, cyc, list_transform(sh, lambda x: 0::BIGINT) AS i, list_transform(sh, lambda x: (cyc + x - 1) // x) AS d FROM l
+  SELECT 0::BIGINT AS slot, w, n, t, list_transform(w, lambda x: 0::BIGINT) AS i, list_transform(w, lambda x: ((t + x - 1) // x)::BIGINT) AS d FROM l
   UNION ALL
-  SELECT slot + 1, sh, cyc, j, list_transform(range(1, len(sh) + 1), lambda q: CASE WHEN j[q] < sh[q] AND j[q] * cyc // sh[q] <= slot + 1 THEN ((j[q] + 1) * cyc + sh[q] - 1) // sh[q] ELSE 9000000000 END)
-  FROM (SELECT *, list_transform(range(1, len(sh) + 1), lambda q: i[q] + (q = list_position(d, list_min(d)))::BIGINT) AS j FROM due) WHERE slot + 1 < cyc),
-cell AS (SELECT list_position(d, list_min(d)) AS k, i[list_position(d, list_min(d))] AS i, slot, list_min(d) AS deadline FROM due),
-docs AS (SELECT doc_id, d.source, k, share, cyc, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT % greatest(1, (bytes + {block} - 1) // {block}) AS block
-  FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, source, block, block // share * cyc + slot AS slot, block // share * cyc + i * cyc // share AS release, block // share * cyc + deadline AS deadline
-FROM docs JOIN cell ON cell.k = docs.k AND cell.i = block % share
+  SELECT s, w, n, t, j, list_transform(range(1, len(w) + 1), lambda q: CASE WHEN j[q] < n[q] AND j[q] * t // w[q] <= s THEN (((j[q] + 1) * t + w[q] - 1) // w[q])::BIGINT ELSE 9000000000000000000 END)
+  FROM (SELECT *, greatest(slot + 1, list_min(list_transform(range(1, len(w) + 1), lambda q: CASE WHEN j[q] < n[q] THEN (j[q] * t // w[q])::BIGINT ELSE 9000000000000000000 END))) AS s
+    FROM (SELECT *, list_transform(range(1, len(w) + 1), lambda q: i[q] + (q = list_position(d, list_min(d)))::BIGINT) AS j FROM due)) WHERE j <> n),
+cell AS (SELECT list_position(d, list_min(d)) AS k, i[list_position(d, list_min(d))] AS i, slot, list_min(d) AS deadline, t FROM due)
+SELECT doc_id, d.source, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '~' || md5(text), '')), 1, 15))::BIGINT % n AS block, slot, i * t // w AS release, deadline
+FROM documents d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+JOIN cell ON cell.k = w.k AND cell.i = ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '~' || md5(text), '')), 1, 15))::BIGINT % n
 """

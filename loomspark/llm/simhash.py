@@ -44,15 +44,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every text, the 64 bits as a signed long."""
+    """``doc_id, key, fp`` of every text: a hash of the text that tells rows of one id apart, and the 64 bits as a signed long."""
     tune(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) key", "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _masks(weights: Iterable[int]) -> list[int]:
@@ -97,15 +97,14 @@ def linked(distinct: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; see :func:`simhash_groups`."""
+    """``doc_id, key, fp, class, component_id`` of every row; ``class`` is a fingerprint of the group, see :func:`simhash_groups`."""
     prints, _ = stash(fingerprints(docs), "fingerprints")
-    named = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named, _ = stash(named, "distinct")
-    name = lambda side: named.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first"))
-    links = linked(named.select("fp")).join(name("a"), "a").join(name("b"), "b").select("a_first", "b_first")
-    roots, _ = components(links, "a_first", "b_first")
-    classes = named.join(roots, F.col("first") == F.col("node"), "left").select("fp", F.coalesce("root", "first").alias("root"))
-    return prints.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    named, _ = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots, _ = components(linked(named.select("fp")), "a", "b")
+    classes = named.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
+    least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
+    classes = classes.select("fp", "class").join(least, "class")
+    return prints.join(classes, "fp", "left").select("doc_id", "key", "fp", "class", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
@@ -113,20 +112,24 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     Texts without words (null, empty, white space) have fingerprint zero and link like any other.  A row without an id
     gets its fingerprint and no component: it names no document.  Repeated rows give repeated rows, an empty table none;
-    other columns are not read.  Links are sought between distinct fingerprints, so exact copies cost one row each.
+    other columns are not read.  Links are sought between distinct fingerprints, so exact copies cost one row each.  A
+    very long text is hashed STEP shingles at a time.
     """
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every near-duplicate group, that of the smallest id, with all columns as they are.
+    """One row of every near-duplicate group, with all columns as they are.
 
-    Rows without an id stay.  If an id repeats, one of its rows stays.
+    It is that of the smallest id (of the smallest hash of the text, if the id has several texts in the group); a group
+    of rows without ids keeps one of them.  An id whose texts are in several groups keeps one row in each.  Of rows that
+    repeat both id and text one stays, whichever.
     """
-    found, _ = stash(grouped(docs), "groups")
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    repeated = not stay.where(F.col("__rows") > 1).isEmpty()
-    kept = docs.join(stay.select("__kept"), F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    members = grouped(docs).groupBy("class", "doc_id", "key").agg(F.count("*").alias("n"))
+    stay = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "n")).alias("m"))
+    stay, _ = stash(stay.select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__key"), (F.col("m.n") > 1).alias("__repeated")), "groups")
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if stay.where("__repeated").isEmpty():
+        return kept.select(*own)
+    return kept.where("not __repeated").select(*own).unionByName(kept.where("__repeated").dropDuplicates(["__id", "__key"]).select(*own))

@@ -1,5 +1,6 @@
 """Operators on whole tables against brute force."""
 
+import itertools
 import random
 import re
 
@@ -75,7 +76,10 @@ def test_odd_texts_and_ids(spark):
     assert {(5, "0" * 16, 3), (3, "0" * 16, 3), (9, one, 9), (None, one, None)} <= got
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 4, 9]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [3, 4, 9]
+    several = [(9, "one", "a"), (9, "one", "b"), (9, "two other words", "c"), (None, "no id", "d"), (None, "no id", "d"), (8, "two other words", "e")]
+    kept = simhash.keep_one(spark.createDataFrame(several, "doc_id long, text string, fp string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, "no id"), (8, "two other words"), (9, "one")]
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
@@ -226,39 +230,48 @@ def check_shards(rows, limit):
     return by
 
 
-@pytest.mark.parametrize("limit", [1, 3000, 20_000, 1 << 30])
-def test_shards_fit_and_match_sql(spark, documents, limit):
+@pytest.mark.parametrize("limit", [1, 3000, 20_000, 1 << 30, None])
+def test_shards_fit_and_match_sql(spark, documents, limit, monkeypatch):
     got = sharding.shards(documents, limit).toPandas()
-    check_shards(list(got.itertuples()), limit)
+    total = int(got.n_bytes.sum())
+    by = check_shards(list(got.itertuples()), limit or -(-total // sharding.SPREAD))
+    assert limit or len(by) >= sharding.SPREAD
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    want = con.execute(sharding.sql(limit)).df()
+    want = con.execute(sharding.sql(limit, 1) if limit else sharding.sql()).df()
     key = lambda d: sorted(map(tuple, d[["doc_id", "n_bytes", "shard", "shard_depth"]].values.tolist()))
     assert key(got) == key(want)
+    monkeypatch.setattr(sharding, "BROADCAST", 0)
+    assert key(sharding.shards(documents, limit).toPandas()) == key(got)
 
 
 def test_one_id_and_odd_rows(spark):
-    df = spark.createDataFrame([(7, "x" * 100, "c")] * 50 + [(None, None, "c"), (8, "y" * 5000, "c")], "doc_id long, text string, bytes string")
-    got = sharding.shards(df, 1000).collect()
-    by = check_shards([r for r in got if r.doc_id != 7], 1000)
-    assert len(got) == 52 and sum(r.n_bytes for r in got) == 10_000
-    assert len({r.shard for r in got if r.doc_id == 7}) > 1 and by
+    df = spark.createDataFrame([(7, "x" * 100, "c")] * 50 + [(None, None, "c"), (None, None, "d"), (None, "z", "c"), (8, "y" * 5000, "c")], "doc_id long, text string, bytes string")
+    rows = sharding.shards(df, 1000)
+    got = rows.collect()
+    check_shards(got, 1000)
+    assert len(got) == 54 and sum(r.n_bytes for r in got) == 10_001
+    assert len({r.shard for r in got if r.doc_id == 7}) >= 5 and sorted(map(str, rows.collect())) == sorted(map(str, got))
     assert sharding.assign(df, 1000).columns == ["doc_id", "text", "bytes", "shard", "shard_depth"]
-    assert sharding.shards(df.limit(0), 1000).count() == 0
+    assert sharding.shards(df.limit(0), 1000).count() == 0 and sharding.shards(df.limit(0)).columns == ["doc_id", "n_bytes", "shard", "shard_depth"]
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, f"{i:04d}" * 500, "s") for i in range(100)], "doc_id long, text string, source string")
+    check_shards(sharding.shards(df, 10_000).collect(), 10_000)
+    blocks = {r.block for r in mixing.mixed(df, block=2000).collect()}
+    assert len(blocks) > 50
 
 
 # -- mixing
-@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0}, {"a": 0.7, "b": 0.2, None: 0.1}, {str(i): 1 + i * i for i in range(30)}])
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0}, {"a": 0.7, "b": 0.2, None: 0.1}, {str(i): 1 + i * i for i in range(30)}, {str(i): 0.97 if i == 0 else 1e-4 for i in range(300)}])
 def test_schedule_keeps_within_a_block(weights):
-    shares = mixing.parts(weights, 1000)
-    assert sum(shares.values()) == 1000
-    had = dict.fromkeys(shares, 0)
-    for source, block, slot, release, deadline in mixing.schedule(shares):
+    total = sum(weights.values())
+    had = dict.fromkeys(weights, 0)
+    for source, block, slot, release, deadline in itertools.islice(mixing.schedule(weights, dict.fromkeys(weights, 10_000)), 5000):
         assert block == had[source] and release <= slot < deadline
         had[source] += 1
-        for s, n in had.items():
-            assert abs(n - (slot + 1) * shares[s] / 1000) < 1
-    assert had == shares
+        assert all(abs(n - (slot + 1) * weights[s] / total) < 1 + 1e-9 for s, n in had.items())
 
 
 def test_mixed_rows(spark, documents):
@@ -275,11 +288,11 @@ def test_mixed_rows(spark, documents):
     assert slots == sorted(slots) and len(slots) == len(order)
 
 
-@pytest.mark.parametrize("block", [500, 20_000])
+@pytest.mark.parametrize("block", [500, 20_000, None])
 def test_mixing_matches_sql(spark, documents, block):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    got, want = mixing.mixed(documents, block=block).toPandas(), con.execute(mixing.sql(block)).df()
+    got, want = mixing.mixed(documents, block=block).toPandas(), con.execute(mixing.sql(block, 1) if block else mixing.sql()).df()
     assert sorted(map(tuple, got[want.columns].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
@@ -295,7 +308,7 @@ def test_mixing_edge_cases(spark, documents):
 def test_given_weights_are_met_within_a_block(spark, n):
     weights = {str(k): 1 / 3 if k == 0 else 2 / 3 / (n - 1) for k in range(n)}
     blocks = {s: int(900 * w) + 1 for s, w in weights.items()}
-    cells = mixing.exact_schedule(weights, blocks)
+    cells = list(mixing.schedule(weights, blocks))
     assert len(cells) == sum(blocks.values())
     had = dict.fromkeys(weights, 0)
     for source, block, slot, release, deadline in cells:
@@ -309,10 +322,34 @@ def test_given_weights_are_met_within_a_block(spark, n):
     assert all(abs(r.block - r.slot * weights[r.source]) < 1 + 1e-9 for r in got)
 
 
-def test_exact_default_weights_and_joined_schedule(spark, documents, monkeypatch):
-    got = {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500, exact=True).collect()}
+def test_joined_schedule(spark, documents, monkeypatch):
+    got = {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500).collect()}
     monkeypatch.setattr(mixing, "BROADCAST", 0)
-    assert len(got) == documents.count() and got == {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500, exact=True).collect()}
+    assert len(got) == documents.count() and got == {(r.doc_id, r.slot) for r in mixing.mixed(documents, block=500).collect()}
+
+
+def test_default_weights_and_blocks(spark, documents):
+    """By default there are several blocks of each source, and no prefix of the mixture strays a block from the weights."""
+    rows = mixing.mixed(documents).collect()
+    sizes = {r.source: r.n for r in documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    weights = {s: int(n**mixing.ALPHA) for s, n in sizes.items()}
+    block = -(-sum(sizes.values()) // mixing.SPREAD)
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    assert min(blocks.values()) > 5
+    cells = {(r.source, r.block): r.slot for r in rows}
+    want = {(s, b): slot for s, b, slot, _, _ in mixing.schedule(weights, blocks)}
+    assert cells.items() <= want.items()
+
+
+def test_positions_tell_the_order_that_was_written(spark, documents, tmp_path):
+    slots = {r.doc_id: r.slot for r in mixing.mixed(documents).collect()}
+    mixing.mixture(documents).write.parquet(f"file://{tmp_path}/mix")
+    rows = mixing.positions(spark.read.parquet(f"file://{tmp_path}/mix")).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(slots)))
+    order = [slots[r.doc_id] for r in rows]
+    assert order == sorted(order)
+    made = spark.createDataFrame([(3, "a"), (4, "b")], "doc_id long, position string").drop("position")
+    assert {r.position for r in mixing.positions(made).collect()} == {0, 1}
 
 
 # -- pages

@@ -209,6 +209,64 @@ def test_items_of_numbers_and_short_items(spark):
     assert {r.doc_id for r in kept.collect()} == {2, 5, 6}
 
 
+def test_more_reparameterised_questions(spark):
+    """Planted variants with names, numbers and units changed, in first position too, among other text."""
+    frames = [
+        "{A} bought {n} {u} of flour and {m} {u} of sugar for the bakery. How much did {A} carry home in total?",
+        "If {A} drives {n} {u} before noon and {B} drives {m} {u} after lunch, who has covered the longer distance?",
+        "What is the capital of {A} and how many people lived there in {n} according to the census?",
+        "{A} and {B} share a room. {A} pays {n} dollars while {B} pays {m} dollars every week until they move out.",
+        "The tank holds {n} litres of water when {A} opens the valve; after {m} minutes it is empty again. Find the flow.",
+    ]
+    names, units, rng = "Tom Anna Boris Clara Wei Priya Omar Greta Ivan Nadia".split(), ["kg", "pounds", "km", "miles"], random.Random(5)
+
+    def made(f):
+        a, b = rng.sample(names, 2)
+        return f.format(A=a, B=b, n=rng.randint(2, 99), m=rng.randint(100, 999), u=rng.choice(units))
+
+    items = spark.createDataFrame([(k, made(f)) for k, f in enumerate(frames)], "item_id long, text string")
+    docs, want = [], set()
+    for k in range(100):
+        want.add((k, k % len(frames)))
+        docs.append((k, rng.choice(["", "some words go before it here. ", "Note: "]) + made(frames[k % len(frames)]) + rng.choice(["", " And more text follows.", "\nthe end"])))
+    docs += [(1000 + k, "Nothing of the kind is asked here, though {} has {} apples and the tank holds water.".format(rng.choice(names), k)) for k in range(30)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert len(got & want) >= 0.95 * len(want) and got <= want
+
+
+def test_questions_in_lower_case_and_in_the_middle(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "Define entropy briefly please")], "item_id long, text string")
+    docs = ["x What is the capital of Spain today", "what is the capital of france", "tell me what is the capital of Spain", "So: define entropy briefly please.", "the capital of France is known to all"]
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (1, 1), (2, 1), (3, 2)}
+
+
+def test_repeated_rows_and_a_long_text(spark):
+    item = "A train leaves Paris at 60 km per hour and meets Anna after 3 hours near Lyon"
+    items = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    long = "other words come first " * 20_000 + item + " and words go on " * 20_000
+    rows = [(1, item, "a"), (1, item, "b"), (2, long, "c"), (3, long.replace("Lyon", "Bonn").replace("60 km", "75 miles"), "d"), (4, "clean", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    assert sorted(r.doc_id for r in decontam.contaminated(docs, items).collect()) == [1, 2, 3]
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == [4]
+    assert decontam.decontaminate(docs, items).columns == docs.columns
+
+
+def _same_as_sql(spark, docs, items):
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", items.toPandas())
+    got, want = decontam.contaminated(docs, items).toPandas(), con.execute(decontam.sql()).df()
+    key = lambda d: sorted(map(tuple, d[["doc_id", "item_id", "n_windows", "n_matched", "reparameterised"]].values.tolist()))
+    assert len(want) and key(got) == key(want)
+
+
+def test_odd_items_as_in_sql(spark):
+    texts = ["Calculate 12 + 30 * 4 - 7 = ?", "What is 17 * 23?", "Paris", "1 2 3 4 5 6 7 8 9 10 and then we stop it", "Tom has 5 apples. Anna gives him 3 more apples. How many apples does Tom have now?", "\u00c9mile court 5 Km et \u00c9mile boit 3 l", "", None]
+    docs = ["Now calculate 12 + 30 * 4 - 7 = 125 at once", "So: what is 17 * 23?", "paris", texts[3], texts[4].upper(), texts[4].replace("Tom", "Ben").replace("5", "8.5"), texts[4].replace("does Tom", "does Anna"), texts[5].lower(), texts[5].replace("5", "7"), "", None]
+    _same_as_sql(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+
+
 def test_same_rows_as_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):

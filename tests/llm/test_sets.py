@@ -441,6 +441,47 @@ def test_odd_pages(spark):
     assert style_tree.extract(deep, set()) == "x"
 
 
+def test_the_tree_decides(spark):
+    """Hashed class names and no article: only repetition over the host's pages tells what is furniture."""
+    made = lambda i: f"<body><div class='x9f'><a href='/'>Home</a> <a href='/b'>Wares</a></div><div class='k2'><h2>Title {i}</h2><div><p>Story {i} goes on</p></div></div><div class='q7'>All rights with Foo</div></body>"
+    rows = [(i, f"http://h.example/{i}", made(i), 1) for i in range(6)]
+    assert texts(spark, rows) == [f"Title {i} Story {i} goes on" for i in range(6)]
+    assert style_tree.extract(made(1), set()) == "Home Wares Title 1 Story 1 goes on All rights with Foo"
+    assert texts(spark, rows[:1]) == ["Home Wares Title 0 Story 0 goes on All rights with Foo"]
+
+
+def test_boilerplate_inside_of_articles(spark):
+    long = "and a good many other words that this page alone has, of which there are plenty"
+    made = lambda i: f"<article><h1>Title {i}</h1><div><a>Share</a> <a>Print</a></div><p>Story {i} {long}</p><p>Tell your friends!</p></article>"
+    rows = [(i, f"http://h.example/{i}", made(i), 1) for i in range(8)]
+    assert texts(spark, rows) == [f"Title {i} Story {i} {long}" for i in range(8)]
+
+
+def test_words_of_classes_are_prior_knowledge_only(spark):
+    made = lambda i: f"<div class='layout no-sidebar'><div class='post has-comments'><p class='social-history'>Important {i}</p><div class='menu-item recipe'>Soup {i}</div></div><div class='cookie-banner'>We use {i} cookies</div></div>"
+    rows = [(i, f"http://h.example/{i}", made(i), 1) for i in range(5)]
+    assert texts(spark, rows) == [f"Important {i} Soup {i}" for i in range(5)]
+    assert texts(spark, rows[:1]) == ["Important 0 Soup 0"]
+    only = [(i, f"http://h.example/{i}", f"<div class='widget'><p>Text {i}</p></div><div class='ad'>Buy</div>", 1) for i in range(5)]
+    assert texts(spark, only) == [f"Text {i}" for i in range(5)]
+
+
+def test_comments_and_teasers_as_articles(spark):
+    made = lambda i: f"<main><article class='story'><p>Story {i}</p></article><article class='teaser'><p>Read this</p></article></main><div class='comments'><article><p>I, {i}, agree</p></article></div>"
+    assert texts(spark, [(i, f"http://h.example/{i}", made(i), 1) for i in range(6)]) == [f"Story {i}" for i in range(6)]
+
+
+def test_large_pages_and_joined_cuts(spark, monkeypatch):
+    wide = "".join(f"<div class='c{chr(97 + k % 26)} d{k % 7}'><p>Part {k}</p></div>" for k in range(6000))
+    rows = [page(i, f"<article><h1>Head {i}</h1><p>Word{i} and more</p></article>") for i in range(7)] + [(7, "http://h.example/7", "<div>" * 200 + wide + "</div>" * 200, 1), (8, "http://one.example/", "<p>Alone</p><nav>x</nav>", 1)]
+    got = texts(spark, rows)
+    assert got[:7] == [f"Head {i} Word{i} and more" for i in range(7)] and got[8] == "Alone"
+    assert got[7] == " ".join(f"Part {k}" for k in range(6000))
+    monkeypatch.setattr(style_tree, "BROADCAST", 0)
+    monkeypatch.setattr(style_tree, "HOT", 2)
+    assert texts(spark, rows) == got
+
+
 def test_articles_of_the_table(spark):
     import html
 

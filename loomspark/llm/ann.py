@@ -1,35 +1,39 @@
 """Nearest neighbours by multi-index hashing of learned rotated binary codes.
 
-Iterative quantisation learns several rotations on a bounded sample; the signs of the rotated, centred components form
-the code.  A code is cut into substrings of 16 bits, each with its own table.  Codes within a radius R of a query agree
-with it within R // m bits in one of the m substrings at least (pigeonhole), so probing those balls in all tables
-retrieves every code within R; the retrieved are verified and reranked by the original floats.  Where the balls are
-larger than the tables, all codes are verified instead, which retrieves the same.  The radius is the one that holds
-nearly all true neighbours of sampled vectors.  Queries that still find fewer than k candidates are searched again with
-the radius of the whole code, so none comes back short.
+Iterative quantisation learns rotations on a bounded sample; the signs of the rotated, centred components form the code.
+A code is cut into substrings of 16 bits, each with its own table: the rows of every value, by a directory of all 65,536.
+Of m substrings, codes within a radius R = m r + a of a query agree with it within r bits in one of the first a + 1, or
+within r - 1 bits in one of the others (pigeonhole), so probing those balls in all tables retrieves every code within R;
+the retrieved are verified over the whole code, and those within R reranked by the original floats.
+
+The radius is the one that holds nearly all true neighbours of a few pilot rows, which are searched exactly among all
+rows, so it narrows as the table grows.  Queries that still find fewer than k candidates are searched again with the
+radius of the whole code, so none comes back short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
-from math import ceil, comb
+from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._tables import stash
+from loomspark.llm._tables import sampled, stash
 
-#: Vectors to learn from at most (about), rotations, rounds of quantisation, share of sampled neighbours inside the radius.
-SAMPLE, ROTATIONS, ROUNDS, INSIDE = 8192, 4, 20, 0.985
-#: Queries sent to the tasks at a time (about), rows of a table block, queries verified at a time.
-QUERIES, BLOCK, STRIP = 4096, 8192, 128
+#: Vectors to learn from at most (about), pilot rows (about), bits of a code at least, rounds of quantisation, share of the pilots' neighbours inside the radius.
+SAMPLE, PILOTS, BITS, ROUNDS, INSIDE = 8192, 64, 64, 20, 0.97
+#: Bytes of the queries sent to the tasks at a time (about), and of the rows of a block of tables.
+QUERIES, BLOCK = 64 << 20, 32 << 20
+#: Rows of an Arrow batch, and results yielded at a time.
+ROWS, YIELD = 8192, 1024
 WORD = 16
 
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "query_id long, vec_id long, score double, bits int"
 
 
 @dataclass
@@ -38,42 +42,44 @@ class Codec:
 
     centre: np.ndarray
     turn: np.ndarray
-    radius: int
+
+    @property
+    def words(self) -> int:
+        return self.turn.shape[1] // WORD
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        bits = np.packbits((x - self.centre) @ self.turn > 0, axis=1)
-        spare = -bits.shape[1] % 8
-        return np.pad(bits, ((0, 0), (0, spare))).view(np.uint16)
+        return np.packbits((x - self.centre) @ self.turn > 0, axis=1).view(np.uint16)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of each row of ``a`` from each row of ``b``."""
-    x, y = a.view(np.uint64), b.view(np.uint64)
     total = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(x.shape[1]):
-        total += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    for k in range(a.shape[1]):
+        total += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
     return total
 
 
-def learn(sample: np.ndarray, k: int, seed: int = 10) -> Codec:
-    """Rotations by iterative quantisation, and the radius that holds the share INSIDE of sampled k-neighbourhoods."""
+def learn(sample: np.ndarray, seed: int = 10) -> Codec:
+    """Rotations by iterative quantisation, as many as make up BITS; the code has a whole number of substrings."""
     rng = np.random.default_rng(seed)
     centre = sample.mean(0)
-    x = sample - centre
+    x, width = sample - centre, sample.shape[1]
     turns = []
-    for _ in range(ROTATIONS):
-        r = np.linalg.qr(rng.normal(size=(x.shape[1],) * 2))[0]
+    for _ in range(ceil(BITS / width)):
+        r = np.linalg.qr(rng.normal(size=(width, width)))[0]
         for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.where(x @ r > 0, 1.0, -1.0).T @ x)
             r = (u @ v).T
         turns.append(r)
-    codec = Codec(centre, np.hstack(turns), 0)
-    codes = codec.encode(sample)
-    probes = rng.permutation(len(sample))[:256]
-    near = ((sample[probes] ** 2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * sample[probes] @ sample.T).argsort(1, kind="stable")[:, : k + 1]
-    ham = np.take_along_axis(distances(codes[probes], codes), near, 1)
-    codec.radius = int(np.ceil(np.quantile(ham, INSIDE))) if ham.size else 16 * codes.shape[1]
-    return codec
+    turn = np.hstack(turns)
+    return Codec(centre, turn[:, : turn.shape[1] // WORD * WORD])
+
+
+@lru_cache(WORD + 1)
+def ball(radius: int) -> np.ndarray:
+    """All substrings with at most so many bits."""
+    every = np.arange(1 << WORD, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= radius]
 
 
 class Tables:
@@ -81,33 +87,32 @@ class Tables:
 
     def __init__(self, codes: np.ndarray):
         self.codes = np.ascontiguousarray(codes)
-        self.order: np.ndarray | None = None
-
-    def _index(self) -> None:
         self.order = self.codes.argsort(0, kind="stable")
-        self.values = np.take_along_axis(self.codes, self.order, 0)
-
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each query the rows of all codes within the radius."""
-        n, m = self.codes.shape
-        small = radius // m
-        if m * sum(comb(WORD, i) for i in range(min(small, WORD) + 1)) >= n:  # the balls cover the block: verify all
-            for at in range(0, len(queries), STRIP):
-                ham = distances(queries[at : at + STRIP], self.codes)
-                for i, row in enumerate(ham <= radius):
-                    yield at + i, np.flatnonzero(row)
-            return
-        if self.order is None:
-            self._index()
-        ball = np.array([sum(1 << b for b in bits) for i in range(small + 1) for bits in combinations(range(WORD), i)], np.uint16)
-        for i, q in enumerate(queries):
-            found = []
-            for j in range(m):
-                values = self.values[:, j]
-                low, high = np.searchsorted(values, q[j] ^ ball, "left"), np.searchsorted(values, q[j] ^ ball, "right")
-                found += [self.order[a:b, j] for a, b in zip(low, high) if a < b]
-            rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            yield i, rows[distances(q[None], self.codes[rows])[0] <= radius] if len(rows) else rows
+        # Rows of a value v in table j: order[start[j][v] : start[j][v + 1], j].
+        self.start = [np.concatenate(([0], np.bincount(self.codes[:, j], minlength=1 << WORD).cumsum())) for j in range(self.codes.shape[1])]
+
+    def probed(self, query: np.ndarray, radius: int) -> np.ndarray:
+        """The rows, ascending, that the balls of the pigeonhole principle retrieve."""
+        r, a = divmod(radius, len(query))
+        hit = np.zeros(len(self.codes), bool)
+        for j, value in enumerate(query):
+            small = r if j <= a else r - 1
+            if small < 0:
+                continue
+            values = value ^ ball(min(small, WORD))
+            low, size = self.start[j][values], self.start[j][values.astype(np.int64) + 1]
+            size = size - low
+            low, size = low[size > 0], size[size > 0]
+            if len(low):  # the ranges low .. low + size, one after the other
+                skip = np.concatenate(([0], size[:-1].cumsum()))
+                hit[self.order[np.repeat(low - skip, size) + np.arange(size.sum()), j]] = True
+        return np.flatnonzero(hit)
+
+    def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all codes within the radius, and their distances in bits."""
+        rows = self.probed(query, radius)
+        bits = distances(query[None], self.codes[rows])[0]
+        return rows[bits <= radius], bits[bits <= radius]
 
 
 def usable(vectors: DataFrame, size: int | None = None) -> DataFrame:
@@ -123,31 +128,45 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _scan(rows: DataFrame, codec: Codec, ids: np.ndarray, queries: np.ndarray, radius: int, k: int) -> DataFrame:
-    """Each task's k nearest of every query among the codes within the radius."""
+    """For every query the k nearest of each block of rows among the codes within the radius."""
     sent = rows.sparkSession.sparkContext.broadcast((codec, ids, queries))
 
+    def searched(names: np.ndarray, x: np.ndarray, codec: Codec, ids: np.ndarray, queries: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tables = Tables(codec.encode(x))
+        out: list[tuple[np.ndarray, ...]] = []
+        for i, code in enumerate(codes):
+            found, bits = tables.within(code, radius)
+            other = names[found] != ids[i]
+            found, bits = found[other], bits[other]
+            if len(found):
+                d, who = np.sqrt(((x[found] - queries[i]) ** 2).sum(1)), names[found]
+                if len(d) > 4 * k:  # all that ties with the k-th stays for the sort
+                    near = d <= np.partition(d, k - 1)[k - 1]
+                    d, who, bits = d[near], who[near], bits[near]
+                top = np.lexsort((who, d))[:k]
+                out.append((np.full(len(top), ids[i]), who[top], d[top], bits[top].astype(np.int32)))
+            if len(out) >= YIELD or out and i + 1 == len(codes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score", "bits"])
+                out = []
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, ids, queries = sent.value
         codes, width = codec.encode(queries), queries.shape[1]
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        names: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            yield from searched(np.concatenate(names), np.concatenate(vectors), codec, ids, queries, codes)
+            names.clear()
+            vectors.clear()
+
         for batch in batches:
-            names, x = np.asarray(batch.column(0)), _matrix(batch.column(1), width)
-            for i, found in Tables(codec.encode(x)).within(codes, radius):
-                found = found[names[found] != ids[i]]
-                if not len(found):
-                    continue
-                d, who = np.append(best[i][0], np.sqrt(((x[found] - queries[i]) ** 2).sum(1))), np.append(best[i][1], names[found])
-                if len(d) > 4 * k:  # all that ties with the k-th stay for the sort
-                    near = d <= np.partition(d, k - 1)[k - 1]
-                    d, who = d[near], who[near]
-                top = np.lexsort((who, d))[:k]
-                best[i] = d[top], who[top]
-        for at in range(0, len(ids), 1024):
-            part = best[at : at + 1024]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids[at : at + 1024], [len(d) for d, _ in part])), pa.array(np.concatenate([w for _, w in part])), pa.array(np.concatenate([d for d, _ in part]))],
-                names=["query_id", "vec_id", "score"],
-            )
+            names.append(np.asarray(batch.column(0)))
+            vectors.append(_matrix(batch.column(1), width))
+            if sum(map(len, names)) * width * 8 >= BLOCK:
+                yield from block()
+        if names:
+            yield from block()
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -161,44 +180,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAM
     """The k nearest other rows of every query row by Euclidean distance: ``query_id, rank, vec_id, score``.
 
     ``is_query`` is a condition on vec_id.  Rows without an id, and vectors that are null, zero or hold null or
-    non-finite components, take no part; neither do vectors of another length than most.  Where an id has several
-    vectors the smallest stands for it, so repeated rows count once.  Ties go to the smaller vec_id.  With fewer than k
-    other rows, all are returned; an empty table gives no rows.  Other columns are not read.
+    non-finite components, take no part; neither do vectors of another length than most, which have no distance.  Where
+    an id has several vectors the smallest stands for it, so repeated rows count once.  Ties go to the smaller vec_id.
+    With fewer than k other rows, all are returned; an empty table gives no rows.  Other columns are not read.
 
-    Queries are searched against all rows in blocks: about QUERIES of them at a time are sent to the tasks, and a task
-    holds one block of BLOCK rows and k results for each query.
+    The sample, the pilots and the queries of one pass (QUERIES bytes) come to the driver and go to the tasks; a task
+    holds one block of rows (BLOCK bytes) with its tables.  All rows are passed once for the pilots, and once for as many
+    queries as fit in QUERIES bytes.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = usable(vectors).groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
     common = sizes.orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
     if not common:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     width, n = common[0]["size"], common[0]["ids"]
     rows = usable(vectors, width)
     if common[0]["n"] > n:
         rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    part = lambda salt, share: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1_000_000)) < int(1e6 * min(1.0, share))
-    learned = rows.where(part(1, sample / n)).toArrow().sort_by("vec_id")
-    codec = learn(_matrix(learned["v"].combine_chunks(), width), k)
+    of = lambda table: (np.asarray(table["vec_id"].combine_chunks()), _matrix(table["v"].combine_chunks(), width))
     asked = rows.where(is_query)
-    blocks = max(1, ceil(asked.count() / QUERIES))
-    results = []
+    blocks = max(1, ceil(asked.count() * width * 8 / QUERIES))
+    learned = of(rows.where(sampled(1, sample / n, "vec_id")).toArrow().sort_by("vec_id"))[1]
+    if not len(learned):  # a sample of very few rows may be empty
+        learned = np.zeros((1, width))
+    codec = learn(learned)
+    radius = every = WORD * codec.words
+    pilots = of(rows.where(sampled(3, PILOTS / n, "vec_id")).toArrow().sort_by("vec_id"))
+    if len(pilots[0]):
+        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        found = _scan(rows, codec, *pilots, every, k).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        bits = np.asarray(found.select("bits").toArrow()["bits"].combine_chunks())  # k for each pilot
+        radius = int(np.ceil(np.quantile(bits, INSIDE))) if len(bits) else every
+    out = none
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)) == b).toArrow().sort_by("vec_id")
-        if not block.num_rows:
+        ids, x = of(asked.where(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)) == b).toArrow().sort_by("vec_id"))
+        if not len(ids):
             continue
-        ids, x = np.asarray(block["vec_id"].combine_chunks()), _matrix(block["v"].combine_chunks(), width)
-        found, _ = stash(_ranked(_scan(rows, codec, ids, x, codec.radius, k), k), "nearest")
+        found, _ = stash(_ranked(_scan(rows, codec, ids, x, radius, k), k), "nearest")
         full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select("query_id").toArrow()  # at most a block's ids
         short = ~np.isin(ids, np.asarray(full["query_id"].combine_chunks()))
         if short.any():
-            more, _ = stash(_ranked(_scan(rows, codec, ids[short], x[short], 16 * codec.turn.shape[1], k), k), "nearest")
+            more, _ = stash(_ranked(_scan(rows, codec, ids[short], x[short], every, k), k), "nearest")
             found = found.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids[short]], "query_id long")), "query_id", "left_anti").unionByName(more)
-        results.append(found)
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+        out = found if out is none else out.unionByName(found)
     return out

@@ -143,15 +143,30 @@ def test_far_queries_are_not_short(spark):
     assert {r.vec_id for r in got} == {v for v, _ in plain_nearest(np.arange(301), x, 300, 10)}
 
 
-@pytest.mark.parametrize("radius", [0, 3, 17, 40, 64])
+@pytest.mark.parametrize("radius", [0, 3, 17, 18, 40, 64])
 def test_tables_retrieve_every_code(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 16, (40, 4)).astype(np.uint16)
-    codes = base[rng.integers(0, 40, 3000)] ^ (1 << rng.integers(0, 16, (3000, 4))).astype(np.uint16) * (rng.random((3000, 4)) < 0.4)
-    queries = np.ascontiguousarray(codes[:20].astype(np.uint16))
-    ham = ann.distances(queries, np.ascontiguousarray(codes.astype(np.uint16)))
-    for i, found in ann.Tables(codes.astype(np.uint16)).within(queries, radius):
-        assert (found == np.flatnonzero(ham[i] <= radius)).all()
+    codes = (base[rng.integers(0, 40, 3000)] ^ (1 << rng.integers(0, 16, (3000, 4))).astype(np.uint16) * (rng.random((3000, 4)) < 0.4)).astype(np.uint16)
+    tables = ann.Tables(codes)
+    ham = ann.distances(codes[:20], codes)
+    for i, query in enumerate(codes[:20]):
+        found, bits = tables.within(query, radius)
+        assert (found == np.flatnonzero(ham[i] <= radius)).all() and (bits == ham[i][found]).all()
+        # What is probed is what the pigeonhole principle says, and no more.
+        r, a = divmod(radius, 4)
+        near = [np.bitwise_count(codes[:, j] ^ query[j]) <= (r if j <= a else r - 1) for j in range(4)]
+        assert (tables.probed(query, radius) == np.flatnonzero(np.any(near, 0))).all()
+
+
+def test_queries_in_several_passes(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 20))
+    want = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(embeddings(spark, x), F.col("vec_id") % 4 == 0).collect()}
+    monkeypatch.setattr(ann, "QUERIES", 20 * 8 * 30)
+    monkeypatch.setattr(ann, "BLOCK", 20 * 8 * 50)
+    monkeypatch.setattr(ann, "YIELD", 7)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(embeddings(spark, x), F.col("vec_id") % 4 == 0).collect()}
+    assert len(want) == 1000 and got == want
 
 
 # -- decontamination

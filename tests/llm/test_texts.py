@@ -53,6 +53,47 @@ def test_chunk_maps_compose(library, documents, monkeypatch, chunk):
         assert counter.count(r.text[:1500]) == len(library.encode(r.text[:1500]))
 
 
+def test_maps_of_chunks_give_exit_states_and_counts():
+    """The value of a composed map is that of running the characters, for any entry state."""
+    import public_tokenizers
+
+    counter = token_counts.compiled(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    for _ in range(200):
+        made = lambda: "".join(rng.choice("theringanso\u2581\u2581\u00e9x1") for _ in range(rng.randint(1, 25)))
+        a, b, c = made(), made(), made()
+        entry, _ = counter.run(token_counts.START, "\u2581" + made())
+        left = counter.join(counter.join(counter.chunk(a), counter.chunk(b)), counter.chunk(c))
+        right = counter.join(counter.chunk(a), counter.join(counter.chunk(b), counter.chunk(c)))
+        rest = made()  # states that remember another word before a reset count alike
+        got = [(n, counter.run(state, rest)[1]) for state, n in (counter.apply(left, entry), counter.apply(right, entry), counter.run(entry, a + b + c))]
+        assert got[0] == got[1] == got[2]
+
+
+def test_very_long_texts_are_counted_in_parts(spark, library, monkeypatch):
+    rng = random.Random(4)
+    words = ["the", "quick", "\u00e9t\u00e9", "  ", "Donaudampf", "42", "\n", ",", "\u6587\u5b57"]
+    long = " ".join(rng.choice(words) for _ in range(3000))
+    texts = [long, "x" * 9000, " " * 4000 + "a", long, "short one", None, "", "\u2581 \u2581" * 900 + "b " * 700]
+    monkeypatch.setattr(token_counts, "LONG", 1000)
+    monkeypatch.setattr(token_counts, "CHUNK", 300)
+    got = token_counts.token_counts(frame(spark, texts)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
+    for r in got:
+        assert r.n_tokens == len(library.encode(texts[r.doc_id] or "")) and r.n_bytes == len((texts[r.doc_id] or "").encode())
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    token_counts.compiled.cache_clear()
+    monkeypatch.setattr(token_counts, "MARK", "_")
+    with pytest.raises(ValueError):
+        token_counts.compiled(path)
+    token_counts.compiled.cache_clear()
+
+
 def test_bounded_tables_change_nothing(library, documents, monkeypatch):
     import public_tokenizers
 

@@ -186,7 +186,7 @@ def branches(seen: DataFrame) -> DataFrame:
 
 def _cuts(seen: DataFrame) -> DataFrame:
     """``host, what, key``: the low branches ("b") of every host, and its contents ("c") that nearly all pages repeat."""
-    ranked, _ = stash(branches(seen), "branches")
+    ranked = branches(seen)
     best = ranked.where("path = ''").select("host", F.col("importance").alias("best"))
     low = ranked.join(best, "host").where(F.col("importance") < LOW * F.col("best"))
     pages = seen.where("path = '' and kind = 's'").groupBy("host").agg(F.sum("n").alias("pages")).where(F.col("pages") >= PAGES)
@@ -238,11 +238,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     tune(spark)
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
     seen, _ = stash(observations(named), "seen")
-    cuts, _ = stash(_cuts(seen), "cuts")
+    cuts = _cuts(seen)
+    got = cuts.limit(BROADCAST + 1).toArrow()  # bounded, whatever the number of hosts
     result = lambda batch, texts: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if cuts.count() <= BROADCAST:
-        got = cuts.toArrow()
+    if got.num_rows <= BROADCAST:
         sets: dict[str, tuple[set[int], set[int]]] = {}
         for name, what, key in zip(*(got[c].to_pylist() for c in ("host", "what", "key"))):
             sets.setdefault(name, (set(), set()))[what == "c"].add(key)
@@ -255,6 +255,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         return named.mapInArrow(run, SCHEMA)
 
+    cuts, _ = stash(cuts, "cuts")
     hot = seen.where("path = '' and kind = 's'").groupBy("host").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select(F.col("host").alias("hot"), F.ceil(F.col("n") / HOT).alias("parts"))
     hot = F.broadcast(hot)  # one row for each HOT pages at most
     parts = F.coalesce("parts", F.lit(1))

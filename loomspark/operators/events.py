@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from math import exp
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import score_or_least
+from loomspark.operators.tables import quantiles
 from loomspark.operators.windows import islands
 
 
@@ -34,38 +37,44 @@ class Trigger:
         return True
 
 
-def _parts(scores: DataFrame, threshold: float, cooldown: float, key: str) -> DataFrame:
-    """``key, times, ps``: stretches of a recording that start afresh, in time order, for thresholds from this one on.
+def sweep(scores: DataFrame, thresholds: Sequence[float], k: int, cooldown: float, key: str = "rec") -> DataFrame:
+    """``threshold, key, t``: the triggers of every threshold, all state machines in one pass over the scores.
 
-    Nothing carries over where no score has been high for a whole cooldown and the last one was low: a trigger needs a
-    high score.  What comes before the first high score is left out.
+    A machine's next state depends on its last, so a recording's scores stream through one task in the order of time:
+    what that holds is a batch of rows and, for each threshold, a run and a last trigger.  The machines step together.
     """
-    rows = highest(scores, key)
-    w = Window.partitionBy(key).orderBy("t")
-    high = F.col("p") >= threshold
-    before = F.max(F.when(high, F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = high & (before.isNull() | ((F.col("t") - before >= cooldown) & (F.lag("p").over(w) < threshold)))
-    parts = rows.withColumn("__cut", cut.cast("long")).withColumn("__part", F.sum("__cut").over(w)).where("__part > 0")
-    packed = parts.groupBy(key, "__part").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("__x"))
-    return packed.select(key, F.transform("__x", lambda x: x["t"]).alias("times"), F.transform("__x", lambda x: x["p"]).alias("ps"))
+    values = np.array(sorted(set(map(float, thresholds))))
+    rows = highest(scores, key).repartition(F.col(key)).sortWithinPartitions(key, "t")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = object()
+        streak, last = np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            found: list[tuple] = []
+            for rec, t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if rec != now:
+                    now, streak, last = rec, np.zeros(len(values), np.int64), np.full(len(values), float("-inf"))
+                n = int(np.searchsorted(values, p, "right"))  # thresholds that the score reaches
+                streak[n:] = 0
+                if not n:
+                    continue
+                free = t - last[:n] >= cooldown
+                streak[:n] = np.where(free, streak[:n] + 1, 0)
+                fires = np.flatnonzero(streak[:n] >= max(1, k))
+                if len(fires):
+                    streak[fires], last[fires] = 0, t
+                    found += [(x, rec, t) for x in values[fires].tolist()]
+            if found:
+                columns = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.float64()), pa.array(columns[1], batch.column(0).type), pa.array(columns[2], pa.float64())], names=["threshold", key, "t"])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, "t", "p").mapInArrow(run, f"threshold double, `{key}` {kind}, t double")
 
 
 def triggers(scores: DataFrame, threshold: float, k: int = 1, cooldown: float = 60.0, key: str = "rec") -> DataFrame:
-    """``key, t`` of every trigger.
-
-    The cooldown makes the state machine sequential, so it runs over arrays: one for each stretch of a recording that
-    starts afresh.
-    """
-
-    @F.pandas_udf("array<double>")
-    def run(times: pd.Series, ps: pd.Series) -> pd.Series:
-        out = []
-        for ts, values in zip(times, ps):
-            machine = Trigger(threshold, k, cooldown)
-            out.append([t for t, p in zip(ts, values) if machine.step(t, p)])
-        return pd.Series(out, dtype=object)
-
-    return _parts(scores, threshold, cooldown, key).select(key, F.explode(run("times", "ps")).alias("t"))
+    """``key, t`` of every trigger; see :func:`sweep`."""
+    return sweep(scores, [threshold], k, cooldown, key).select(key, "t")
 
 
 def hours(rows: DataFrame, key: str = "rec", time: str = "t") -> DataFrame:
@@ -88,25 +97,37 @@ def segments(rows: DataFrame, positive: Column, marker: Column, order: Sequence[
 
 
 def matches(segs: DataFrame, fired: DataFrame, window: float, key: str = "rec") -> DataFrame:
-    """Each segment's triggers: nearest delay, first at or after the event, first within the window around and after it."""
-    f = fired.select(F.col(key).alias("__k"), F.col("t").alias("__t"))
-    d = F.col("__t") - F.col("t_ref")
-    both = segs.join(f, F.col(key) == F.col("__k"), "left")
-    return both.groupBy(key, "seg", "t_ref").agg(
-        F.min_by(d, F.struct(F.abs(d), F.col("__t"))).alias("delay_nearest"), F.min(F.when(d >= 0, d)).alias("delay_after"),
-        F.coalesce(F.max(F.abs(d) <= window), F.lit(False)).alias("hit"), F.coalesce(F.max((d >= 0) & (d <= window)), F.lit(False)).alias("hit_after"),
-        (F.count("__t") > 0).alias("triggered"),
+    """Each segment's triggers: nearest delay, first at or after the event, first within the window around and after it.
+
+    Events and triggers are put in one order of time, in which the last trigger up to an event and the first one from it
+    on are found by running values: no pairs are made.
+    """
+    kind = dict(segs.dtypes)[key]
+    both = segs.select(key, "seg", F.col("t_ref").alias("__t"), F.lit(None).cast("double").alias("__f"))
+    both = both.unionByName(fired.select(F.col(key).cast(kind).alias(key), F.lit(None).cast(dict(segs.dtypes)["seg"]).alias("seg"), F.col("t").alias("__t"), F.col("t").alias("__f")))
+    w = Window.partitionBy(key).orderBy("__t")
+    up_to, onward = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    known = F.col("__t").isNotNull()
+    near = both.withColumns({"__before": F.max("__f").over(up_to), "__after": F.min("__f").over(onward), "__any": F.max("__f").over(Window.partitionBy(key)).isNotNull()}).where("seg is not null")
+    before, after = F.when(known, F.col("__before") - F.col("__t")), F.when(known, F.col("__after") - F.col("__t"))
+    nearest = F.when(after.isNull() | (F.abs(before) <= after), before).otherwise(after)
+    return near.select(
+        key, "seg", F.col("__t").alias("t_ref"), nearest.alias("delay_nearest"), after.alias("delay_after"),
+        F.coalesce(F.abs(nearest) <= window, F.lit(False)).alias("hit"), F.coalesce(after <= window, F.lit(False)).alias("hit_after"), F.col("__any").alias("triggered"),
     )
 
 
 def rates(matched: DataFrame) -> DataFrame:
     """Hit rates over the segments with an event time, and the distribution of delays."""
-    hit = F.when(F.col("hit_after"), F.col("delay_after"))
-    return matched.where("t_ref is not null").agg(
-        F.count("*").alias("n_events"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg(F.col("hit_after").cast("double")).alias("hit_after_rate"),
-        F.avg(hit).alias("delay_mean"), F.percentile(hit, F.lit(0.5)).alias("delay_median"), F.percentile(hit, F.lit(0.9)).alias("delay_p90"),
-        F.percentile(hit, F.lit(0.95)).alias("delay_p95"), F.min(hit).alias("delay_min"), F.max(hit).alias("delay_max"),
-    )
+    known = matched.where("t_ref is not null").withColumn("d", F.when(F.col("hit_after"), F.col("delay_after")))
+    out = known.agg(F.count("*").alias("n_events"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg(F.col("hit_after").cast("double")).alias("hit_after_rate"), F.avg("d").alias("delay_mean"), F.min("d").alias("delay_min"), F.max("d").alias("delay_max"))
+    q = _one(quantiles(known, "d", [0.5, 0.9, 0.95]), "delay_median", "delay_p90", "delay_p95")
+    return out.crossJoin(q).select("n_events", "hit_rate", "hit_after_rate", "delay_mean", "delay_median", "delay_p90", "delay_p95", "delay_min", "delay_max")  # a row each
+
+
+def _one(found: DataFrame, *names: str) -> DataFrame:
+    """Quantiles without keys as columns of one row, NULL if there was no value."""
+    return found.agg(F.max("q").alias("q")).select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 def in_segment(rows: DataFrame, positive: Column, marker: Column, threshold: float, k: int, window: float, key: str = "rec") -> DataFrame:
@@ -185,9 +206,10 @@ def best_threshold(scored: DataFrame, beta: float = 1.0, variant: str = "sum") -
 
 def delays(rows: DataFrame, detect: str = "t_detect", label: str = "t_label") -> DataFrame:
     """``n, mean, median, p90, p95, min, max`` of the seconds from a sequence's label to its detection, where both are known."""
-    d = F.col(detect) - F.col(label)
-    share = lambda q: F.percentile(d, F.lit(q))
-    return rows.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), share(0.5).alias("median"), share(0.9).alias("p90"), share(0.95).alias("p95"), F.min(d).alias("min"), F.max(d).alias("max"))
+    rows = rows.select((F.col(detect) - F.col(label)).alias("d"))
+    out = rows.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.min("d").alias("min"), F.max("d").alias("max"))
+    q = _one(quantiles(rows, "d", [0.5, 0.9, 0.95]), "median", "p90", "p95")
+    return out.crossJoin(q).select("n", "mean", "median", "p90", "p95", "min", "max")  # a row each
 
 
 def recall_threshold(scored: DataFrame, recall: float, corrected: bool = False) -> DataFrame:
@@ -197,27 +219,12 @@ def recall_threshold(scored: DataFrame, recall: float, corrected: bool = False)
 
 
 def candidates(scored: DataFrame, size: int = 512, anchors: int = 16) -> DataFrame:
-    """``threshold``: quantiles of the scores and evenly spaced anchors, between 0 and 1, distinct."""
+    """``threshold``: quantiles of the scores and evenly spaced anchors, between 0 and 1, distinct; none without scores."""
     size = min(4096, max(32, size))
-    quantiles = F.percentile("p", F.array(*(F.lit(i / (size - 1)) for i in range(size))))
+    found = quantiles(scored, "p", [i / (size - 1) for i in range(size)])
     spaced = F.array(*(F.lit(i / (anchors - 1)) for i in range(anchors)))
-    clipped = F.transform(F.concat(quantiles, spaced), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
-    return scored.agg(clipped.alias("t")).select(F.explode(F.array_distinct("t")).alias("threshold"))
-
-
-def sweep(scores: DataFrame, thresholds: Sequence[float], k: int, cooldown: float, key: str = "rec") -> DataFrame:
-    """``threshold, key, t``: the triggers of every candidate, all state machines in one pass over the scores."""
-
-    @F.pandas_udf("array<struct<threshold: double, t: double>>")
-    def run(times: pd.Series, ps: pd.Series) -> pd.Series:
-        out = []
-        for ts, values in zip(times, ps):
-            machines = [Trigger(x, k, cooldown) for x in thresholds]
-            out.append([{"threshold": m.threshold, "t": t} for t, p in zip(ts, values) for m in machines if m.step(t, p)])
-        return pd.Series(out, dtype=object)
-
-    found = _parts(scores, min(thresholds), cooldown, key).select(key, F.explode(run("times", "ps")).alias("f"))
-    return found.select("f.threshold", key, "f.t")
+    clipped = F.transform(F.concat("q", spaced), lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
+    return found.select(F.explode(F.array_distinct(clipped)).alias("threshold"))
 
 
 def budget_threshold(fired: DataFrame, thresholds: DataFrame, quiet: DataFrame, segs: DataFrame, budget: float, window: float, key: str = "rec") -> DataFrame:
@@ -226,7 +233,11 @@ def budget_threshold(fired: DataFrame, thresholds: DataFrame, quiet: DataFrame,
     wrong = fired.join(quiet.select(key), key, "left_semi").groupBy("threshold").agg(F.count("*").alias("n"))
     per = thresholds.join(wrong, "threshold", "left").crossJoin(F.broadcast(total)).withColumn("fp_per_hour", F.when(F.col("h") > 0, F.coalesce("n", F.lit(0)) / F.col("h")))  # one row
     refs = segs.where("t_ref is not null").select(key, "seg", "t_ref")
-    hits = fired.join(refs, key).where((F.col("t") >= F.col("t_ref")) & (F.col("t") <= F.col("t_ref") + window)).groupBy("threshold").agg(F.countDistinct(key, "seg").alias("hits"))
+    # Times are dealt to buckets of the window's length: an event meets the triggers of its own bucket and the next one.
+    bucket = lambda t: F.floor(t / max(window, 1e-9))
+    near = refs.withColumn("__b", F.explode(F.array(bucket(F.col("t_ref")), bucket(F.col("t_ref")) + 1)))
+    hits = fired.withColumn("__b", bucket(F.col("t"))).join(near, [key, "__b"]).where((F.col("t") >= F.col("t_ref")) & (F.col("t") <= F.col("t_ref") + window))
+    hits = hits.select("threshold", key, "seg").distinct().groupBy("threshold").agg(F.count("*").alias("hits"))
     n = refs.agg(F.count("*").alias("events"))
     per = per.join(hits, "threshold", "left").crossJoin(F.broadcast(n)).withColumn("hit_after_rate", F.coalesce("hits", F.lit(0)) / F.nullif(F.col("events"), F.lit(0)))
     ok = per.where(F.col("fp_per_hour") <= budget)
@@ -234,16 +245,24 @@ def budget_threshold(fired: DataFrame, thresholds: DataFrame, quiet: DataFrame,
     return ok.agg(best.alias("b")).select(F.coalesce("b.threshold", F.lit(1.0)).alias("threshold"), "b.hit_after_rate", "b.fp_per_hour", F.col("b").isNull().alias("fallback"))
 
 
+def poisson_steps(most: int = 8) -> list[float]:
+    """The cumulative probabilities of 0, 1, … events of a Poisson count of mean 1: a uniform draw's count is how many it reaches."""
+    out, total, term = [], 0.0, exp(-1)
+    for k in range(1, most + 1):
+        total, term = total + term, term / k
+        out.append(total)
+    return out
+
+
 def bootstrap(matched: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
     """``low, high``: the 2.5 and 97.5 percentiles of the hit rate over resamples, each event's count a Poisson draw by hash.
 
     Poisson counts need no sampling by position, so the events are never gathered.
     """
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("rec").cast("string"), F.col("seg").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    count, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        total, term = total + term, term / k
-        count = count + (u >= total).cast("int")
+    count = F.lit(0)
+    for x in poisson_steps():
+        count = count + (u >= x).cast("int")
     rows = matched.select("rec", "seg", F.col("hit_after").cast("int").alias("h"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("c", count)
     per = rows.groupBy("draw").agg((F.sum(F.col("h") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("r"))
-    return per.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
+    return per.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))  # a rate for each draw

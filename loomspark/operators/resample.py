@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import altitude, present
+from loomspark.operators.tables import quantiles
 from loomspark.sources.scratch import stash
 
-#: Readings stay valid for this many median steps; seconds of a chunk.
-HOLD, CHUNK = 5.0, 86_400.0
+#: Readings stay valid for this many median steps; readings of a chunk (about), and of a block within it.
+HOLD, CHUNK, BLOCK = 5.0, 8192, 64
 
 
 def collapse(samples: DataFrame, *values: str) -> DataFrame:
@@ -39,8 +40,9 @@ def zeroed(samples: DataFrame) -> DataFrame:
 def median_step(samples: DataFrame) -> DataFrame:
     """``rec, step``: the median of the positive steps between readings; NULL with fewer than two."""
     w = Window.partitionBy("rec").orderBy("t")
-    steps = samples.withColumn("d", F.col("t") - F.lag("t").over(w))
-    return steps.groupBy("rec").agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(0.5)).alias("step"))
+    steps = samples.select("rec", (F.col("t") - F.lag("t").over(w)).alias("d"))
+    found = quantiles(steps.where("d > 0"), "d", [0.5], "rec").select("rec", F.col("q")[0].alias("step"))
+    return samples.select("rec").distinct().join(found, "rec", "left")
 
 
 def resample_columns(samples: DataFrame, values: Sequence[str], step: float, hold: float = HOLD, fill: bool = True) -> DataFrame:
@@ -80,13 +82,25 @@ def alpha(tau: float, hz: float) -> float:
 
 
 def _ewm(x: np.ndarray, a: float) -> tuple[np.ndarray, np.ndarray]:
-    """The average after each value if it starts at 0 before the first, and the weight left to another start."""
-    out, left, m, k = np.full(len(x), np.nan), np.ones(len(x)), 0.0, 1.0
-    for i, v in enumerate(x):
-        if v == v:
-            m, k = a * v + (1 - a) * m, k * (1 - a)
-            out[i] = m
-        left[i] = k
+    """The average after each value if it starts at 0 before the first, and the weight left to another start.
+
+    Blocks of present values are averaged at once by a triangular matrix, and only their ends are carried on one by one.
+    """
+    out, left = np.full(len(x), np.nan), np.ones(len(x))
+    there = x == x
+    v = x[there]
+    if len(v):
+        powers = (1 - a) ** np.arange(BLOCK + 1)
+        lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+        blocks = np.zeros((-(-len(v) // BLOCK), BLOCK))
+        blocks.ravel()[: len(v)] = v
+        local = blocks @ np.where(lag >= 0, a * powers[np.maximum(lag, 0)], 0.0).T
+        starts, m = np.empty(len(blocks)), 0.0
+        for k, end in enumerate(local[:, -1].tolist()):
+            starts[k] = m
+            m = end + powers[BLOCK] * m
+        out[there] = (local + starts[:, None] * powers[1:]).ravel()[: len(v)]
+    left[:] = (1 - a) ** np.cumsum(there)
     return out, left
 
 
@@ -98,15 +112,18 @@ def _started(start: Column):
     return lambda local, left: F.when(~F.isnan(local), local + left * start)
 
 
-def emas(rows: DataFrame, streams: Sequence[tuple[str, float, str]], key: str = "rec", time: str = "s", chunk: float = CHUNK) -> DataFrame:
+def emas(rows: DataFrame, streams: Sequence[tuple[str, float, str]], key: str = "rec", time: str = "s", chunk: int = CHUNK) -> DataFrame:
     """``rows`` with the recursive average ``out`` of each stream ``(value, a, out)``, ``a`` weighing the new reading.
 
     The first reading starts an average; a missing one leaves it unchanged and has no result.  An average is an affine
     map of the one before, so each chunk of a recording is averaged from 0 by itself, and only the chunks' maps, a few
-    numbers each, are composed along the recording.  No task holds more than a chunk's rows, or a recording's maps.
+    numbers each, are composed along the recording.  A chunk lasts as long as ``chunk`` readings of the recording take on
+    average.  No task holds more than a chunk's rows, or a recording's maps.
     """
     columns = [time, *(c for c in rows.columns if c not in (key, time))]
-    packed = rows.groupBy(key, F.floor(F.col(time) / chunk).alias("__chunk")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__rows"))
+    lasts = rows.groupBy(F.col(key).alias("__key")).agg(F.min(time).alias("__t0"), F.greatest((F.max(time) - F.min(time)) / F.count("*") * chunk, F.lit(1e-9)).alias("__s"))
+    rows = rows.join(lasts, F.col(key).eqNullSafe(F.col("__key")))
+    packed = rows.groupBy(key, F.floor((F.col(time) - F.col("__t0")) / F.col("__s")).alias("__chunk")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("__rows"))
 
     def maps(a: float):
         @F.pandas_udf("local array<double>, left array<double>, first double, last double, rest double")
@@ -139,7 +156,7 @@ def emas(rows: DataFrame, streams: Sequence[tuple[str, float, str]], key: str =
     return rows.select(key, *(F.col(f"__z.__rows.{c}").alias(c) for c in columns), *(F.col(f"__z.__e{k}").alias(out) for k, (_, _, out) in enumerate(streams)))
 
 
-def ema(rows: DataFrame, value: str, a: float, out: str, key: str = "rec", time: str = "s", chunk: float = CHUNK) -> DataFrame:
+def ema(rows: DataFrame, value: str, a: float, out: str, key: str = "rec", time: str = "s", chunk: int = CHUNK) -> DataFrame:
     """One recursive average; see :func:`emas`."""
     return emas(rows, [(value, a, out)], key, time, chunk)
 

@@ -62,9 +62,50 @@ def varying(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if row[c]]
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], *keys: str) -> DataFrame:
+    """``[keys,] n, q``: the exact quantiles of the present values of each key, interpolated, as an array in the order of ``shares``.
+
+    Equal values are counted first.  The counts are dealt to ranges of key and value, so a key with most of the rows has
+    many ranges, and a value's place is its place in its range, shifted by the sizes of the key's ranges before.  No
+    task or buffer holds a key's values; keys without a present value have no row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    dealt = stash(counts.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()), "values")
+    sizes = dealt.groupBy(*keys, "__range").agg(F.sum("__c").alias("__size"))  # a row for each range and key in it
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__r"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy(*keys)).alias("__n"))
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    up_to = F.sum("__c").over(Window.partitionBy("__range", *keys).orderBy("__v")) + F.col("__start")
+    placed = dealt.join(starts, same).withColumn("__to", up_to).withColumn("__from", F.col("__to") - F.col("__c"))
+    at = lambda i: F.lit(float(shares[i])) * (F.col("__n") - 1)
+    inside = lambda place: F.max(F.when((place >= F.col("__from")) & (place < F.col("__to")), F.col("__v")))
+    ends = [e for i in range(len(shares)) for e in (inside(F.floor(at(i))).alias(f"__l{i}"), inside(F.ceil(at(i))).alias(f"__h{i}"))]
+    wanted = F.lit(False)
+    for i in range(len(shares)):
+        for place in (F.floor(at(i)), F.ceil(at(i))):
+            wanted = wanted | ((place >= F.col("__from")) & (place < F.col("__to")))
+    if len(shares) > 8:  # many shares: tell the places by a join of the wanted ones instead of an expression for each
+        places = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x: F.array(F.floor(x * (F.col("__n") - 1)), F.ceil(x * (F.col("__n") - 1))))))
+        few = placed.withColumn("__p", F.explode(F.filter(places, lambda x: (x >= F.col("__from")) & (x < F.col("__to")))))
+        found = few.groupBy(*keys).agg(F.max("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m"))
+        mid = lambda x: x * (F.col("n") - 1)
+        low, high = (lambda x: F.element_at("__m", F.floor(mid(x)))), (lambda x: F.element_at("__m", F.ceil(mid(x))))
+        q = F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x: low(x) + (high(x) - low(x)) * (mid(x) - F.floor(mid(x))))
+        return found.select(*keys, "n", q.alias("q"))
+    found = placed.where(wanted).groupBy(*keys).agg(F.max("__n").alias("n"), *ends)
+    between = lambda i: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (F.lit(float(shares[i])) * (F.col("n") - 1) - F.floor(F.lit(float(shares[i])) * (F.col("n") - 1)))
+    return found.select(*keys, "n", F.array(*(between(i) for i in range(len(shares)))).alias("q"))
+
+
 def fit_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
-    row = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in features)).first()
-    return row.asDict()
+    """The exact median of each feature, None without a present value; one number a feature comes to the driver."""
+    if not features:
+        return {}
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in features)).unpivot([], list(features), "feature", "value")
+    found = {r.feature: r.q[0] for r in quantiles(long, "value", [0.5], "feature").collect()}
+    return {c: found.get(c) for c in features}
 
 
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:

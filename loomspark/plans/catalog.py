@@ -32,19 +32,23 @@ STEP = 6 * HOUR
 GRIDS = (wn.Grid("base", 0, 2 * DAY, 2 * DAY), wn.Grid("to", 1, 1.5 * DAY, 18 * HOUR), wn.Grid("ld", 2, 2 * DAY, DAY))
 ZONES = wn.Zones(takeoff=(STEP, DAY), landing=(DAY, STEP), least_s=HOUR, margin=DAY / 2)
 THRESHOLD, K, COOLDOWN, HIT = 0.55, 2, DAY, 2 * DAY
+#: Weights of a new reading in the averages of 0.6, 2 and 30 seconds at one reading a second.
+GRAVITY, SLOW, TREND = (repr(rs.alpha(tau, 1.0)) for tau in (0.6, 2.0, 30.0))
 #: Readings an hour on average, as the rate of count-based features.
 HZ = 1 / (7 * HOUR)
 
 SIG = """sig AS (SELECT user_id AS rec, epoch_us(ts)::DOUBLE / 1e6 AS t, value AS v, event_type, event_id, round(value / (value + 50), 6) AS p,
   (event_type = 'error')::INT AS y FROM events),
 z AS (SELECT *, t - min(t) OVER (PARTITION BY rec) AS s FROM sig),
-spans AS (SELECT rec, max(s) AS span FROM z GROUP BY rec)"""
+spans AS (SELECT rec, max(s) AS span FROM z GROUP BY rec),
+opens AS (SELECT rec, arg_min(event_type, t) AS first FROM sig GROUP BY rec)"""
 WIN = """grids(grid, grid_id, win, hop) AS (VALUES ('base', 0, 172800::DOUBLE, 172800::DOUBLE), ('to', 1, 129600::DOUBLE, 64800::DOUBLE), ('ld', 2, 172800::DOUBLE, 86400::DOUBLE)),
 w AS (SELECT rec, grid, grid_id, k, k * hop AS ws, k * hop + win AS we FROM (
   SELECT rec, grid, grid_id, win, hop, unnest(range(floor((span - win + 1e-9) / hop)::BIGINT + 1)) AS k FROM spans, grids WHERE span >= win - 1e-9)),
 x AS (SELECT w.*, z.s, z.v, avg(z.v) OVER q AS mu, stddev_pop(z.v) OVER q AS sd, row_number() OVER (PARTITION BY w.rec, w.grid, w.k ORDER BY z.s) - 1 AS i, count(*) OVER q AS n,
   lag(z.v) OVER (PARTITION BY w.rec, w.grid, w.k ORDER BY z.s) AS before
   FROM w JOIN z ON z.rec = w.rec AND z.s BETWEEN ws AND we WINDOW q AS (PARTITION BY w.rec, w.grid, w.k))"""
+QUIET = "h AS (SELECT rec, (max(t) - min(t)) / 3600 AS hours FROM sig JOIN opens USING (rec) WHERE first = 'signup' GROUP BY rec)"
 CURVE = """by_p AS (SELECT p, sum(y) AS pos, count(*) AS n FROM sig GROUP BY p),
 curve AS (SELECT p, pos, n, sum(pos) OVER q AS tp, sum(n) OVER q AS seen, sum(pos) OVER () AS all_pos, sum(n) OVER () AS all_n FROM by_p WINDOW q AS (ORDER BY p DESC)),
 pr AS (SELECT *, tp / seen AS pre, tp / all_pos AS re FROM curve)"""
@@ -59,7 +63,7 @@ m AS (SELECT rec, i, t, CASE WHEN p >= {THRESHOLD} THEN 1 ELSE 0 END AS run, (-1
 fired AS (SELECT rec, t FROM m WHERE fired)"""
 SEG = """isl AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY t) AS row FROM sig),
 isl2 AS (SELECT *, row - row_number() OVER (PARTITION BY rec ORDER BY t) AS island FROM isl WHERE y = 1),
-takeoff AS (SELECT rec, min(t) AS mk FROM sig WHERE event_type = 'purchase' AND rec % 2 = 0 GROUP BY rec),
+takeoff AS (SELECT rec, min(t) AS mk FROM sig JOIN opens USING (rec) WHERE event_type = 'purchase' AND first <> 'click' GROUP BY rec),
 seg0 AS (SELECT rec, island, min(row) - 1 AS start_idx, max(row) - 1 AS end_idx, coalesce(any_value(mk), min(t)) AS t_ref FROM isl2 LEFT JOIN takeoff USING (rec) GROUP BY rec, island),
 seg AS (SELECT rec, start_idx, end_idx, t_ref, row_number() OVER (PARTITION BY rec ORDER BY start_idx) - 1 AS seg FROM seg0)"""
 
@@ -93,10 +97,20 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.windowed(rs.zeroed(s), rs.spans(s), GRIDS)
 
 
+def opens(s: DataFrame) -> DataFrame:
+    """``rec, first``: the type of each recording's first event."""
+    return s.groupBy("rec").agg(F.min_by("event_type", "t").alias("first"))
+
+
+def quiet(s: DataFrame) -> DataFrame:
+    """The readings of recordings that count as being without events: those that begin with a signup."""
+    return s.join(opens(s).where("first = 'signup'"), "rec", "left_semi")
+
+
 def with_marker(s: DataFrame) -> DataFrame:
-    """A marker for the even recordings: the first purchase."""
-    marks = s.where("event_type = 'purchase' and rec % 2 = 0").groupBy("rec").agg(F.min("t").alias("mk"))
-    return s.join(marks, "rec", "left")
+    """A marker, the first purchase, for the recordings that don't begin with a click."""
+    marked = s.where("event_type = 'purchase'").join(opens(s).where("first <> 'click'"), "rec", "left_semi")
+    return s.join(marked.groupBy("rec").agg(F.min("t").alias("mk")), "rec", "left")
 
 
 def error_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +122,17 @@ def fired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- resampling and windows ---------------------------------------------------------------------------------------------
-RESAMPLED = f"""c AS (SELECT rec, t, avg(v) AS v FROM sig GROUP BY rec, t),
-e AS (SELECT rec, min(t) AS a, ceil((max(t) - min(t) + {STEP / 2}::DOUBLE) / {STEP}::DOUBLE)::BIGINT AS n FROM c GROUP BY rec),
-b AS (SELECT c.rec, least(floor((t - a) / {STEP}::DOUBLE)::BIGINT, n - 1) AS bin, avg(v) AS mean, max(t - a) AS heard FROM c JOIN e USING (rec) GROUP BY ALL),
+def resampled_sql(step: float) -> str:
+    return f"""c AS (SELECT rec, t, avg(v) AS v FROM sig GROUP BY rec, t),
+e AS (SELECT rec, min(t) AS a, ceil((max(t) - min(t) + {step / 2}::DOUBLE) / {step}::DOUBLE)::BIGINT AS n FROM c GROUP BY rec),
+b AS (SELECT c.rec, least(floor((t - a) / {step}::DOUBLE)::BIGINT, n - 1) AS bin, avg(v) AS mean, max(t - a) AS heard FROM c JOIN e USING (rec) GROUP BY ALL),
 g AS (SELECT rec, unnest(range(n)) AS bin FROM e),
 st AS (SELECT rec, quantile_cont(d, 0.5) AS step FROM (SELECT rec, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS d FROM c) WHERE d > 0 GROUP BY rec)"""
 
 
+RESAMPLED = resampled_sql(STEP)
+
+
 @query(f"""WITH {SIG}, {RESAMPLED}
 SELECT g.rec, g.bin, round(CASE WHEN mean IS NOT NULL OR g.bin * {STEP}::DOUBLE - last_value(heard IGNORE NULLS) OVER q <= 5 * step THEN last_value(mean IGNORE NULLS) OVER q END, 6) AS v, mean IS NOT NULL AS obs
 FROM g LEFT JOIN b USING (rec, bin) LEFT JOIN st USING (rec)
@@ -176,11 +194,27 @@ def window_jerk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.jerk(placed(spark, sf_dir), ["rec", "grid", "k"], "v", 1.0).select("rec", "grid", "k", *r6("jerk_mean", "jerk_std", "jerk_rms"))
 
 
-@query()
+BAND_SQL = ", ".join(f"CASE WHEN total > 0 THEN round(low_{i} / total, 6) END AS pow_{f'{a:.1f}'.replace('.', 'p')}_{f'{b:.1f}'.replace('.', 'p')}" for i, (a, b) in enumerate(ft.BANDS))
+
+
+@query(f"""WITH {SIG}, {resampled_sql(HOUR)},
+held AS (SELECT g.rec, g.bin * {HOUR}::DOUBLE AS s, CASE WHEN mean IS NOT NULL OR g.bin * {HOUR}::DOUBLE - last_value(heard IGNORE NULLS) OVER q <= 5 * step THEN last_value(mean IGNORE NULLS) OVER q END AS v
+  FROM g LEFT JOIN b USING (rec, bin) LEFT JOIN st USING (rec) WINDOW q AS (PARTITION BY g.rec ORDER BY g.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+w AS (SELECT rec, k, k * {4 * DAY} AS ws FROM (SELECT rec, unnest(range(floor((span - {4 * DAY} + 1e-9) / {4 * DAY})::BIGINT + 1)) AS k FROM spans WHERE span >= {4 * DAY} - 1e-9)),
+x AS (SELECT w.rec, k, v - avg(v) OVER (PARTITION BY w.rec, k) AS y, row_number() OVER (PARTITION BY w.rec, k ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY w.rec, k) AS n FROM w JOIN held ON held.rec = w.rec AND s BETWEEN ws AND ws + {4 * DAY} WHERE v IS NOT NULL),
+y AS (SELECT rec, k, i, n, y * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS y FROM x WHERE n >= 8),
+p AS (SELECT rec, k, n, f, f * 20.0::DOUBLE / n AS hz, sum(y * cos(2 * pi() * f * i / n)) ** 2 + sum(y * sin(2 * pi() * f * i / n)) ** 2 AS p FROM (SELECT *, unnest(range(n // 2 + 1)) AS f FROM y) GROUP BY ALL),
+m AS (SELECT rec, k, max(n) AS n, sum(p) AS total, {", ".join(f"coalesce(sum(p) FILTER (WHERE hz >= {a} AND hz < {b}), 0) AS low_{i}" for i, (a, b) in enumerate(ft.BANDS))},
+  arg_max(hz, p) FILTER (WHERE hz >= 0.1) AS dominant, sum(p) FILTER (WHERE hz >= 0.1) AS high, sum(hz * p) FILTER (WHERE hz >= 0.1) / sum(p) FILTER (WHERE hz >= 0.1) AS centre FROM p GROUP BY rec, k),
+v AS (SELECT m.rec, m.k, sqrt(sum((hz - centre) ** 2 * p) / any_value(high)) AS width FROM m JOIN p ON p.rec = m.rec AND p.k = m.k WHERE hz >= 0.1 GROUP BY m.rec, m.k),
+every AS (SELECT DISTINCT rec, k FROM x)
+SELECT rec, 'base' AS grid, k, {BAND_SQL}, CASE WHEN n >= 16 AND high > 0 THEN round(dominant, 6) END AS v_dominant_freq, CASE WHEN n >= 16 AND high > 0 THEN round(centre, 6) END AS v_spectral_centroid,
+  CASE WHEN n >= 16 AND high > 0 THEN round(width, 6) END AS v_spectral_bandwidth FROM every LEFT JOIN m USING (rec, k) LEFT JOIN v USING (rec, k)""")
 def window_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = rs.resample(signal(spark, sf_dir), HOUR)
     grid = (wn.Grid("base", 0, 4 * DAY, 4 * DAY),)
-    return ft.spectral(wn.windowed(bins.select("rec", "s", "v"), rs.spans(signal(spark, sf_dir)), grid), ["rec", "grid", "k"], "v", "", "v", 20.0)
+    out = ft.spectral(wn.windowed(bins.select("rec", "s", "v"), rs.spans(signal(spark, sf_dir)), grid), ["rec", "grid", "k"], "v", "", "v", 20.0)
+    return out.select("rec", "grid", "k", *r6(*out.columns[3:]))
 
 
 @query(f"""WITH {SIG}, {WIN},
@@ -221,16 +255,34 @@ def recursive_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rec", "event_id", F.round("ema", 6).alias("ema"), F.round("var", 5).alias("var"), F.round("zscore", 5).alias("zscore"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG},
+r AS (SELECT rec, event_id, s, v AS ax, (event_id % 7)::DOUBLE AS ay, 9.81::DOUBLE AS az, row_number() OVER (PARTITION BY rec ORDER BY s) AS i FROM z),
+a AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS amag FROM r),
+e AS (SELECT *, ax AS gx, ay AS gy, az AS gz, amag AS slow FROM a WHERE i = 1
+  UNION ALL
+  SELECT a.*, {GRAVITY}::DOUBLE * a.ax + (1 - {GRAVITY}::DOUBLE) * gx, {GRAVITY}::DOUBLE * a.ay + (1 - {GRAVITY}::DOUBLE) * gy, {GRAVITY}::DOUBLE * a.az + (1 - {GRAVITY}::DOUBLE) * gz, {SLOW}::DOUBLE * a.amag + (1 - {SLOW}::DOUBLE) * slow
+  FROM e JOIN a ON a.rec = e.rec AND a.i = e.i + 1),
+d AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS norm, (ax - gx) ** 2 + (ay - gy) ** 2 + (az - gz) ** 2 AS d2 FROM e),
+u AS (SELECT *, CASE WHEN norm > 1e-8 THEN ((ax - gx) * gx + (ay - gy) * gy + (az - gz) * gz) / norm END AS avert FROM d)
+SELECT rec, event_id, round(amag, 6) AS amag, round(amag - slow, 6) AS dyn, round(avert, 6) AS avert, round(sqrt(greatest(d2 - avert * avert, 0)), 4) AS ahoriz FROM u""")
 def motion_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = rs.zeroed(signal(spark, sf_dir)).select("rec", "event_id", "s", F.col("v").alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.81).alias("az"))
-    return rs.dynamic(rs.gravity_aligned(rs.magnitude(axes), 1.0), 1.0)
+    rows = rs.dynamic(rs.gravity_aligned(rs.magnitude(axes), 1.0), 1.0)
+    return rows.select("rec", "event_id", *r6("amag", "dyn", "avert"), F.round("ahoriz", 4).alias("ahoriz"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG},
+b AS (SELECT rec, event_id, s, 900 + v / 10 AS p, row_number() OVER (PARTITION BY rec ORDER BY s) AS i, first_value(900 + v / 10) OVER (PARTITION BY rec ORDER BY s) AS p0 FROM z),
+h AS (SELECT *, 44330.0::DOUBLE * (1 - power(least(greatest(p / p0, 1e-6), 100.0), {1 / 5.255!r}::DOUBLE)) AS h FROM b),
+d AS (SELECT *, h - lag(h) OVER (PARTITION BY rec ORDER BY i) AS d FROM h),
+e AS (SELECT rec, event_id, i, p AS m, NULL::DOUBLE AS c FROM d WHERE i = 1
+  UNION ALL
+  SELECT d.rec, d.event_id, d.i, {TREND}::DOUBLE * d.p + (1 - {TREND}::DOUBLE) * m, coalesce({SLOW}::DOUBLE * d.d + (1 - {SLOW}::DOUBLE) * c, d.d) FROM e JOIN d ON d.rec = e.rec AND d.i = e.i + 1)
+SELECT rec, event_id, round(c, 5) AS dhdt, round(m, 6) AS p_ema30, round(CASE WHEN i = 1 THEN lead(m) OVER q - m ELSE m - lag(m) OVER q END, 6) AS p_ema30_dt1 FROM e WINDOW q AS (PARTITION BY rec ORDER BY i)""")
 def baro_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rs.zeroed(signal(spark, sf_dir)).select("rec", "event_id", "s", (900 + F.col("v") / 10).alias("p"))
-    return rs.pressure_trend(rs.climb_rate(rows, 1.0), 1.0)
+    rows = rs.pressure_trend(rs.climb_rate(rows, 1.0), 1.0)
+    return rows.select("rec", "event_id", F.round("dhdt", 5).alias("dhdt"), *r6("p_ema30", "p_ema30_dt1"))
 
 
 @query(f"""WITH {SIG}, {WIN} SELECT rec, grid, k, CASE WHEN lag(we) OVER q IS NOT NULL THEN greatest(we - lag(we) OVER q, 0) END AS dt_prev_end_s, round(ln(1 + CASE WHEN lag(we) OVER q IS NOT NULL THEN greatest(we - lag(we) OVER q, 0) END), 6) AS log_dt_prev_end_s
@@ -281,16 +333,19 @@ def event_in_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec", F.col("start_idx").cast("long").alias("start_idx"), "t_ref", F.round("latency", 3).alias("latency"), "hit")
 
 
-@query(f"""WITH RECURSIVE {SIG}, {TRIG}, h AS (SELECT rec, (max(t) - min(t)) / 3600 AS hours FROM sig WHERE rec % 5 = 0 GROUP BY rec)
-SELECT (SELECT count(*) FROM fired WHERE rec % 5 = 0) AS n_triggers, round(sum(hours), 6) AS hours, round((SELECT count(*) FROM fired WHERE rec % 5 = 0) / sum(hours), 8) AS fp_per_hour FROM h""")
+@query(f"""WITH RECURSIVE {SIG}, {TRIG}, {QUIET}
+SELECT (SELECT count(*) FROM fired SEMI JOIN h USING (rec)) AS n_triggers, round(sum(hours), 6) AS hours, round((SELECT count(*) FROM fired SEMI JOIN h USING (rec)) / sum(hours), 8) AS fp_per_hour FROM h""")
 def false_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ev.per_hour(fired(spark, sf_dir), ev.hours(signal(spark, sf_dir).where("rec % 5 = 0")))
+    out = ev.per_hour(fired(spark, sf_dir), ev.hours(quiet(signal(spark, sf_dir))))
     return out.select("n_triggers", *r6("hours"), F.round("fp_per_hour", 8).alias("fp_per_hour"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG}, {TRIG}, {SEG}, {MATCHED},
+u AS (SELECT draw, hit_after::INT AS h, ('0x' || substr(md5('42:' || draw || ':' || rec || ':' || seg), 1, 12))::BIGINT::DOUBLE / 281474976710656 AS u FROM matched, range(1, 201) AS r(draw)),
+per AS (SELECT draw, sum(h * c) / nullif(sum(c), 0) AS r FROM (SELECT draw, h, {" + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in ev.poisson_steps())} AS c FROM u) GROUP BY draw)
+SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM per""")
 def hit_rate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.bootstrap(ev.matches(error_segments(spark, sf_dir), fired(spark, sf_dir), HIT), 200)
+    return ev.bootstrap(ev.matches(error_segments(spark, sf_dir), fired(spark, sf_dir), HIT), 200).select(*r6("low", "high"))
 
 
 # -- metrics and thresholds ---------------------------------------------------------------------------------------------
@@ -329,13 +384,28 @@ def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.candidates(signal(spark, sf_dir), 32).select(F.round("threshold", 9).alias("threshold")).distinct()
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIG}, {SEG}, {QUIET},
+q AS (SELECT unnest(quantile_cont(p, [{CUTS}])) AS t FROM sig UNION ALL SELECT i / 15 FROM range(16) AS r(i)),
+th AS (SELECT DISTINCT round(least(greatest(t, 0), 1), 9) AS th FROM q),
+r AS (SELECT rec, t, p, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM (SELECT rec, t, max(p) AS p FROM sig GROUP BY rec, t)),
+m AS (SELECT th, rec, i, t, CASE WHEN p >= th THEN 1 ELSE 0 END AS run, (-1e300)::DOUBLE AS last, false AS fired FROM r, th WHERE i = 1
+  UNION ALL
+  SELECT m.th, r.rec, r.i, r.t,
+    CASE WHEN r.t - m.last < {COOLDOWN} OR r.p < m.th OR m.run + 1 >= {K} THEN 0 ELSE m.run + 1 END,
+    CASE WHEN r.t - m.last >= {COOLDOWN} AND r.p >= m.th AND m.run + 1 >= {K} THEN r.t ELSE m.last END,
+    r.t - m.last >= {COOLDOWN} AND r.p >= m.th AND m.run + 1 >= {K}
+  FROM m JOIN r ON r.rec = m.rec AND r.i = m.i + 1),
+wrong AS (SELECT th, count(*) AS n FROM m SEMI JOIN h USING (rec) WHERE fired GROUP BY th),
+hits AS (SELECT th, count(DISTINCT (m.rec, seg)) AS hits FROM m JOIN seg ON seg.rec = m.rec AND m.t BETWEEN t_ref AND t_ref + {HIT} WHERE fired GROUP BY th),
+per AS (SELECT th.th, coalesce(hits, 0) / (SELECT count(*) FROM seg) AS hit_after_rate, coalesce(n, 0) / (SELECT sum(hours) FROM h) AS fp_per_hour FROM th LEFT JOIN wrong USING (th) LEFT JOIN hits USING (th)),
+best AS (SELECT arg_max(per, (round(hit_after_rate, 12), th)) AS b FROM per WHERE fp_per_hour <= 0.02)
+SELECT coalesce(b.th, 1) AS threshold, round(b.hit_after_rate, 6) AS hit_after_rate, round(b.fp_per_hour, 8) AS fp_per_hour, b IS NULL AS fallback FROM best""")
 def budget_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signal(spark, sf_dir)
-    options = ev.candidates(s, 32)
+    options = ev.candidates(s, 32).select(F.round("threshold", 9).alias("threshold")).distinct()
     values = [r.threshold for r in options.collect()]  # 48 at most
-    quiet = ev.hours(s.where("rec % 5 = 0"))
-    return ev.budget_threshold(ev.sweep(s, values, K, COOLDOWN), options, quiet, error_segments(spark, sf_dir), 0.02, HIT)
+    out = ev.budget_threshold(ev.sweep(s, values, K, COOLDOWN), options, ev.hours(quiet(s)), error_segments(spark, sf_dir), 0.02, HIT)
+    return out.select("threshold", *r6("hit_after_rate"), F.round("fp_per_hour", 8).alias("fp_per_hour"), "fallback")
 
 
 # -- feature tables -----------------------------------------------------------------------------------------------------
@@ -376,11 +446,21 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.scale(t, tb.fit_scaler(t, FEATURES), FEATURES, "mean", 1e-8).select("event_id", *r6(*FEATURES))
 
 
-@query(f"""WITH {SIG}, {TAB}, a AS (SELECT quantile_cont(f1, 0.5) AS m1, quantile_cont(f2, 0.5) AS m2 FROM tab WHERE rec % 2 = 0)
+GROUPS = "gr AS (SELECT rec, round((max(t) - min(t)) / 3600, 6) AS hours, sum(y) AS positives, count(*) OVER () AS m FROM sig GROUP BY rec)"
+PARTS = f"""{GROUPS}, parts AS (SELECT rec, CASE WHEN i < greatest(1, round_even(0.3 * m, 0)) THEN 'test' WHEN i < greatest(1, round_even(0.3 * m, 0)) + greatest(1, round_even(0.2 * m, 0)) THEN 'val' ELSE 'train' END AS part
+  FROM (SELECT rec, m, row_number() OVER (ORDER BY hours DESC, rec) - 1 AS i FROM gr))"""
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal(spark, sf_dir).groupBy("rec").agg(F.round((F.max("t") - F.min("t")) / 3600, 6).alias("hours"), F.sum("y").alias("positives"))
+
+
+@query(f"""WITH {SIG}, {TAB}, {PARTS}, a AS (SELECT quantile_cont(f1, 0.5) AS m1, quantile_cont(f2, 0.5) AS m2 FROM tab JOIN parts USING (rec) WHERE part = 'train')
 SELECT event_id, round(coalesce(f1, m1), 6) AS f1, coalesce(f2, m2) AS f2 FROM tab, a""")
 def median_imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tab(spark, sf_dir)
-    return tb.impute(t, tb.fit_medians(t.where("rec % 2 = 0"), tb.varying(t, FEATURES))).select("event_id", *r6("f1"), "f2")
+    train = t.join(ln.split_groups(groups(spark, sf_dir)).where("part = 'train'"), "rec", "left_semi")
+    return tb.impute(t, tb.fit_medians(train, tb.varying(t, FEATURES))).select("event_id", *r6("f1"), "f2")
 
 
 @query(f"""WITH {SIG}, {TAB}, a AS (SELECT avg((f1 IS NULL)::INT) AS f1, avg((f2 IS NULL)::INT) AS f2, avg((f3 IS NULL)::INT) AS f3 FROM tab),
@@ -471,22 +551,14 @@ def recording_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.chunks(ends, 7 * DAY).select("rec", "chunk", "start", *r6("stop"))
 
 
-@query(f"""WITH {SIG}, s AS (SELECT *, max((event_type = 'error' AND rec % 3 > 0)::INT) OVER (PARTITION BY rec) = 0 AS q FROM z)
+@query(f"""WITH {SIG}, s AS (SELECT *, max((event_type = 'error' AND v > 100)::INT) OVER (PARTITION BY rec) = 0 AS q FROM z)
 SELECT event_id, rec::VARCHAR AS stream_id, q AS is_nonflight, CASE WHEN q THEN rec::VARCHAR || '__nf' || lpad(floor(s / 604800)::BIGINT::VARCHAR, 4, '0') ELSE rec::VARCHAR END AS group_id FROM s""")
 def stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal(spark, sf_dir)
-    return wn.streams(rows, (F.col("event_type") == "error") & (F.col("rec") % 3 > 0), 7 * DAY).select("event_id", "stream_id", "is_nonflight", "group_id")
-
-
-GROUPS = "gr AS (SELECT rec, round((max(t) - min(t)) / 3600, 6) AS hours, sum(y) AS positives, count(*) OVER () AS m FROM sig GROUP BY rec)"
-
-
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).groupBy("rec").agg(F.round((F.max("t") - F.min("t")) / 3600, 6).alias("hours"), F.sum("y").alias("positives"))
+    return wn.streams(rows, (F.col("event_type") == "error") & (F.col("v") > 100), 7 * DAY).select("event_id", "stream_id", "is_nonflight", "group_id")
 
 
-@query(f"""WITH {SIG}, {GROUPS}, i AS (SELECT rec, m, row_number() OVER (ORDER BY hours DESC, rec) - 1 AS i FROM gr)
-SELECT rec, CASE WHEN i < greatest(1, round_even(0.3 * m, 0)) THEN 'test' WHEN i < greatest(1, round_even(0.3 * m, 0)) + greatest(1, round_even(0.2 * m, 0)) THEN 'val' ELSE 'train' END AS part FROM i""")
+@query(f"WITH {SIG}, {PARTS} SELECT rec, part FROM parts")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.split_groups(groups(spark, sf_dir))
 
@@ -561,4 +633,4 @@ def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     accel = s.select("rec", "t", F.col("v").alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.81).alias("az"))
     marks = s.where("event_type = 'purchase'").groupBy("rec").agg(F.min("t").alias("t")).select("rec", F.lit("Takeoff").alias("name"), "t")
     cfg = sensors.Settings(accel_hz=0.2, baro_hz=0.2, coverage=0.3, grids=(wn.Grid("base", 0, 100.0, 100.0), wn.Grid("to", 1, 120.0, 60.0)), zones=wn.Zones((10.0, 40.0), (40.0, 10.0)))
-    return sensors.imputed(sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") / 10).alias("p")), marks, cfg, s.where("rec % 5 = 0").select("rec").distinct()))
+    return sensors.imputed(sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") / 10).alias("p")), marks, cfg, quiet(s).select("rec").distinct()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import number, per_second, unit_from_size, unit_from_step
+from loomspark.operators.tables import quantiles
 from loomspark.operators.windows import valid_markers
 
 #: Header names of CSV recordings, first match first.
@@ -75,8 +76,9 @@ def units(parsed: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("rec", "kind").orderBy("line")
     steps = parsed.where("kind <> 'marker'").withColumn("d", F.col("ts") - F.lag("ts").over(w))
-    good = F.when(F.col("d") > 0, F.col("d"))
-    dense = steps.groupBy("rec", "kind").agg(F.when((F.count("*") >= READINGS) & (F.count(good) >= STEPS), F.percentile(good, F.lit(0.5))).alias("step"))
+    sizes = steps.groupBy("rec", "kind").agg(F.count("*").alias("__all"))
+    found = quantiles(steps.where("d > 0"), "d", [0.5], "rec", "kind")
+    dense = sizes.join(found, ["rec", "kind"]).where((F.col("__all") >= READINGS) & (F.col("n") >= STEPS)).select("rec", "kind", F.col("q")[0].alias("step"))
     by = lambda kind: F.max(F.when(F.col("kind") == kind, unit_from_step(F.col("step"))))
     rates = dense.groupBy("rec").agg(by("accel").alias("a"), by("baro").alias("b"))
     sizes = parsed.groupBy("rec").agg(unit_from_size(F.max(F.abs("ts"))).alias("m"))

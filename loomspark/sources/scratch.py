@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back; a temporary folder serves where that is unset (tests)."""
+    """``df`` written below ``spark.checkpoint.dir`` and read back.
+
+    Where that is unset a temporary folder serves if Spark runs in one process; on a cluster that raises, as each machine
+    would write a folder of its own.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
         root = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -87,12 +87,20 @@ def label_time(df: DataFrame) -> Column | None:
     return first_of(df, ("t_anchor", "t_center"))
 
 
-def distance(df: DataFrame) -> Column:
-    """Seconds to the nearest event; 1e9 where unknown."""
-    c = first_of(df, ("dist_to_event",))
-    if c is None:
+def distance(df: DataFrame, which: str = "auto") -> Column:
+    """Seconds to an event; 1e9 where unknown.
+
+    ``which``: "event" is the distance to the nearest event, "min" the least of those to a takeoff and a landing, and
+    "auto" the first of the two that the frame has columns for.
+    """
+    if which not in ("auto", "event", "min"):
+        raise ValueError(f"no distance {which!r}")
+    c = first_of(df, ("dist_to_event",)) if which != "min" else None
+    if c is None and which != "event":
         found = [F.abs(F.col(n)) for n in ("dist_to_takeoff", "dist_to_landing") if n in df.columns]
-        c = F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
+        c = F.least(*found) if len(found) > 1 else found[0] if found else None
+    if c is None:
+        c = F.lit(None).cast("double")
     return F.coalesce(F.abs(present(c)), F.lit(1e9))
 
 

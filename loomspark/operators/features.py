@@ -73,6 +73,9 @@ def feature(c: str, kind: str, hz: float = 1.0, seconds: float = 2.0, time: str
         return F.avg(recent)
     if kind == "recent_max_abs":
         return F.max(F.abs(recent))
+    if kind in ("ratio_recent_mean", "ratio_recent_rms"):
+        of = F.avg if kind == "ratio_recent_mean" else lambda c: F.sqrt(F.avg(c * c))
+        return F.when((F.max(n) >= 4) & (F.count(last) >= 2) & (F.abs(of(y)) >= 1e-6), F.least(F.greatest(of(last) / of(y), F.lit(0.0)), F.lit(100.0)))
     if kind == "ratio_recent_std":
         return F.when((F.max(n) >= 4) & (F.stddev_pop(y) >= 1e-6), F.least(recent_std / F.stddev_pop(y), F.lit(100.0)))
     raise ValueError(f"no feature {kind!r}")

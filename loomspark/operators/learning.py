@@ -24,14 +24,17 @@ def split_sizes(n: int, val: float, test: float) -> tuple[int, int]:
     return min(n_val, n - n_test - 1), n_test
 
 
-def split_groups(groups: DataFrame, val: float = 0.2, test: float = 0.3, key: str = "rec") -> DataFrame:
+def split_groups(groups: DataFrame, val: float = 0.2, test: float = 0.3, key: str = "rec", rotate: int | None = None) -> DataFrame:
     """``rec, part`` (train, val, test): the longest recordings test first, ties by name; no recording is in two parts.
 
-    Quotas depend on the number of recordings alone; the ranking is a distributed sort, numbered range by range.
+    With a seed to ``rotate`` by, recordings come by name instead, from a place on that the seed gives.  Quotas depend on
+    the number of recordings alone; the ranking is a distributed sort, numbered range by range.
     """
     n = groups.count()
     n_val, n_test = split_sizes(n, val, test)
-    ranked = positions(groups, F.desc("hours"), F.col(key))
+    ranked = positions(groups, F.desc("hours"), F.col(key)) if rotate is None else positions(groups, F.col(key))
+    if rotate is not None and n:
+        ranked = ranked.withColumn("__i", F.pmod(F.col("__i") - int(np.random.default_rng(rotate).integers(0, n)), F.lit(n)))
     part = F.when(F.col("__i") < n_test, "test").when(F.col("__i") < n_test + n_val, "val").otherwise("train")
     return ranked.select(key, part.alias("part"))
 
@@ -48,13 +51,32 @@ def leaks(a: DataFrame, b: DataFrame, key: str = "rec") -> bool:
     return not a.select(key).intersect(b.select(key)).isEmpty()
 
 
+def check_split(parts: DataFrame, rows: DataFrame, key: str = "rec", y: str = "y") -> None:
+    """Raises if a group is in two parts, a part has no rows, or the training part lacks a class."""
+    if not parts.groupBy(key).agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty():
+        raise AssertionError("a recording is in two parts")
+    counts = {r.part: (r.n, r.pos) for r in rows.join(parts, key).groupBy("part").agg(F.count("*").alias("n"), F.sum(y).alias("pos")).collect()}
+    missing = [r.part for r in parts.select("part").distinct().collect() if r.part not in counts]
+    if missing:
+        raise AssertionError(f"the parts {missing} have no rows")
+    n, pos = counts.get("train", (0, 0))
+    if not 0 < (pos or 0) < n:
+        raise AssertionError("the training part does not have both classes")
+
+
 def forest(train: DataFrame, features: Sequence[str], trees: int = 50, depth: int = 6, seed: int = 42, weight: str | None = None):
     model = RandomForestClassifier(labelCol="y", featuresCol="__x", numTrees=trees, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep"), model]).fit(train)
 
 
-def boosted(train: DataFrame, features: Sequence[str], trees: int = 50, depth: int = 4, step: float = 0.103, seed: int = 42, weight: str | None = None):
-    model = GBTClassifier(labelCol="y", featuresCol="__x", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, **({"weightCol": weight} if weight else {}))
+def boosted(train: DataFrame, features: Sequence[str], trees: int = 50, depth: int = 4, step: float = 0.103, seed: int = 42, weight: str | None = None, held: str | None = None, tolerance: float = 0.01, rows: float = 1.0, columns: str = "all"):
+    """Boosted trees; each sees a share of the ``rows`` and of the ``columns`` (as Spark names such shares).
+
+    ``held`` is a boolean column: rows where it holds are not learned from, and no more trees are added once they no
+    longer improve the loss on these rows by ``tolerance``.
+    """
+    more = ({"weightCol": weight} if weight else {}) | ({"validationIndicatorCol": held, "validationTol": tolerance} if held else {})
+    model = GBTClassifier(labelCol="y", featuresCol="__x", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=rows, featureSubsetStrategy=columns, **more)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep"), model]).fit(train)
 
 

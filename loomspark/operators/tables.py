@@ -118,6 +118,16 @@ def missing_shares(df: DataFrame, features: Sequence[str], over: float = 0.05, t
     return long.where(F.col("share") > over).orderBy(F.desc("share"), "feature").limit(top)
 
 
+def distinct_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: how many different present values each column has."""
+    return df.agg(*(F.countDistinct(c).alias(c) for c in columns))
+
+
+def groups_of(rows: DataFrame, key: str = "file", group: str = "group_id") -> DataFrame:
+    """``key, group`` of every group that a key's rows are in, once."""
+    return rows.select(key, group).distinct()
+
+
 def positive_weight(df: DataFrame, y: str, cap: float | None = None) -> DataFrame:
     ratio = (F.count("*") - F.sum(y)) / F.nullif(F.sum(y), F.lit(0))
     return df.agg((F.least(ratio, F.lit(cap)) if cap else ratio).alias("pos_weight"))

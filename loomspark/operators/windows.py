@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.tables import quantiles
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -135,6 +137,8 @@ def marker_times(markers: DataFrame, takeoff: str = "Takeoff", landing: str = "L
 def sequences(windows: DataFrame, length: int, shift: int = 0, key: str = "group_id", features: Sequence[str] = (), factor: float = 2.5, fallback: float = 60.0) -> DataFrame:
     """Runs of ``length`` consecutive windows: ``key, start, t_detect, t_label, label, x`` (rows of features).
 
+    If the windows have ``accel_coverage`` or ``baro_coverage``, the least of a run is returned too.
+
     Windows are ``(key, t_detect, t_label, label, …)`` and sorted by (t_detect, t_start, row_idx) as far as they have these.
     A run is left out if a time is missing or a gap is more than ``factor`` times the group's median gap.  The label is
     that of the row at ``length // 2 + shift``.
@@ -143,16 +147,19 @@ def sequences(windows: DataFrame, length: int, shift: int = 0, key: str = "group
     w = Window.partitionBy(key).orderBy(*order)
     at = length // 2 + shift
     rows = windows.withColumns({"__n": F.row_number().over(w) - 1, "__gap": F.col("t_detect") - F.lag("t_detect").over(w)})
-    limit = rows.groupBy(key).agg((factor * F.coalesce(F.percentile("__gap", F.lit(0.5)), F.lit(fallback))).alias("__limit"))
+    middle = quantiles(rows, "__gap", [0.5], key).select(key, F.col("q")[0].alias("__middle"))
+    limit = rows.select(key).distinct().join(middle, key, "left").select(key, (factor * F.coalesce("__middle", F.lit(fallback))).alias("__limit"))
+    least = [c for c in ("accel_coverage", "baro_coverage") if c in windows.columns]
     run = w.rowsBetween(1 - length, 0)
     x = F.collect_list(F.array(*(F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in features))).over(run) if features else F.lit(None).cast("array<array<float>>")
     back = length - 1 - at
     rows = rows.withColumns({
         "__full": F.count("*").over(run), "__times": F.count("t_detect").over(run), "__widest": F.max("__gap").over(w.rowsBetween(2 - length, 0)) if length > 1 else F.lit(None).cast("double"),
         "__label": F.lag("label", back).over(w), "__t_label": F.lag("t_label", back).over(w), "x": x,
+        **{c: F.min(c).over(run) for c in least},
     })
     rows = rows.join(limit, key).where((F.col("__full") == length) & (F.col("__times") == length) & (F.col("__widest").isNull() | (F.col("__widest") <= F.col("__limit"))))
-    return rows.select(key, (F.col("__n") - length + 1).alias("start"), "t_detect", F.col("__t_label").alias("t_label"), F.col("__label").alias("label"), "x")
+    return rows.select(key, (F.col("__n") - length + 1).alias("start"), "t_detect", F.col("__t_label").alias("t_label"), F.col("__label").alias("label"), "x", *least)
 
 
 def islands(rows: DataFrame, flag: Column, order: Sequence[str], key: str = "rec") -> DataFrame:

@@ -14,6 +14,7 @@ from loomspark.functions.scalars import distance, present
 from loomspark.operators import events as ev
 from loomspark.operators import learning as ln
 from loomspark.operators import tables as tb
+from loomspark.sources import sinks
 from loomspark.sources.scratch import stash
 
 
@@ -45,9 +46,12 @@ def labelled(table: DataFrame, event: str) -> DataFrame:
 
 
 def partition(rows: DataFrame, rules: Rules) -> DataFrame:
-    """``rec, part`` with flight and quiet recordings split apart, so that both kinds are in every part."""
+    """``rec, part`` with flight and quiet recordings split apart, so that both kinds are in every part.
+
+    Flights are taken by name, from a place on that the seed gives, and quiet recordings by length.
+    """
     hours = ev.hours(rows).join(rows.groupBy("rec").agg(F.max("quiet").alias("quiet")), "rec")
-    return ln.split_groups(hours.where("not quiet"), rules.val, rules.test).unionByName(ln.split_groups(hours.where("quiet"), rules.val, rules.test))
+    return ln.split_groups(hours.where("not quiet"), rules.val, rules.test, rotate=rules.seed).unionByName(ln.split_groups(hours.where("quiet"), rules.val, rules.test))
 
 
 def fitter(rules: Rules, model: Callable = ln.forest, **how) -> Callable[[DataFrame, Sequence[str]], Any]:
@@ -140,8 +144,7 @@ def baseline(table: DataFrame, features: Sequence[str], event: str, marker: str,
     parts = partition(rows, rules)
     rows = rows.join(parts, "rec")
     train, test = rows.where("part <> 'test'"), rows.where("part = 'test'")
-    if ln.leaks(train, test):
-        raise AssertionError("a recording is in the training and the test part")
+    ln.check_split(parts, rows.drop("part"))
     used = tb.varying(train, features)
     medians = tb.fit_medians(train, used)
     train, test = stash(tb.impute(train, medians), "train"), stash(tb.impute(test, medians), "test")
@@ -158,3 +161,46 @@ def baseline(table: DataFrame, features: Sequence[str], event: str, marker: str,
         "events": event_report(scored, marker, best.threshold, rules), "parts": {r.part: r["count"] for r in parts.groupBy("part").count().collect()},
     }
     return final, report
+
+
+def baselines(table: DataFrame, features: Sequence[str], events: dict[str, str], seeds: Sequence[int], out: str, rules: Rules = Rules(), model: Callable = ln.forest, space: dict[str, Sequence[Any]] | None = None, draws: int = 4, weights: Sequence[dict[str, Any]] = (), **how) -> dict[str, Any]:
+    """Baselines of every event (label to marker column) and seed, with their files below ``out``; returns the summary.
+
+    For each: the split, settings drawn from ``space`` with their out-of-fold scores and the best of them, then
+    ``weights`` of near and far negatives likewise, the threshold, and the report of the final fit on held-out recordings.
+    The summary has means and deviations over the seeds by event.  Recordings to be tested take no part in a search.
+    """
+    spark, summary = table.sparkSession, {}
+    for event, marker in events.items():
+        reports = []
+        for seed in seeds:
+            ruled, chosen, at = replace(rules, seed=seed), dict(how), f"{out}/{event.lower()}_seed{seed}"
+            rows = labelled(table, event).withColumns({c: present(F.col(c)) for c in features})
+            parts = stash(partition(rows, ruled), "parts")
+            sinks.write_table(parts, f"{at}/splits")
+            if space or weights:
+                train = rows.join(parts.where("part <> 'test'"), "rec")
+                used = tb.varying(train, features)
+                train = tb.impute(train, tb.fit_medians(train, used))
+                positives = train.groupBy("rec").agg(F.sum("y").alias("positives"))
+                train = stash(train.join(ln.fold_groups(positives, ruled.folds), "rec"), "search")
+                if space:
+                    best, ranked = search(train, used, drawn(space, draws, seed), ruled, model, **chosen)
+                    chosen |= best
+                    sinks.write_rows(ranked, spark, f"{at}/cv_candidates")
+                    sinks.write_json(spark, best, f"{at}/best_params")
+                own = {f.name for f in fields(Rules)}
+                ruled, chosen = replace(ruled, **{k: v for k, v in chosen.items() if k in own}), {k: v for k, v in chosen.items() if k not in own}
+                if weights:
+                    best, ranked = search(train, used, weights, ruled, model, **chosen)
+                    ruled = replace(ruled, **best)
+                    sinks.write_rows(ranked, spark, f"{at}/dw_candidates")
+                    sinks.write_json(spark, best, f"{at}/best_dw")
+            final, report = baseline(table, features, event, marker, ruled, model, **chosen)
+            sinks.write_json(spark, {"threshold": report["threshold"], "budget": report["budget"]}, f"{at}/threshold")
+            sinks.write_json(spark, report, f"{at}/test_report")
+            final.write().overwrite().save(f"{at}/model")
+            reports.append({k: report[k] for k in ("threshold", "out_of_fold", "test", "events")})
+        summary[event] = across(reports)
+    sinks.write_json(spark, summary, f"{out}/summary")
+    return summary

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.scalars import number, per_second, unit_from_size, unit_from_step
@@ -15,11 +17,17 @@ TIME, NAME, PRESSURE = ("t", "timestamp", "time"), ("name", "marker", "event", "
 READINGS, STEPS = 10, 5
 
 
-def discover(spark: SparkSession, root: str, exclude: str = r"(features_|params|scaler|resampled)") -> DataFrame:
-    """``rec`` (path) and ``line`` rows of all ``*.txt`` and ``*.csv`` files below ``root``, artefacts left out."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,csv}").text(root, wholetext=True)
-    rows = text.select(F.col("_metadata.file_path").alias("rec"), "value").where(~F.regexp_extract("rec", r"([^/]*)$", 1).rlike(exclude))
-    return rows.select("rec", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "text"))
+def discover(spark: SparkSession, root: str | Sequence[str], exclude: str = r"(features_|params|scaler|resampled)") -> DataFrame:
+    """``rec`` (path), ``line`` and ``text`` of all lines of ``*.txt`` and ``*.csv`` files below the roots, artefacts left out.
+
+    Files are read by lines and large ones in blocks, by several tasks.  A block's lines are numbered from its offset, so
+    numbers grow along a file, without each being one more than the last.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,csv}").text([root] if isinstance(root, str) else list(root))
+    rows = read.select(F.col("_metadata.file_path").alias("rec"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("text"))
+    rows = rows.where(~F.regexp_extract("rec", r"([^/]*)$", 1).rlike(exclude))
+    first = F.min("__id").over(Window.partitionBy("rec", "__block"))
+    return rows.select("rec", (F.col("__block") + F.col("__id") - first).alias("line"), "text")
 
 
 def domain(path: str = "rec"):
@@ -70,10 +78,46 @@ def parse_csv(rows: DataFrame) -> DataFrame | None:
     return found.toDF("rec", "line", "kind", "name", "ts", "x", "y", "z")
 
 
+def parse_csv_lines(lines: DataFrame) -> DataFrame:
+    """The same from the lines of headed CSV files, each by its own header; files that hold no time or no stream have no row.
+
+    Names are those of :func:`parse_csv`, in any case, the first of a kind that a header has.  Fields may be quoted.
+    """
+    cells = F.transform(F.split("text", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    rows = lines.withColumn("cells", cells)
+    head = rows.groupBy("rec").agg(F.min_by(F.transform("cells", lambda x: F.lower(x)), "line").alias("head"), F.min("line").alias("__first"))
+    place = lambda names: F.coalesce(*(F.nullif(F.array_position("head", n), F.lit(0)) for n in names))
+    spots = {"__t": TIME, "__name": NAME, "__p": PRESSURE, "__ax": ("ax",), "__ay": ("ay",), "__az": ("az",)}
+    head = head.select("rec", "__first", *(place(names).cast("int").alias(c) for c, names in spots.items()))
+    axes = F.col("__ax").isNotNull() & F.col("__ay").isNotNull() & F.col("__az").isNotNull()
+    head = head.where(F.col("__t").isNotNull() & (F.col("__name").isNotNull() | F.col("__p").isNotNull() | axes)).withColumn("__axes", axes)
+    rows = rows.join(head, "rec").where("line > __first")
+    text = lambda c: F.get("cells", F.col(c) - 1)
+    rows = rows.withColumn("ts", number(text("__t"))).where("ts is not null")
+    none, empty = F.lit(None).cast("double"), F.lit(None).cast("string")
+    x, y, z = (number(text(c)) for c in ("__ax", "__ay", "__az"))
+
+    def made(kind: str, when: Column, name: Column, *values: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), name.alias("name"), *(v.alias(n) for n, v in zip("xyz", values))))
+
+    found = F.array(
+        made("marker", F.col("__name").isNotNull() & (F.trim(text("__name")) != ""), F.trim(text("__name")), none, none, none),
+        made("baro", number(text("__p")).isNotNull(), empty, number(text("__p")), none, none),
+        made("accel", F.col("__axes") & (x.isNotNull() | y.isNotNull() | z.isNotNull()), empty, x, y, z),
+    )
+    return rows.select("rec", "line", "ts", F.explode(F.filter(found, lambda r: r.isNotNull())).alias("r")).select("rec", "line", "r.kind", "r.name", "ts", "r.x", "r.y", "r.z")
+
+
+def parse_files(lines: DataFrame) -> DataFrame:
+    """All files of a folder: CSV files by their headers, and the others, and CSV files that can't be read so, as text."""
+    is_csv = F.lower("rec").endswith(".csv")
+    by_header = parse_csv_lines(lines.where(is_csv))
+    rest = lines.join(by_header.select("rec").distinct(), "rec", "left_anti")
+    return by_header.unionByName(parse_text(rest))
+
+
 def units(parsed: DataFrame) -> DataFrame:
     """``rec, unit`` of the times: by the rate of the accelerations, else of the pressures, else by size, else ms."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("rec", "kind").orderBy("line")
     steps = parsed.where("kind <> 'marker'").withColumn("d", F.col("ts") - F.lag("ts").over(w))
     sizes = steps.groupBy("rec", "kind").agg(F.count("*").alias("__all"))

@@ -6,6 +6,7 @@ import importlib.util
 import io
 import json
 import math
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -13,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.scalars import number
 from loomspark.operators.learning import gru
 from loomspark.sources import onnx
 
@@ -35,8 +37,6 @@ def write_json(spark: SparkSession, value: Any, path: str) -> None:
 
 def outside(name: str) -> str:
     """A stored column name as feature files have it: ``pow_0p3_1p0`` is ``pow_0.3_1.0``."""
-    import re
-
     return re.sub(r"(?<=\d)p(?=\d)", ".", name)
 
 
@@ -52,6 +52,69 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/parquet")
 
 
+def stored(name: str) -> str:
+    """A feature file's column name as the tables have it: ``pow_0.3_1.0`` is ``pow_0p3_1p0``."""
+    return re.sub(r"(?<=\d)\.(?=\d)", "p", name)
+
+
+def load_features(spark: SparkSession, path: str, required: Sequence[str] = ("file", "label")) -> DataFrame:
+    """A feature table from CSV files with a header, with ``row_idx``, a number that grows along each file.
+
+    All columns but ids and labels are numbers (what isn't one is missing), names are those of the tables.  Without a
+    ``file`` column the ``file_id`` stands for it, or else the path; a missing required column raises.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    names = [stored(c) for c in raw.columns]
+    rows = raw.toDF(*names).withColumn("row_idx", F.monotonically_increasing_id())
+    if "file" not in names:
+        rows = rows.withColumn("file", F.col("file_id") if "file_id" in names else F.col("_metadata.file_name"))
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"the feature table has no column {missing}")
+    words = {"file", "file_id", "rec", "domain", "grid", "label", "row_idx"}
+    return rows.select(*(F.col(c) if c in words else number(F.col(c)).alias(c) for c in rows.columns))
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One file's bytes, through Spark's file systems."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+
+
+def load_names(spark: SparkSession, path: str) -> list[str]:
+    """Feature names from JSON: a list, or an object with a list under ``features`` or ``names``."""
+    value = json.loads(read_bytes(spark, path))
+    if isinstance(value, dict):
+        value = value.get("features", value.get("names"))
+    if not isinstance(value, list) or not all(isinstance(v, str) for v in value):
+        raise ValueError("there is no list of feature names")
+    return value
+
+
+def load_scaler(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """``mean`` and ``scale`` from an array file, as many as there are names."""
+    with np.load(io.BytesIO(read_bytes(spark, path))) as held:
+        out = {k: np.asarray(held[k], float) for k in ("mean", "scale")}
+    if any(v.shape != (len(names),) for v in out.values()):
+        raise ValueError("the scaler does not fit the feature names")
+    return out
+
+
+def write_resampled(grid: DataFrame, path: str) -> None:
+    """Resampled streams, a folder for each recording, rows in order of time."""
+    grid.withColumn("recording_id", F.col("rec")).repartition("rec").sortWithinPartitions("rec", "s").write.mode("overwrite").partitionBy("recording_id").option("header", True).csv(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A table of any size as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_rows(rows: Sequence[dict[str, Any]], spark: SparkSession, path: str) -> None:
+    """A small table (of settings and their scores, say) as JSON lines."""
+    lines = [(json.dumps(strict(r), allow_nan=False, sort_keys=True),) for r in rows]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
     """One file, through Spark's file systems."""
     jvm = spark.sparkContext._jvm

@@ -168,7 +168,8 @@ def ema_variance(rows: DataFrame, value: str, a: float, out: str, key: str = "re
 
 
 def ema_zscore(rows: DataFrame, value: str, a: float, out: str, key: str = "rec") -> DataFrame:
-    both = ema_variance(ema(rows, value, a, "__mean", key), value, a, "__var", key)
+    both = ema(rows, value, a, "__mean", key).withColumn("__d2", F.pow(F.col(value) - F.col("__mean"), 2))
+    both = ema(both, "__d2", a, "__var", key).drop("__d2")
     return both.withColumn(out, (F.col(value) - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-6)).drop("__mean", "__var")
 
 

@@ -89,12 +89,12 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], *keys: str) ->
     if len(shares) > 8:  # many shares: tell the places by a join of the wanted ones instead of an expression for each
         places = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x: F.array(F.floor(x * (F.col("__n") - 1)), F.ceil(x * (F.col("__n") - 1))))))
         few = placed.withColumn("__p", F.explode(F.filter(places, lambda x: (x >= F.col("__from")) & (x < F.col("__to")))))
-        found = few.groupBy(*keys).agg(F.max("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m"))
+        found = few.groupBy(*keys).agg(F.max("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m")).where("n is not null")
         mid = lambda x: x * (F.col("n") - 1)
         low, high = (lambda x: F.element_at("__m", F.floor(mid(x)))), (lambda x: F.element_at("__m", F.ceil(mid(x))))
         q = F.transform(F.array(*(F.lit(float(x)) for x in shares)), lambda x: low(x) + (high(x) - low(x)) * (mid(x) - F.floor(mid(x))))
         return found.select(*keys, "n", q.alias("q"))
-    found = placed.where(wanted).groupBy(*keys).agg(F.max("__n").alias("n"), *ends)
+    found = placed.where(wanted).groupBy(*keys).agg(F.max("__n").alias("n"), *ends).where("n is not null")
     between = lambda i: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (F.lit(float(shares[i])) * (F.col("n") - 1) - F.floor(F.lit(float(shares[i])) * (F.col("n") - 1)))
     return found.select(*keys, "n", F.array(*(between(i) for i in range(len(shares)))).alias("q"))
 

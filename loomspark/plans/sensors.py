@@ -145,8 +145,9 @@ def feature_table(accel: DataFrame, baro: DataFrame, markers: DataFrame, cfg: Se
         shift = own.join(common.select("rec", F.col("start").alias("c0")), "rec").select("rec", (F.col("start") - F.col("c0")).alias("__shift"))
         return stream.join(shift, "rec").withColumn("s", F.round(F.col("s") + F.col("__shift"), 6)).drop("__shift")
 
-    a = stash(wn.windowed(shifted(accel_streams(accel, cfg), a0), common, cfg.grids), "accel")
-    b = stash(wn.windowed(shifted(baro_streams(baro, cfg), b0), common, cfg.grids), "baro")
+    # Streams are written once each; samples are dealt to windows as they are read, so no copies of them are written.
+    a = wn.windowed(stash(shifted(accel_streams(accel, cfg), a0), "accel"), common, cfg.grids)
+    b = wn.windowed(stash(shifted(baro_streams(baro, cfg), b0), "baro"), common, cfg.grids)
 
     seen = lambda rows, n: rows.groupBy(*KEYS).agg(F.count("*").alias(f"n_{n}"), F.avg(F.col("obs").cast("double")).alias(f"{n}_obs_coverage"))
     ends = common.select("rec", F.lit(0.0).alias("start"), (F.col("stop") - F.col("start")).alias("stop"))
@@ -166,6 +167,7 @@ def feature_table(accel: DataFrame, baro: DataFrame, markers: DataFrame, cfg: Se
     pick = lambda get: F.element_at(F.create_map(*[x for i, g in grids.items() for x in (F.lit(i), F.lit(get(g)))]), F.col("grid_id"))
     w = w.withColumns({"win_s": pick(lambda g: g.win), "hop_s": pick(lambda g: g.hop)}).drop("__t0", "__quiet", "n_accel", "n_baro")
 
+    w = stash(w, "windows")  # the gate is judged once
     keep = w.select(*KEYS)
     out = w.join(accel_features(a.join(keep, list(KEYS), "left_semi"), cfg.accel_hz), list(KEYS), "left").join(baro_features(b.join(keep, list(KEYS), "left_semi"), cfg.baro_hz), list(KEYS), "left")
     out = rs.end_gaps(out.drop("ws", "we"), "rec").withColumn("log_win_s", F.log1p("win_s"))

@@ -136,6 +136,45 @@ def test_triggers(spark, k, cooldown):
     assert {(x.rec, x.t) for x in swept} == {(x.rec, x.t) for x in got}
 
 
+def test_triggers_of_a_long_recording_and_odd_keys(spark):
+    """One recording with most of the scores, over many batches, and one without a name; several thresholds at once."""
+    rng = np.random.default_rng(5)
+    points = [("long", float(t), float(u)) for t, u in zip(range(30_000), rng.random(30_000))] + [(None, 1.0, 0.9), ("", 5.0, 1.0)]
+    got = ev.sweep(spark.createDataFrame(points, "rec string, t double, p double"), [0.0, 0.9, 0.5], 3, 7.0).collect()
+    for x in (0.0, 0.5, 0.9):
+        assert sorted(r.t for r in got if r.rec == "long" and r.threshold == x) == plain_triggers([(t, p) for r, t, p in points if r == "long"], x, 3, 7.0)
+    one = ev.triggers(spark.createDataFrame(points, "rec string, t double, p double"), 0.8).where("rec is null or rec = ''").collect()
+    assert {(r.rec, r.t) for r in one} == {(None, 1.0), ("", 5.0)}
+
+
+@pytest.mark.parametrize("shares", [[0.5], [0.0, 0.25, 0.9, 1.0], [i / 40 for i in range(41)]])
+def test_quantiles_of_keys(spark, shares):
+    rng = np.random.default_rng(6)
+    values = {"hot": rng.normal(size=6000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.0]), "none": np.array([])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("hot", None), ("none", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    got = {r.key: (r.n, r.q) for r in tb.quantiles(df, "v", shares, "key").collect()}
+    assert set(got) == {"hot", "ties", "one", None} and got[None] == (2, pytest.approx([1 + s for s in shares]))
+    for k in ("hot", "ties", "one"):
+        assert got[k][0] == len(values[k]) and np.allclose(got[k][1], np.quantile(values[k], shares), rtol=0, atol=1e-12)
+    whole = tb.quantiles(df.where("key = 'hot'"), "v", shares).collect()
+    assert len(whole) == 1 and whole[0].q == got["hot"][1] and tb.quantiles(df.limit(0), "v", shares).count() == 0
+
+
+def test_matches_as_by_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    segs = [(r, i, float(t)) for r in range(5) for i, t in enumerate(rng.integers(0, 200, 12))] + [(1, 12, None)]
+    fires = [(r, float(t)) for r in range(4) for t in rng.integers(0, 200, 9)]
+    got = ev.matches(spark.createDataFrame(segs, "rec int, seg int, t_ref double"), spark.createDataFrame(fires, "rec int, t double"), 10.0).collect()
+    assert len(got) == len(segs)
+    for r in got:
+        near = [t - r.t_ref for q, t in fires if q == r.rec] if r.t_ref is not None else []
+        nearest = min(near, key=lambda d: (abs(d), d), default=None)
+        after = min((d for d in near if d >= 0), default=None)
+        assert (r.delay_nearest, r.delay_after, r.triggered) == (nearest, after, r.rec < 4)
+        assert r.hit == (nearest is not None and abs(nearest) <= 10) and r.hit_after == (after is not None and after <= 10)
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     from loomspark.streaming import stateful
 
@@ -145,6 +184,8 @@ def test_streaming_equals_batch(spark, tmp_path):
     for i, (a, b) in enumerate([(0, 40), (40, 41), (41, 100)]):
         part = [x for r in range(3) for x in rows[r * 100 + a : r * 100 + b]]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # Scores wait for the watermark, which a later score of another recording moves.
+    spark.createDataFrame([(99, pd.Timestamp("2024-03-01").to_pydatetime(), 0.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = stateful.triggers(stream, 0.6, 2, 10.0, late="1 hour").writeStream.format("memory").queryName("fired").outputMode("append").start()
     q.processAllAvailable()

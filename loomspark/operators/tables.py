@@ -69,8 +69,9 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], *keys: str) ->
     many ranges, and a value's place is its place in its range, shifted by the sizes of the key's ranges before.  No
     task or buffer holds a key's values; keys without a present value have no row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c")).persist()  # read twice: to choose the ranges, and to deal
     dealt = stash(counts.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()), "values")
+    counts.unpersist()
     sizes = dealt.groupBy(*keys, "__range").agg(F.sum("__c").alias("__size"))  # a row for each range and key in it
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__r"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy(*keys)).alias("__n"))

@@ -469,6 +469,24 @@ def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.missing_shares(tab(spark, sf_dir), FEATURES).select("feature", *r6("share"))
 
 
+@query(f"WITH {SIG} SELECT count(DISTINCT rec) AS rec, count(DISTINCT event_type) AS event_type, count(DISTINCT p) AS p FROM sig")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.distinct_counts(signal(spark, sf_dir), "rec", "event_type", "p")
+
+
+@query(f"WITH {SIG} SELECT event_type, count(v) AS n, round(quantile_cont(v, 0.1), 6) AS q10, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.99), 6) AS q99 FROM sig GROUP BY event_type")
+def key_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tb.quantiles(signal(spark, sf_dir), "v", [0.1, 0.5, 0.99], "event_type")
+    return out.select("event_type", "n", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q10", "q50", "q99"))))
+
+
+@query(f"""WITH {SIG}, s AS (SELECT *, max((event_type = 'error' AND v > 100)::INT) OVER (PARTITION BY rec) = 0 AS q FROM z)
+SELECT DISTINCT rec::VARCHAR AS stream_id, CASE WHEN q THEN rec::VARCHAR || '__nf' || lpad(floor(s / 604800)::BIGINT::VARCHAR, 4, '0') ELSE rec::VARCHAR END AS group_id FROM s""")
+def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wn.streams(signal(spark, sf_dir), (F.col("event_type") == "error") & (F.col("v") > 100), 7 * DAY)
+    return tb.groups_of(rows, "stream_id")
+
+
 @query(f"WITH {SIG} SELECT event_type AS label, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM sig GROUP BY event_type")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

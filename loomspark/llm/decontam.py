@@ -208,16 +208,18 @@ def sql(share: float = SHARE) -> str:
     same = "m.doc_id IS NOT DISTINCT FROM h.doc_id AND m.key = h.key AND m.item_id = h.item_id AND m.shift = h.shift"
     return f"""
 WITH d AS ({forms('documents', 'doc_id')}), b AS ({forms('benchmark', 'item_id')}),
+few AS (SELECT COALESCE(list(DISTINCT len(raw)), []) AS ns FROM b WHERE item_id IS NOT NULL AND len(raw) BETWEEN 2 AND {WORDS - 1}),
 dall AS (SELECT doc_id, md5(text) AS key, unnest({cut}) AS w FROM d),
 dw AS (SELECT doc_id, key, w.pos AS pos, w.raw AS raw, unnest([w.form, w.low, w.raw]) AS words FROM dall
   UNION ALL SELECT doc_id, md5(text), 1, raw, raw FROM d WHERE len(raw) = 1
-  UNION ALL SELECT doc_id, key, w.pos, w.raw, w.raw FROM (SELECT doc_id, md5(text) AS key, unnest(flatten(list_transform(range(2, {WORDS}), lambda n: list_transform(range(1, len(tok) - n + 2), lambda i: {{'pos': i, 'raw': raw[i:i + n - 1]}})))) AS w FROM d)),
+  UNION ALL SELECT doc_id, key, w.pos, w.raw, w.raw FROM (SELECT doc_id, md5(text) AS key, unnest(flatten(list_transform(ns, lambda n: list_transform(range(1, len(tok) - n + 2), lambda i: {{'pos': i, 'raw': raw[i:i + n - 1]}})))) AS w FROM d, few)),
 ball AS (SELECT item_id, w.pos AS item_pos, w.raw AS item_raw, {literal('w.form')} AS literal, CASE WHEN {literal('w.form')} THEN [w.form, w.low] WHEN {literal('w.low')} THEN [w.low] ELSE [w.raw] END AS ways
   FROM (SELECT item_id, unnest({cut}) AS w FROM b WHERE item_id IS NOT NULL)
   UNION ALL SELECT item_id, 1, raw, false, [raw] FROM b WHERE item_id IS NOT NULL AND len(raw) BETWEEN 1 AND {WORDS - 1}),
 bw AS (SELECT DISTINCT item_id, item_pos, item_raw, literal, unnest(ways) AS words FROM ball),
 totals AS (SELECT item_id, count(DISTINCT CASE WHEN literal THEN item_pos END) AS n_literal, count(DISTINCT item_pos) AS n_windows FROM bw GROUP BY item_id),
-hits AS (SELECT DISTINCT doc_id, key, pos, item_id, item_pos, literal, pos - item_pos AS shift, words, raw, item_raw FROM dw JOIN bw USING (words)),
+hits AS (SELECT DISTINCT doc_id, key, pos, item_id, item_pos, literal, pos - item_pos AS shift, dw.words, raw, item_raw
+  FROM (SELECT *, array_to_string(words, ' ') AS line FROM dw) dw JOIN (SELECT *, array_to_string(words, ' ') AS line FROM bw) bw USING (line)),
 pairs AS (SELECT doc_id, key, item_id, shift, pos, words, words[k] AS t, item_raw[k] AS a, raw[k] AS b FROM hits, range(1, {WORDS + 1}) AS g(k) WHERE words[k] IN {slots}),
 bad AS (SELECT DISTINCT h.doc_id, h.key, h.item_id, h.shift, h.pos, h.words FROM pairs h JOIN pairs m ON {same} AND m.t = h.t AND (m.a = h.a) <> (m.b = h.b)),
 sound AS (SELECT h.*, EXISTS (SELECT 1 FROM pairs m WHERE {same} AND m.pos = h.pos AND m.words = h.words AND m.a <> m.b) AS changed

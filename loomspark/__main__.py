@@ -1,4 +1,4 @@
-"""Command line: ``python -m loomspark features ROOT… OUT`` and ``python -m loomspark baseline FEATURES OUT``."""
+"""Command line: ``python -m loomspark features ROOT… OUT``, ``baseline FEATURES OUT`` and ``golden RECORDING MODEL OUT``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from loomspark.operators import learning as ln
 from loomspark.operators.windows import Grid, Zones
-from loomspark.plans import evaluate, files, sensors
+from loomspark.plans import evaluate, files, golden, sensors
 from loomspark.sources import sinks
 
 EVENTS = {"TAKEOFF": "t_takeoff", "LANDING": "t_landing"}
@@ -47,6 +47,11 @@ def parser() -> argparse.ArgumentParser:
     for r in fields(evaluate.Rules):
         if r.name != "seed":
             b.add_argument(f"--{r.name}", type=type(r.default), default=r.default)
+    g = commands.add_parser("golden", help="a recording to reference arrays of its first windows")
+    g.add_argument("recording")
+    g.add_argument("model", help="a folder with features.json and scaler.npz")
+    g.add_argument("out", help="the array file to write")
+    g.add_argument("--windows", type=int, default=50)
     return top
 
 
@@ -57,6 +62,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         grids = tuple(Grid(n, i, *getattr(args, n)) for i, n in enumerate(("base", "to", "ld")))
         cfg = sensors.Settings(args.accel_hz, args.baro_hz, args.hold, not args.no_fill, args.coverage, grids, Zones(drop=args.drop_ambiguous), args.rule, args.where, keep_quiet=args.keep_quiet, seed=args.seed)
         report = files.extract(spark, args.roots, args.out, cfg, args.scaled, args.resampled, not args.no_csv)
+    elif args.command == "golden":
+        report = golden.write(spark, args.recording, args.model, args.out, golden.Settings(windows=args.windows))
     else:
         rules = evaluate.Rules(**{r.name: getattr(args, r.name) for r in fields(evaluate.Rules) if r.name != "seed"})
         table = sinks.load_features(spark, args.features) if args.features.endswith(".csv") else sinks.read_features(spark, args.features)

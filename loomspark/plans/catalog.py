@@ -652,3 +652,39 @@ def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = s.where("event_type = 'purchase'").groupBy("rec").agg(F.min("t").alias("t")).select("rec", F.lit("Takeoff").alias("name"), "t")
     cfg = sensors.Settings(accel_hz=0.2, baro_hz=0.2, coverage=0.3, grids=(wn.Grid("base", 0, 100.0, 100.0), wn.Grid("to", 1, 120.0, 60.0)), zones=wn.Zones((10.0, 40.0), (40.0, 10.0)))
     return sensors.imputed(sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") / 10).alias("p")), marks, cfg, quiet(s).select("rec").distinct()))
+
+
+def _bins_sql(name: str, where: str, step: float) -> str:
+    """CTEs up to ``name`` (rec, s, obs): bins of the signal's rows, a second being an hour of them, on the recording's time."""
+    return f"""{name}_c AS (SELECT DISTINCT rec, t / 3600 AS t FROM sig WHERE {where}), {name}_e AS (SELECT rec, min(t) AS a, ceil((max(t) - min(t) + {step / 2}::DOUBLE) / {step}::DOUBLE)::BIGINT AS n FROM {name}_c GROUP BY rec),
+{name}_b AS (SELECT DISTINCT rec, least(floor((t - a) / {step}::DOUBLE)::BIGINT, n - 1) AS bin FROM {name}_c JOIN {name}_e USING (rec)),
+{name}_g AS (SELECT rec, a, unnest(range(n)) AS bin FROM {name}_e),
+{name} AS (SELECT g.rec, g.bin * {step}::DOUBLE + (a - zero) AS s, (b.bin IS NOT NULL)::INT AS obs FROM {name}_g g JOIN zero USING (rec) LEFT JOIN {name}_b b ON b.rec = g.rec AND b.bin = g.bin)"""
+
+
+def _held_sql(name: str, step: float) -> str:
+    end = f"round_even(we * {1 / step}::DOUBLE, 0) / {1 / step}::DOUBLE"
+    return f"""{name}_in AS (SELECT seq, w.rec, count(*) AS n, avg(obs) AS share FROM due w JOIN {name} x ON x.rec = w.rec AND s >= {end} - win - 1e-9 AND s < {end} + 1e-9 GROUP BY seq, w.rec)"""
+
+
+@query(f"""WITH {SIG}, zero AS (SELECT rec, coalesce(min(t / 3600) FILTER (WHERE event_type <> 'view'), min(t / 3600)) AS zero FROM sig GROUP BY rec),
+{_bins_sql('one', "event_type <> 'view'", 5.0)}, {_bins_sql('two', "event_type = 'view'", 20.0)},
+stop AS (SELECT rec, max(s) AS stop FROM (SELECT rec, s FROM one UNION ALL SELECT rec, s FROM two) GROUP BY rec),
+grids(grid, grid_id, win, hop) AS (VALUES ('base', 0, 50::DOUBLE, 50::DOUBLE), ('to', 1, 40::DOUBLE, 20::DOUBLE), ('ld', 2, 48::DOUBLE, 24::DOUBLE)),
+every AS (SELECT rec, grid, grid_id, win, k, k * hop + win AS we FROM (SELECT *, unnest(range(greatest(0, floor((40 + floor(stop + 1 - 40) + 1e-6 - win + 1e-9) / hop)::BIGINT + 1))) AS k FROM stop, grids WHERE stop + 1 >= 40)),
+due AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY we, grid_id) - 1 AS seq FROM every) WHERE seq < 80),
+{_held_sql('one', 5.0)}, {_held_sql('two', 20.0)},
+kept AS (SELECT d.*, coalesce(a.n, 0) AS n_accel, coalesce(b.n, 0) AS n_baro, coalesce(a.share, 0) AS accel_coverage, coalesce(b.share, 0) AS baro_coverage FROM due d LEFT JOIN one_in a ON a.rec = d.rec AND a.seq = d.seq LEFT JOIN two_in b ON b.rec = d.rec AND b.seq = d.seq),
+placed AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seq) - 1 AS place FROM kept WHERE (n_accel = 0 OR accel_coverage >= 0.2) AND (n_baro = 0 OR baro_coverage >= 0.2) AND n_accel + n_baro > 0)
+SELECT rec, grid, we AS t_end, seq, place, n_accel, n_baro, round(accel_coverage, 6) AS accel_coverage, round(baro_coverage, 6) AS baro_coverage, coalesce(we - lag(we) OVER (PARTITION BY rec, grid ORDER BY seq), 0) AS dt_prev_end_s FROM placed WHERE place < 20""")
+def reference_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live detector's windows, with the views as pressures and an hour of the events taken as a second."""
+    from loomspark.plans import golden
+
+    s = signal(spark, sf_dir).withColumn("t", F.col("t") / HOUR)
+    one, two = s.where("event_type <> 'view'"), s.where("event_type = 'view'")
+    zero = s.groupBy("rec").agg(F.coalesce(F.min(F.when(F.col("event_type") != "view", F.col("t"))), F.min("t")).alias("zero"))
+    bins = lambda rows, step: rs.resample(rows, step, fill=False).join(rs.spans(rows), "rec").join(zero, "rec").withColumn("s", F.col("s") + (F.col("start") - F.col("zero")))
+    cfg = golden.Settings(0.2, 0.05, 0.2, (wn.Grid("base", 0, 50.0, 50.0), wn.Grid("to", 1, 40.0, 20.0), wn.Grid("ld", 2, 48.0, 24.0)), 20)
+    out = golden.windows(bins(one, 5.0), bins(two, 20.0), cfg)[0].withColumn("t_end", F.col("we"))
+    return out.select("rec", "grid", "t_end", F.col("seq").cast("long").alias("seq"), F.col("place").cast("long").alias("place"), "n_accel", "n_baro", *r6("accel_coverage", "baro_coverage"), "dt_prev_end_s")

@@ -126,9 +126,10 @@ def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
         out.close()
 
 
-def _arrays(**named: np.ndarray) -> bytes:
+def packed(**named: np.ndarray) -> bytes:
+    """Arrays by name as the bytes of one compressed array file."""
     held = io.BytesIO()
-    np.savez(held, **named)
+    np.savez_compressed(held, **named)
     return held.getvalue()
 
 
@@ -155,9 +156,9 @@ def export_sequence_model(
     shape = {"seq_len": many.shape[1], "n_features": many.shape[2], "head_index": head, "calibration_temperature": heat, "onnx": {"input_name": "x", "output_name": "p", "output_is_probability": True, "static_batch": 1}}
     said = strict({"model_type": "gru"} | shape | (profile or {}) | {"onnx_parity": parity})
     golden = {"X": many.astype(np.float32), "p_out": p.astype(np.float32)} | {y: np.array([r[y] for r in taken], np.float32) for y in ys}
-    files = {"model.onnx": model, "weights.npz": _arrays(**weights), "golden.npz": _arrays(**golden)}
+    files = {"model.onnx": model, "weights.npz": packed(**weights), "golden.npz": packed(**golden)}
     if "mean" in weights:
-        files["scaler.npz"] = _arrays(mean=weights["mean"].astype(np.float32), scale=weights["scale"].astype(np.float32))
+        files["scaler.npz"] = packed(mean=weights["mean"].astype(np.float32), scale=weights["scale"].astype(np.float32))
     for name, value in (("features.json", list(features)), ("profile.json", said)):
         files[name] = json.dumps(value, allow_nan=False, sort_keys=True).encode()
     for name, data in files.items():

@@ -642,16 +642,156 @@ def parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.parse_text(rows.select(F.col("user_id").alias("rec"), F.col("event_id").alias("line"), line.alias("text")))
 
 
-@query()
+def digits(c: str) -> int:
+    """Digits of a feature that double precision gives: few of quotients by almost 0, half of roots of differences."""
+    return 1 if c in ("ground_vs_air_ratio", "vibration_vs_static_ratio") else 3 if "ahoriz" in c else 5
+
+
+def _moments_sql(c: str, name: str, *kinds: str) -> list[str]:
+    every = {
+        "mean": f"avg({c})", "std": f"stddev_pop({c})", "min": f"min({c})", "max": f"max({c})", "median": f"quantile_cont({c}, 0.5)", "iqr": f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)",
+        "rms": f"sqrt(avg({c} * {c}))", "range": f"max({c}) - min({c})", "maxabs": f"max(abs({c}))",
+        "skew": f"CASE WHEN count({c}) >= 3 AND any_value(sd_{c}) > 0 THEN avg(power({c} - mu_{c}, 3)) / power(any_value(sd_{c}), 3) END",
+        "kurt": f"CASE WHEN count({c}) >= 4 AND any_value(sd_{c}) > 0 THEN avg(power({c} - mu_{c}, 4)) / power(any_value(sd_{c}), 4) - 3 END",
+    }
+    return [f"{every[k]} AS {name}_{k}" for k in kinds]
+
+
+def _order_sql(c: str, name: str, hz: int, *kinds: str) -> list[str]:
+    """Features that depend on a value's place i_<c> among the window's n_<c> present ones; a number after the kind is of seconds."""
+    i, n = f"i_{c}", f"n_{c}"
+    out = []
+    for kind in kinds:
+        base, _, sec = kind.rpartition("_") if kind.endswith("s") and kind[-2].isdigit() else (kind, "", "2s")
+        last = lambda least: f"FILTER (WHERE {i} >= {n} - {max(least, int(sec[:-1]) * hz)})"  # noqa: B023, E731
+        half = lambda a, b, least: f"CASE WHEN max({n}) >= {least} THEN avg({c}) FILTER (WHERE {i} >= {a}) - avg({c}) FILTER (WHERE {i} < {b}) END"  # noqa: B023, E731
+        std = f"CASE WHEN count({c}) {last(3)} >= 2 THEN stddev_pop({c}) {last(3)} END"
+        out.append({
+            "halfdiff": half(f"floor({n} / 2)", f"floor({n} / 2)", 4), "thirddiff": half(f"floor(2 * {n} / 3)", f"floor({n} / 3)", 6), "recent_diff_25pct": half(f"floor({n} * 0.75)", f"floor({n} * 0.75)", 4),
+            "peakcount": f"coalesce(sum((abs({c} - mu_{c}) > 2 * sd_{c})::INT), 0)::DOUBLE", "recent_slope": f"CASE WHEN count({c}) {last(3)} >= 3 THEN regr_slope({c}, ({i} - {n}) / {hz}) {last(3)} END",
+            "recent_std": std, "recent_mean": f"avg({c}) {last(1)}", "recent_max_abs": f"max(abs({c})) {last(1)}",
+            "ratio_recent_std": f"CASE WHEN max({n}) >= 4 AND stddev_pop({c}) >= 1e-6 THEN least(({std}) / stddev_pop({c}), 100) END",
+        }[base] + f" AS {name}_{kind}")
+    return out
+
+
+def _placed_sql(*columns: str) -> str:
+    return ", ".join(f"avg({c}) OVER q AS mu_{c}, stddev_pop({c}) OVER q AS sd_{c}, count({c}) OVER q AS n_{c}, count({c}) OVER (q ORDER BY s ROWS UNBOUNDED PRECEDING) - 1 AS i_{c}" for c in columns)
+
+
+def _spectrum_sql(c: str, bands, at: str) -> str:
+    """CTE ``f_<c>``: relative power of the bands, and the spectrum's shape above 0.1 Hz, of windows of 16 present values or more."""
+    low = ", ".join(f"coalesce(sum(p) FILTER (WHERE hz >= {a} AND hz < {b}), 0) AS b{k}" for k, (a, b) in enumerate(bands))
+    return f"""y_{c} AS (SELECT rec, grid, k, i_{c} AS i, n_{c} AS n, ({c} - mu_{c}) * (0.5 - 0.5 * cos(2 * pi() * i_{c} / (n_{c} - 1))) AS y FROM {at} WHERE n_{c} >= 16),
+p_{c} AS (SELECT rec, grid, k, f, f * (1 / (n * 0.125::DOUBLE)) AS hz, sum(y * cos(2 * pi() * f * i / n)) ** 2 + sum(y * sin(2 * pi() * f * i / n)) ** 2 AS p FROM (SELECT *, unnest(range(n // 2 + 1)) AS f FROM y_{c}) GROUP BY ALL),
+m_{c} AS (SELECT rec, grid, k, sum(p) AS total, {low}, arg_max(hz, p) FILTER (WHERE hz >= 0.1) AS dominant, sum(p) FILTER (WHERE hz >= 0.1) AS high, sum(hz * p) FILTER (WHERE hz >= 0.1) / sum(p) FILTER (WHERE hz >= 0.1) AS centre FROM p_{c} GROUP BY rec, grid, k),
+f_{c} AS (SELECT m.*, sqrt((SELECT sum((p.hz - m.centre) ** 2 * p.p) FROM p_{c} p WHERE p.rec = m.rec AND p.grid = m.grid AND p.k = m.k AND p.hz >= 0.1) / high) AS width FROM m_{c} m)"""
+
+
+def _average(new: str, old: str, tau: float, hz: float) -> str:
+    a = rs.alpha(tau, hz)
+    return f"{a!r}::DOUBLE * {new} + {1 - a!r}::DOUBLE * {old}"
+
+
+def sensor_sql() -> str:
+    """The feature table of :func:`sensor_features`."""
+    ten = ("mean", "std", "min", "max", "median", "iqr", "rms", "range", "skew", "kurt")
+    accel = [x for c in ("ax", "ay", "az", "amag") for x in _moments_sql(c, c, *ten)]
+    accel += _order_sql("amag", "amag", 8, "halfdiff", "thirddiff", "recent_diff_25pct", "peakcount", "recent_slope_2s", "recent_slope_3s", "recent_std_2s", "recent_mean_2s", "recent_max_abs_2s", "ratio_recent_std")
+    accel += ["avg(abs(jerk)) AS jerk_mean", *_moments_sql("jerk", "jerk", "std", "rms"), *_order_sql("jerk", "jerk", 8, "recent_std_2s", "recent_max_abs_2s")]
+    accel += _moments_sql("dyn", "dyn", "mean", "std", "rms", "max", "range", "skew", "kurt") + _order_sql("dyn", "dyn", 8, "halfdiff", "thirddiff", "recent_diff_25pct", "peakcount", "recent_slope_2s", "recent_std_2s", "recent_max_abs_2s", "ratio_recent_std")
+    for c in ("avert", "ahoriz"):
+        accel += _moments_sql(c, c, "mean", "std", "rms") + _order_sql(c, c, 8, "peakcount", "recent_slope_2s", "recent_std_2s")
+    accel += _moments_sql("e10", "amag_ema10", "mean", "std", "range") + _order_sql("e10", "amag_ema10", 8, "thirddiff") + _moments_sql("v10", "amag_emaVar10", "mean", "iqr")
+    baro = _moments_sql("p", "p", "mean", "std", "min", "max", "median", "iqr", "range", "skew", "kurt")
+    first = "max(dpdt) FILTER (WHERE i_p = 1)"
+    baro += [f"(sum(dpdt) + {first}) / (count(dpdt) + 1) AS dpdt_mean", f"sqrt(greatest((sum(dpdt * dpdt) + {first} * {first}) / (count(dpdt) + 1) - power((sum(dpdt) + {first}) / (count(dpdt) + 1), 2), 0)) AS dpdt_std"]
+    slope = lambda c: f"CASE WHEN count({c}) >= 2 THEN regr_slope({c}, s) END AS {'p_slope' if c == 'p' else 'p_ema30_slope'}"
+    baro += [slope("p"), *_order_sql("p", "p", 4, "recent_diff_25pct", "recent_slope_3s", "recent_slope_5s", "recent_std_3s"), *_moments_sql("p30", "p_ema30", "mean", "std"), slope("p30")]
+    baro += [*_moments_sql("dp30", "p_ema30_dt1", "mean", "std"), "avg((dp30 > 0)::INT) AS p_ema30_dt1_posfrac"]
+    rate = _moments_sql("dhdt", "dhdt", "mean", "std", "maxabs") + _order_sql("dhdt", "dhdt", 4, "recent_mean_2s", "recent_mean_3s", "recent_slope_3s", "recent_std_3s", "recent_max_abs_2s")
+    rate += ["avg((abs(dhdt) < 0.3)::INT) AS plateau_frac", "coalesce(sum((sg * before < 0)::INT), 0) / (max(n_dhdt) / 4) AS dhdt_zcr_ps"]
+    names = lambda made: [x.rsplit(" AS ", 1)[1] for x in made]
+    baro += [f"CASE WHEN count(dhdt) >= 2 THEN {x.rsplit(' AS ', 1)[0]} END AS {n}" for x, n in zip(rate, names(rate))]
+    bands = lambda c, pre, of: [f"CASE WHEN f_{c}.total > 0 THEN f_{c}.b{k} / f_{c}.total END AS {pre}pow_{a:.1f}_{b:.1f}".replace(".0 ", "p0 ").replace(f"{a:.1f}_{b:.1f}", f"{a:.1f}_{b:.1f}".replace(".", "p")) for k, (a, b) in enumerate(of)]
+    spectra = [*bands("amag", "", ft.BANDS), *bands("dyn", "dyn_", ft.DYN_BANDS)]
+    spectra += [f"CASE WHEN f_{c}.high > 0 THEN f_{c}.{x} END AS {n}" for c, x, n in (("amag", "dominant", "amag_dominant_freq"), ("amag", "centre", "amag_spectral_centroid"), ("amag", "width", "amag_spectral_bandwidth"), ("dyn", "dominant", "dyn_dominant_freq"), ("dyn", "centre", "dyn_spectral_centroid"))]
+    over = lambda a, b: f"CASE WHEN n_amag >= 16 AND {a} + {b} > 1e-9 THEN ({a}) / ({b} + 1e-9) END"
+    part = lambda a, b: f"CASE WHEN {b} >= 1e-9 THEN least(greatest({a} / {b}, 0), 100) END"
+    of = lambda c: f"coalesce({c}, 0)"
+    more = [
+        "CASE WHEN ahoriz_rms > 1e-6 THEN least(greatest(avert_rms / ahoriz_rms, 0), 100) END AS avert_to_ahoriz_ratio",
+        over(f"{of('pow_8p0_15p0')} + {of('pow_3p0_8p0')}", f"{of('pow_0p0_0p3')} + {of('pow_0p3_1p0')}") + " AS ground_vs_air_ratio", over(of("pow_3p0_8p0"), of("pow_0p0_0p3")) + " AS vibration_vs_static_ratio",
+        part("pow_1p0_3p0", "pow_0p3_1p0") + " AS amag_ratio_1_3__0p3_1", part("dyn_pow_2p0_5p0", "dyn_pow_0p5_2p0") + " AS dyn_ratio_2_5__0p5_2",
+    ]
+    runs = ["longest_up / 4 AS runlen_climb_s", "longest_down / 4 AS runlen_descent_s"]
+    found = names(accel) + names(spectra) + names(more) + names(baro) + names(runs)
+    share = lambda heads: "(" + " + ".join(f"({c} IS NOT NULL)::INT" for c in found if c.startswith(heads)) + f") / {sum(c.startswith(heads) for c in found)}"
+    filled = [f"round(coalesce({c}, 0), {digits(c)}) AS {c}" for c in found]
+    return f"""WITH RECURSIVE {SIG},
+r AS (SELECT rec, t / 288000 AS t, avg(v * pi()) AS ax, avg((event_id % 7)::DOUBLE) AS ay, avg(9.75::DOUBLE) AS az, avg(900 + v * pi() / 31) AS p FROM sig GROUP BY rec, sig.t),
+edge AS (SELECT rec, min(t) AS a, max(t) AS z FROM r GROUP BY rec),
+ba AS (SELECT rec, least(floor((t - a) / 0.125::DOUBLE), ceil((z - a + 0.0625::DOUBLE) / 0.125::DOUBLE) - 1)::BIGINT AS bin, avg(ax) AS ax, avg(ay) AS ay, avg(az) AS az FROM r JOIN edge USING (rec) GROUP BY ALL),
+bb AS (SELECT rec, least(floor((t - a) / 0.25::DOUBLE), ceil((z - a + 0.125::DOUBLE) / 0.25::DOUBLE) - 1)::BIGINT AS bin, avg(p) AS p FROM r JOIN edge USING (rec) GROUP BY ALL),
+ga AS (SELECT g.rec, g.bin, ax, ay, az, sqrt(ax * ax + ay * ay + az * az) AS m FROM (SELECT rec, unnest(range(ceil((z - a + 0.0625::DOUBLE) / 0.125::DOUBLE)::BIGINT)) AS bin FROM edge) g LEFT JOIN ba ON ba.rec = g.rec AND ba.bin = g.bin),
+gb AS (SELECT g.rec, g.bin, p FROM (SELECT rec, unnest(range(ceil((z - a + 0.125::DOUBLE) / 0.25::DOUBLE)::BIGINT)) AS bin FROM edge) g LEFT JOIN bb ON bb.rec = g.rec AND bb.bin = g.bin),
+ea AS (SELECT rec, bin, ax, ay, az, m, ax AS gx, ay AS gy, az AS gz, m AS slow, m AS e10, 0::DOUBLE AS v10 FROM ga WHERE bin = 0
+  UNION ALL
+  SELECT g.rec, g.bin, g.ax, g.ay, g.az, g.m, {', '.join(f"coalesce({_average(f'g.a{x}', f'e.g{x}', 0.6, 8)}, e.g{x})" for x in 'xyz')}, coalesce({_average('g.m', 'e.slow', 2, 8)}, e.slow), coalesce({_average('g.m', 'e.e10', 10, 8)}, e.e10),
+    coalesce({_average(f"power(g.m - ({_average('g.m', 'e.e10', 10, 8)}), 2)", 'e.v10', 10, 8)}, e.v10)
+  FROM ea e JOIN ga g ON g.rec = e.rec AND g.bin = e.bin + 1),
+na AS (SELECT *, bin * 0.125::DOUBLE AS s, m AS amag, m - slow AS dyn, ((ax - gx) * gx + (ay - gy) * gy + (az - gz) * gz) / sqrt(gx * gx + gy * gy + gz * gz) AS avert FROM ea),
+la AS (SELECT *, sqrt(greatest((ax - gx) ** 2 + (ay - gy) ** 2 + (az - gz) ** 2 - avert ** 2, 0)) AS ahoriz FROM na),
+hb AS (SELECT *, 44330.0::DOUBLE * (1 - power(least(greatest(p / first_value(p) OVER (PARTITION BY rec ORDER BY bin), 1e-6), 100.0), {1 / 5.255!r}::DOUBLE)) AS h FROM gb),
+db AS (SELECT *, (h - lag(h) OVER (PARTITION BY rec ORDER BY bin)) * 4 AS d FROM hb),
+eb AS (SELECT rec, bin, p, d, p AS p30, NULL::DOUBLE AS c FROM db WHERE bin = 0
+  UNION ALL
+  SELECT g.rec, g.bin, g.p, g.d, coalesce({_average('g.p', 'e.p30', 30, 4)}, e.p30), coalesce({_average('g.d', 'e.c', 2, 4)}, e.c, g.d) FROM eb e JOIN db g ON g.rec = e.rec AND g.bin = e.bin + 1),
+ob AS (SELECT rec, bin, bin * 0.25::DOUBLE AS s, p, CASE WHEN d IS NOT NULL THEN c END AS dhdt, CASE WHEN p IS NOT NULL THEN p30 END AS p30 FROM eb),
+lb AS (SELECT *, CASE WHEN bin = 0 THEN lead(p30) OVER q - p30 ELSE p30 - lag(p30) OVER q END AS dp30 FROM ob WINDOW q AS (PARTITION BY rec ORDER BY bin)),
+grids(grid, grid_id, win, hop) AS (VALUES ('base', 0, 4::DOUBLE, 4::DOUBLE), ('to', 1, 6::DOUBLE, 3::DOUBLE)),
+w AS (SELECT rec, grid, grid_id, win, hop, k, k * hop AS ws, k * hop + win AS we FROM (SELECT rec, grid, grid_id, win, hop, unnest(range(floor((z - a - win + 1e-9) / hop)::BIGINT + 1)) AS k FROM edge, grids WHERE z - a >= win - 1e-9)),
+wa AS (SELECT w.rec, w.grid, w.k, la.* EXCLUDE (rec) FROM w JOIN la ON la.rec = w.rec AND s BETWEEN ws AND we),
+wb AS (SELECT w.rec, w.grid, w.k, lb.* EXCLUDE (rec) FROM w JOIN lb ON lb.rec = w.rec AND s BETWEEN ws AND we),
+kept AS (SELECT w.*, ca, cb FROM w JOIN (SELECT rec, grid, k, avg((m IS NOT NULL)::INT) AS ca FROM wa GROUP BY ALL) USING (rec, grid, k) JOIN (SELECT rec, grid, k, avg((p IS NOT NULL)::INT) AS cb FROM wb GROUP BY ALL) USING (rec, grid, k) WHERE ca >= 0.3 AND cb >= 0.3),
+ja AS (SELECT *, (amag - lag(amag) OVER (PARTITION BY rec, grid, k ORDER BY s)) * 8 AS jerk FROM wa WHERE m IS NOT NULL),
+xa AS (SELECT *, {_placed_sql('ax', 'ay', 'az', 'amag', 'jerk', 'dyn', 'avert', 'ahoriz', 'e10', 'v10')} FROM ja WINDOW q AS (PARTITION BY rec, grid, k)),
+jb AS (SELECT *, (p - lag(p IGNORE NULLS) OVER o) * 4 AS dpdt, CASE WHEN dhdt > 0.05 THEN 1 WHEN dhdt < -0.05 THEN -1 WHEN dhdt IS NOT NULL THEN 0 END AS sg,
+  sum((coalesce(dhdt, 0) <= 0.2)::INT) OVER o AS up, sum((coalesce(dhdt, 0) >= -0.2)::INT) OVER o AS down FROM wb WINDOW o AS (PARTITION BY rec, grid, k ORDER BY s)),
+xb AS (SELECT *, lag(sg IGNORE NULLS) OVER (PARTITION BY rec, grid, k ORDER BY s) AS before, {_placed_sql('p', 'dhdt')} FROM jb WINDOW q AS (PARTITION BY rec, grid, k)),
+ru AS (SELECT rec, grid, k, max(n) AS longest_up FROM (SELECT rec, grid, k, count(*) FILTER (WHERE coalesce(dhdt, 0) > 0.2) AS n FROM xb GROUP BY rec, grid, k, up) GROUP BY ALL),
+rd AS (SELECT rec, grid, k, max(n) AS longest_down FROM (SELECT rec, grid, k, count(*) FILTER (WHERE coalesce(dhdt, 0) < -0.2) AS n FROM xb GROUP BY rec, grid, k, down) GROUP BY ALL),
+fa AS (SELECT rec, grid, k, any_value(n_amag) AS n_amag, {', '.join(accel)} FROM xa GROUP BY rec, grid, k),
+fb AS (SELECT rec, grid, k, count(dhdt) AS n_dhdt, {', '.join(baro)} FROM xb GROUP BY rec, grid, k),
+{_spectrum_sql('amag', ft.BANDS, 'xa')}, {_spectrum_sql('dyn', ft.DYN_BANDS, 'xa')},
+s0 AS (SELECT kept.rec AS rec, kept.grid AS grid, kept.k AS k, {', '.join(spectra)} FROM kept LEFT JOIN f_amag ON f_amag.rec = kept.rec AND f_amag.grid = kept.grid AND f_amag.k = kept.k LEFT JOIN f_dyn ON f_dyn.rec = kept.rec AND f_dyn.grid = kept.grid AND f_dyn.k = kept.k),
+f0 AS (SELECT kept.*, a AS t0, ws + a AS t_start, we + a AS t_end, first = 'signup' AS quiet, mk, fa.* EXCLUDE (rec, grid, k), fb.* EXCLUDE (rec, grid, k), s0.* EXCLUDE (rec, grid, k),
+    CASE WHEN n_dhdt >= 2 THEN longest_up END AS longest_up, CASE WHEN n_dhdt >= 2 THEN longest_down END AS longest_down
+  FROM kept JOIN edge USING (rec) JOIN opens USING (rec) LEFT JOIN (SELECT rec, min(t / 288000) AS mk FROM sig WHERE event_type = 'purchase' GROUP BY rec) USING (rec)
+  LEFT JOIN fa USING (rec, grid, k) LEFT JOIN fb USING (rec, grid, k) LEFT JOIN ru USING (rec, grid, k) LEFT JOIN rd USING (rec, grid, k) LEFT JOIN s0 USING (rec, grid, k)),
+f1 AS (SELECT *, coalesce(greatest(t_end - lag(t_end) OVER (PARTITION BY rec, grid ORDER BY t_end), 0), 0) AS gap, CASE WHEN NOT quiet THEN abs(t_end - mk) END AS far, {', '.join(more + runs)} FROM f0)
+SELECT rec, grid, grid_id, k, round(ca, 5) AS accel_obs_coverage, round(cb, 5) AS baro_obs_coverage, round(mk, 5) AS t_takeoff, NULL::DOUBLE AS t_landing,
+  CASE WHEN quiet THEN 'NONFLIGHT' WHEN t_end BETWEEN mk - 1 AND mk + 3 THEN 'TAKEOFF' ELSE 'OTHER' END AS label, round(t_start, 5) AS t_start, round(t_end, 5) AS t_end, round((t_start + t_end) / 2, 5) AS t_center, round(t_end, 5) AS t_anchor,
+  round(far, 5) AS dist_to_takeoff, NULL::DOUBLE AS dist_to_landing, round(far, 5) AS dist_to_event, CASE WHEN quiet THEN 'nonflight' ELSE 'flight' END AS domain, win AS win_s, hop AS hop_s,
+  round(gap, 5) AS dt_prev_end_s, round(ln(1 + gap), 5) AS log_dt_prev_end_s, round(ln(1 + win), 5) AS log_win_s, rec::VARCHAR AS file, rec::VARCHAR AS file_id,
+  (amag_mean IS NOT NULL)::INT::DOUBLE AS has_accel, (p_mean IS NOT NULL)::INT::DOUBLE AS has_baro, (pow_0p0_0p3 IS NOT NULL OR amag_dominant_freq IS NOT NULL)::INT::DOUBLE AS has_spectral, (dyn_mean IS NOT NULL)::INT::DOUBLE AS has_dyn,
+  round({share(('ax_', 'ay_', 'az_', 'amag_'))}, 5) AS accel_coverage, round({share(('p_', 'dhdt_'))}, 5) AS baro_coverage, {', '.join(filled)} FROM f1"""
+
+
+@query(sensor_sql())
 def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full feature table, an hour of the events taken as a second of a sensor."""
+    """The full feature table without filling, 80 hours of the events taken as a second of a sensor; features to 5 digits (times pi, no value is half of the last)."""
     from loomspark.plans import sensors
 
-    s = signal(spark, sf_dir).withColumn("t", F.col("t") / HOUR)
-    accel = s.select("rec", "t", F.col("v").alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.81).alias("az"))
+    s = signal(spark, sf_dir).withColumn("t", F.col("t") / (80 * HOUR))
+    accel = s.select("rec", "t", (F.col("v") * F.pi()).alias("ax"), (F.col("event_id") % 7).cast("double").alias("ay"), F.lit(9.75).alias("az"))
     marks = s.where("event_type = 'purchase'").groupBy("rec").agg(F.min("t").alias("t")).select("rec", F.lit("Takeoff").alias("name"), "t")
-    cfg = sensors.Settings(accel_hz=0.2, baro_hz=0.2, coverage=0.3, grids=(wn.Grid("base", 0, 100.0, 100.0), wn.Grid("to", 1, 120.0, 60.0)), zones=wn.Zones((10.0, 40.0), (40.0, 10.0)))
-    return sensors.imputed(sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") / 10).alias("p")), marks, cfg, quiet(s).select("rec").distinct()))
+    cfg = sensors.Settings(accel_hz=8.0, baro_hz=4.0, fill=False, coverage=0.3, grids=(wn.Grid("base", 0, 4.0, 4.0), wn.Grid("to", 1, 6.0, 3.0)), zones=wn.Zones((1.0, 3.0), (3.0, 1.0)))
+    table = sensors.feature_table(accel, s.select("rec", "t", (900 + F.col("v") * F.pi() / 31).alias("p")), marks, cfg, quiet(s).select("rec").distinct())
+    found = sensors.signal_features(table)
+    out = sensors.imputed(table)
+    times = ("t_start", "t_end", "t_center", "t_anchor", "t_takeoff", "dist_to_takeoff", "dist_to_event", "accel_obs_coverage", "baro_obs_coverage", "log_dt_prev_end_s", "log_win_s", "dt_prev_end_s", "accel_coverage", "baro_coverage")
+    return out.withColumns({c: F.round(c, digits(c)) for c in [*found, *times]})
 
 
 def _bins_sql(name: str, where: str, step: float) -> str:

@@ -828,3 +828,91 @@ def reference_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = golden.Settings(0.2, 0.05, 0.2, (wn.Grid("base", 0, 50.0, 50.0), wn.Grid("to", 1, 40.0, 20.0), wn.Grid("ld", 2, 48.0, 24.0)), 20)
     out = golden.windows(bins(one, 5.0), bins(two, 20.0), cfg)[0].withColumn("t_end", F.col("we"))
     return out.select("rec", "grid", "t_end", F.col("seq").cast("long").alias("seq"), F.col("place").cast("long").alias("place"), "n_accel", "n_baro", *r6("accel_coverage", "baro_coverage"), "dt_prev_end_s")
+
+
+# -- columns, lines and markers -------------------------------------------------------------------------------------------
+_SIZED = "v * power(10::DOUBLE, (event_id % 18)::DOUBLE)"
+
+
+@query(f"""WITH {SIG}, b AS (SELECT *, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN v END AS x, CASE WHEN event_id % 5 <> 0 THEN v - 50 END AS to_s, CASE WHEN event_id % 7 <> 0 THEN 20 - v END AS ld_s, {_SIZED} AS large FROM sig)
+SELECT event_id, x, CASE WHEN event_id % 3 = 0 THEN 'ms' WHEN large > 1e15 THEN 'ns' WHEN large > 1e12 THEN CASE WHEN large > 1.4e12 AND large < 2.5e12 THEN 'ms' ELSE 'ns' END
+    WHEN large > 1e9 THEN CASE WHEN large > 1.4e9 AND large < 2e9 THEN 's' ELSE 'ms' END WHEN large > 1e6 THEN 'ms' ELSE 's' END AS unit,
+  round(44330.0::DOUBLE * (1 - power(least(greatest((900 + v * pi()) / 1013.25, 1e-6), 100.0), {1 / 5.255!r}::DOUBLE)), 5) AS altitude, round_even(v / 7 * 1e6, 0) / 1e6 AS rounded,
+  CASE WHEN v - 20 >= 1e-9 THEN round(least(greatest(x * pi() / (v - 20), 0), 100), 6) END AS ratio, v AS detected, v + 1 AS labelled,
+  coalesce(abs(to_s), 1e9) AS far_event, coalesce(least(abs(to_s), abs(ld_s)), 1e9) AS far_min, coalesce(abs(to_s), 1e9) AS far_auto, coalesce(least(abs(to_s), abs(ld_s)), 1e9) AS far_two,
+  x IS NULL AS is_least, (upper(event_type) = 'ERROR')::INT AS y, CASE event_id % 4 WHEN 0 THEN v WHEN 1 THEN (v::DECIMAL(20, 6)::VARCHAR || 'e1')::DOUBLE END AS number
+FROM b""")
+def scalar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column expressions: missing values, units by size, altitude, rounding, ratios, times and distances by what there is, numbers in texts."""
+    from loomspark.plans import evaluate
+
+    s, i = signal(spark, sf_dir), F.col("event_id")
+    odd = F.when(i % 13 == 0, float("nan")).when(i % 17 == 0, float("-inf")).otherwise(F.col("v"))
+    rows = s.withColumns({"x": scalars.present(odd), "odd": odd, "t_anchor": F.col("v") + 1, "t_end": F.col("v"), "large": F.when(i % 3 != 0, F.expr(_SIZED.replace("::DOUBLE", "")))})
+    rows = rows.withColumns({"dist_to_takeoff": F.when(i % 5 != 0, F.col("v") - 50), "dist_to_landing": F.when(i % 7 != 0, 20 - F.col("v"))})
+    one = rows.withColumn("dist_to_event", F.when(i % 5 == 0, float("nan")).otherwise(F.col("dist_to_takeoff")))
+    said = F.when(i % 4 == 0, F.concat(F.lit(" "), F.col("v").cast("decimal(20,6)").cast("string"))).when(i % 4 == 1, F.concat(F.col("v").cast("decimal(20,6)").cast("string"), F.lit("e1"))).when(i % 4 == 2, "1.0d").otherwise("0x1F")
+    both = one.select(
+        "event_id", "x", scalars.unit_from_size(F.col("large")).alias("unit"), F.round(scalars.altitude(900 + F.col("v") * F.pi(), F.lit(1013.25)), 5).alias("altitude"), scalars.round6(F.col("v") / 7).alias("rounded"),
+        F.round(scalars.ratio(F.col("x") * F.pi(), F.col("v") - 20), 6).alias("ratio"), scalars.detect_time(one).alias("detected"), scalars.label_time(one).alias("labelled"),
+        scalars.distance(one, "event").alias("far_event"), scalars.distance(one, "min").alias("far_min"), scalars.distance(one).alias("far_auto"),
+        (scalars.score_or_least(F.col("odd")) == float("-inf")).alias("is_least"), scalars.number(said).alias("number"),
+    )
+    two = evaluate.labelled(rows.withColumnRenamed("event_type", "label").withColumn("domain", F.lit("flight")), "ERROR").select("event_id", F.col("d").alias("far_two"), "y")
+    return both.join(two, "event_id")
+
+
+@query("""SELECT user_id AS rec, event_id AS line, kind, name, ts, x, y, z FROM (
+  SELECT *, unnest(CASE user_id % 4 WHEN 0 THEN [{'kind': 'baro', 'name': NULL::VARCHAR, 'x': value, 'y': NULL::DOUBLE, 'z': NULL::DOUBLE}] WHEN 1 THEN [{'kind': 'accel', 'name': NULL, 'x': value, 'y': event_id::DOUBLE, 'z': NULL}]
+    WHEN 3 THEN CASE WHEN event_type = 'view' THEN [{'kind': 'baro', 'name': NULL, 'x': value, 'y': NULL, 'z': NULL}] ELSE [{'kind': 'marker', 'name': event_type || ', said', 'x': NULL, 'y': NULL, 'z': NULL}] END END, recursive := true),
+    floor(epoch_us(ts) / 1000)::DOUBLE AS at FROM events WHERE user_id % 4 <> 2 AND event_type <> 'error') AS q(event_id, was, user_id, event_type, value, props, kind, name, x, y, z, ts)""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of CSV recordings, of four kinds of headers; one holds no stream, and errors are lines without a time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("rec", F.col("user_id"))
+    head = F.element_at(F.array(*map(F.lit, ("Timestamp,Other,PRESSURE", "az,t,ax,AY", "x,y", "time,event,Baro"))), (F.col("rec") % 4 + 1).cast("int"))
+    ms = F.when(F.col("event_type") == "error", "none").otherwise(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("string"))
+    v, kind = F.col("value").cast("string"), F.col("rec") % 4
+    line = F.when(kind == 0, F.concat_ws(",", ms, F.lit("-"), v)).when(kind == 1, F.concat_ws(",", F.lit("?"), ms, v, F.col("event_id").cast("string"))).when(kind == 2, F.concat_ws(",", ms, v))
+    line = line.otherwise(F.when(F.col("event_type") == "view", F.concat_ws(",", ms, F.lit(" "), v)).otherwise(F.concat(ms, F.lit(',"'), F.col("event_type"), F.lit(', said",'))))
+    heads = rows.select("rec").distinct().select("rec", F.lit(-1).cast("long").alias("line"), head.alias("text"))
+    return rec.parse_csv_lines(heads.unionByName(rows.select("rec", F.col("event_id").alias("line"), line.alias("text"))))
+
+
+@query(f"""WITH {SIG}, mk AS (SELECT rec, event_type AS name, arg_max(t + CASE WHEN rec % 5 = 0 THEN 1e7 ELSE 0 END, event_id) AS t FROM sig WHERE event_type IN ('purchase', 'signup') GROUP BY rec, event_type),
+e AS (SELECT rec, min(t) AS a, max(t) AS b FROM sig GROUP BY rec)
+SELECT rec, name, t FROM (SELECT mk.*, max((t < a - 60 OR t > b + 60)::INT) OVER (PARTITION BY rec) AS void FROM mk JOIN e USING (rec)) WHERE void = 0""")
+def marker_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last marker of a name, unless one of the recording lies outside its span."""
+    s = signal(spark, sf_dir)
+    marks = s.where("event_type in ('purchase', 'signup')").select("rec", F.col("event_type").alias("name"), (F.col("t") + F.when(F.col("rec") % 5 == 0, 1e7).otherwise(0.0)).alias("t"), F.col("event_id").alias("line"))
+    return wn.valid_markers(marks, rs.spans(s))
+
+
+@query(f"""WITH {SIG}, d AS (SELECT rec, event_id, CASE WHEN rec % 4 = 2 THEN 'marker' WHEN event_type = 'view' OR rec % 4 = 1 THEN 'baro' WHEN rec % 4 = 3 AND event_id % 9 <> 0 THEN 'marker' ELSE 'accel' END AS kind, CASE WHEN rec % 4 = 2 THEN t * 1e3 ELSE s / 52000 * CASE rec % 4 WHEN 0 THEN 1e0 ELSE 1e3 END END AS ts FROM z),
+m AS (SELECT rec, kind, quantile_cont(d, 0.5) FILTER (WHERE d > 0) AS step, count(*) AS n, count(*) FILTER (WHERE d > 0) AS pos FROM (SELECT rec, kind, ts - lag(ts) OVER (PARTITION BY rec, kind ORDER BY ts) AS d FROM d WHERE kind <> 'marker') GROUP BY rec, kind),
+u AS (SELECT rec, kind, CASE WHEN n < 10 OR pos < 5 THEN NULL WHEN 1 / step BETWEEN 0.5 AND 200 THEN 's' WHEN 1e3 / step BETWEEN 0.5 AND 200 THEN 'ms' WHEN 1e6 / step BETWEEN 0.5 AND 200 THEN 'us' WHEN 1e9 / step BETWEEN 0.5 AND 200 THEN 'ns' END AS unit FROM m),
+l AS (SELECT rec, max(abs(ts)) AS large FROM d GROUP BY rec)
+SELECT l.rec, coalesce((SELECT any_value(unit) FROM u WHERE u.rec = l.rec AND kind = 'accel'), (SELECT any_value(unit) FROM u WHERE u.rec = l.rec AND kind = 'baro'),
+  CASE WHEN large > 1e15 THEN 'ns' WHEN large > 1e12 THEN CASE WHEN large > 1.4e12 AND large < 2.5e12 THEN 'ms' ELSE 'ns' END WHEN large > 1e9 THEN CASE WHEN large > 1.4e9 AND large < 2e9 THEN 's' ELSE 'ms' END WHEN large > 1e6 THEN 'ms' ELSE 's' END) AS unit FROM l""")
+def unit_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units by the rate of the accelerations, else of the pressures, else by size."""
+    r, kind = F.col("rec") % 4, F.col("event_type")
+    of = F.when(r == 2, "marker").when((kind == "view") | (r == 1), "baro").when((r == 3) & (F.col("event_id") % 9 != 0), "marker").otherwise("accel")
+    z = rs.zeroed(signal(spark, sf_dir)).join(signal(spark, sf_dir).select("event_id", "t"), "event_id")
+    ts = F.when(r == 2, F.col("t") * 1e3).otherwise(F.col("s") / 52000 * F.when(r == 0, 1.0).otherwise(1e3))
+    return rec.units(z.select("rec", of.alias("kind"), ts.alias("ts"), F.col("t").alias("line")))
+
+
+@query(f"WITH {SIG}, {PARTS} SELECT part, count(*) AS n, count(DISTINCT rec) AS recordings, sum(y)::BIGINT AS positives FROM sig JOIN parts USING (rec) GROUP BY part")
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each part of a checked split."""
+    s, parts = signal(spark, sf_dir), ln.split_groups(groups(spark, sf_dir))
+    ln.check_split(parts, s)
+    each = None
+    for name in ("train", "val", "test"):
+        own = parts.where(F.col("part") == name)
+        if ln.leaks(own, parts.where(F.col("part") != name)):
+            raise AssertionError("a recording is in two parts")
+        one = s.join(own.select("rec"), "rec", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("rec").alias("recordings"), F.sum("y").alias("positives")).select(F.lit(name).alias("part"), "*")
+        each = one if each is None else each.unionByName(one)
+    return each

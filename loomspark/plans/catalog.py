@@ -6,6 +6,7 @@ timestamps, a score is a fixed function of the value, and errors are the positiv
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,9 @@ from loomspark.operators import resample as rs
 from loomspark.operators import tables as tb
 from loomspark.operators import windows as wn
 from loomspark.sources import recordings as rec
+from loomspark.sources import scratch
 from loomspark.sources.scratch import stash
+from loomspark.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "window_stats"
@@ -916,3 +919,38 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = s.join(own.select("rec"), "rec", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("rec").alias("recordings"), F.sum("y").alias("positives")).select(F.lit(name).alias("part"), "*")
         each = one if each is None else each.unionByName(one)
     return each
+
+
+# -- streams --------------------------------------------------------------------------------------------------------------
+def replayed(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` makes of the signal as a stream: its files come one by one, in order of time, and a last row long after ends all recordings."""
+    rows = signal(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long"))).select("rec", "ts", "v", "p")
+    last = rows.agg(F.lit(-1).cast("long").alias("rec"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit(0.0).alias("v"), F.lit(0.0).alias("p"))
+    cuts = tb.quantiles(rows.select(F.unix_micros("ts").cast("double").alias("u")), "u", [0.0, 0.4, 0.8, 1.0]).first().q
+    root = f"{scratch.home(spark)}/stream-{uuid.uuid4().hex}"
+    scratch.sweep_later(spark, root)
+    at = F.unix_micros("ts").cast("double")
+    for k, part in enumerate([rows.where(at.between(cuts[0], cuts[1])), *(rows.where((at > a) & (at <= b)) for a, b in zip(cuts[1:], cuts[2:])), last]):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/{k}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/[0-9]")
+    query = operator(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stash(spark.read.parquet(f"{root}/out").where("rec >= 0"), "streamed")
+
+
+@query(f"WITH RECURSIVE {SIG}, {TRIG} SELECT rec, t FROM fired")
+def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, lambda s: stateful.triggers(s, THRESHOLD, K, COOLDOWN, "1 day", 400 * DAY))
+
+
+@query(f"""WITH RECURSIVE {SIG}, r AS (SELECT rec, t, v, row_number() OVER (PARTITION BY rec ORDER BY t) AS i FROM sig),
+e AS (SELECT *, v AS m FROM r WHERE i = 1 UNION ALL SELECT r.*, 0.2::DOUBLE * r.v + 0.8::DOUBLE * m FROM e JOIN r ON r.rec = e.rec AND r.i = e.i + 1) SELECT rec, t, v, round(m, 6) AS m FROM e""")
+def stream_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replayed(spark, sf_dir, lambda s: stateful.ema(s, 0.2, "1 day", 400 * DAY)).select("rec", "t", "v", *r6("m"))
+
+
+@query(f"""WITH {SIG}, {WIN}, f AS (SELECT rec, grid, k, count(*) AS n, avg(v) AS mean FROM x GROUP BY rec, grid, k)
+SELECT w.rec, w.grid, w.grid_id, w.k, ws, we, coalesce(n, 0) AS n, round(mean, 6) AS mean, CASE WHEN w.k > 0 THEN hop END AS dt_prev_end FROM w JOIN grids USING (grid) LEFT JOIN f ON f.rec = w.rec AND f.grid = w.grid AND f.k = w.k""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = replayed(spark, sf_dir, lambda s: stateful.windows(s, GRIDS, "1 day", 400 * DAY))
+    return out.select("rec", "grid", "grid_id", "k", "ws", "we", "n", *r6("mean"), "dt_prev_end")

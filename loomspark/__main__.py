@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--seeds", type=int, nargs="+", default=[42])
     b.add_argument("--draws", type=int, default=0, help="settings to try; 0: none")
     b.add_argument("--space", type=json.loads, default={"trees": [50, 100, 200], "depth": [4, 6, 8]}, help="JSON object of lists")
+    b.add_argument("--suggest", action="store_true", help="settings by Parzen estimators of those before; the space may hold intervals as {\"low\": 1, \"high\": 2, \"log\": true}")
     b.add_argument("--weights", type=json.loads, default=[], help="JSON list of objects with w_mid and w_far")
     b.add_argument("--params", type=json.loads, default={}, help="JSON object of model settings")
     for r in fields(evaluate.Rules):
@@ -71,8 +72,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             table = table.withColumn("rec", table["file_id"] if "file_id" in table.columns else table["file"])
         found = [c for c, kind in table.dtypes if c in set(sensors.signal_features(table)) and kind == "double"]
         model = ln.forest if args.model == "forest" else ln.boosted
-        space = args.space if args.draws else None
-        report = evaluate.baselines(table, found, {e: EVENTS[e] for e in args.events}, args.seeds, args.out, rules, model, space, args.draws, args.weights, **args.params)
+        space = {k: (v["low"], v["high"], "log" if v.get("log") else "") if isinstance(v, dict) else v for k, v in args.space.items()} if args.draws else None
+        report = evaluate.baselines(table, found, {e: EVENTS[e] for e in args.events}, args.seeds, args.out, rules, model, space, args.draws, args.weights, args.suggest, **args.params)
     print(json.dumps(sinks.strict(report), sort_keys=True))
     return report
 

@@ -81,6 +81,58 @@ def drawn(space: dict[str, Sequence[Any]], n: int, seed: int = 42, first: Sequen
     return out
 
 
+def _suggested(space: dict[str, Any], seen: Sequence[tuple[dict[str, Any], float]], rng: np.random.Generator, tries: int = 24) -> dict[str, Any]:
+    """The likeliest of ``tries`` settings to be among the best of those ``seen``, by a Parzen estimator for each value.
+
+    Values are taken from a list, or from an interval ``(low, high)`` or ``(low, high, "log")``.  The best tenth of what
+    was seen makes one density of a value and the rest the other; settings are drawn from the first, and the one with the
+    largest ratio of the two is suggested.
+    """
+    ranked = [one for one, _ in sorted(seen, key=lambda x: -x[1])]
+    n = max(1, int(np.ceil(0.1 * len(ranked))))
+    out = {}
+    for name in sorted(space):
+        good, bad = ([one[name] for one in part if name in one] for part in (ranked[:n], ranked[n:]))
+        of = space[name]
+        if isinstance(of, list):
+            weigh = lambda part: np.array([1 + sum(repr(v) == repr(x) for x in part) for v in of], float)  # noqa: B023, E731
+            a, b = (w / w.sum() for w in map(weigh, (good, bad)))
+            drawn_at = rng.choice(len(of), tries, p=a)
+            out[name] = of[int(drawn_at[np.argmax(a[drawn_at] / b[drawn_at])])]
+            continue
+        scale = np.log if len(of) > 2 and of[2] == "log" else np.asarray
+        low, high = (float(scale(float(x))) for x in of[:2])
+        centres = lambda part: np.append(scale(np.array(part, float)) if part else np.zeros(0), (low + high) / 2)  # noqa: B023, E731
+        # The last centre stands for the whole interval; the others are narrower the more there are.
+        width = lambda c: np.append(np.full(len(c) - 1, (high - low) / max(2.0, np.sqrt(len(c) * 8))), high - low)  # noqa: B023, E731
+        density = lambda x, c: np.mean(np.exp(-0.5 * ((x[:, None] - c) / width(c)) ** 2) / width(c), 1)  # noqa: B023, E731
+        a, b = centres(good), centres(bad)
+        pick = rng.integers(len(a), size=tries)
+        x = np.where(pick == len(a) - 1, rng.uniform(low, high, tries), np.clip(rng.normal(a[pick], np.maximum(width(a)[pick], 1e-12)), low, high))
+        best = float(x[np.argmax(density(x, a) / density(x, b))]) if high > low else low
+        out[name] = float(np.clip(np.exp(best) if scale is np.log else best, of[0], of[1]))
+    return out
+
+
+def parzen(space: dict[str, Any], objective: Callable[[dict[str, Any]], float], n: int, seed: int = 42, first: Sequence[dict[str, Any]] = (), startup: int = 10) -> list[tuple[dict[str, Any], float]]:
+    """``n`` settings with their values of ``objective``, higher being better: ``first`` ones, then drawn ones up to ``startup``, then those that :func:`_suggested` gives."""
+    rng, seen = np.random.default_rng(seed), []
+    for k in range(n):
+        one = dict(first[k]) if k < len(first) else _suggested(space, seen if k >= startup else [], rng)
+        seen.append((one, float(objective(one))))
+    return seen
+
+
+def _judge(train: DataFrame, features: Sequence[str], one: dict[str, Any], rules: Rules, model: Callable, how: dict[str, Any]) -> dict[str, Any]:
+    """A setting with its out-of-fold scores and threshold."""
+    own = {f.name for f in fields(Rules)}
+    ruled = replace(rules, **{k: v for k, v in one.items() if k in own})
+    fit = fitter(ruled, model, **how | {k: v for k, v in one.items() if k not in own})
+    held = stash(ln.out_of_fold(train, features, fit, rules.folds), "held")
+    best = ev.best_threshold(held, ruled.beta, "ends").first()
+    return dict(one) | ev.average_precision(held).first().asDict() | {"threshold": best.threshold, "fbeta": best.fbeta}
+
+
 def search(train: DataFrame, features: Sequence[str], settings: Sequence[dict[str, Any]], rules: Rules = Rules(), model: Callable = ln.forest, **how) -> tuple[dict[str, Any], list[dict[str, Any]]]:
     """The best of ``settings`` and all of them with their out-of-fold scores, best first by ``pr_auc``, then ``roc_auc``.
 
@@ -89,17 +141,26 @@ def search(train: DataFrame, features: Sequence[str], settings: Sequence[dict[st
     """
     if not settings:
         raise ValueError("there are no settings to choose from")
-    own, table = {f.name for f in fields(Rules)}, []
-    for one in settings:
-        ruled = replace(rules, **{k: v for k, v in one.items() if k in own})
-        fit = fitter(ruled, model, **how | {k: v for k, v in one.items() if k not in own})
-        held = stash(ln.out_of_fold(train, features, fit, rules.folds), "held")
-        best = ev.best_threshold(held, ruled.beta, "ends").first()
-        table.append(dict(one) | ev.average_precision(held).first().asDict() | {"threshold": best.threshold, "fbeta": best.fbeta})
+    table = [_judge(train, features, one, rules, model, how) for one in settings]
     table.sort(key=lambda r: (-(r["pr_auc"] or 0.0), -(r["roc_auc"] or 0.0)))
     return {k: table[0][k] for k in settings[0]}, table
 
 
+def tuned(train: DataFrame, features: Sequence[str], space: dict[str, Any], n: int, rules: Rules = Rules(), model: Callable = ln.forest, seed: int = 42, first: Sequence[dict[str, Any]] = (), **how) -> tuple[dict[str, Any], list[dict[str, Any]]]:
+    """Like :func:`search`, over ``n`` settings that :func:`parzen` suggests one after the other by their out-of-fold ``pr_auc``."""
+    if n < 1:
+        raise ValueError("there are no settings to choose from")
+    table: list[dict[str, Any]] = []
+
+    def objective(one: dict[str, Any]) -> float:
+        table.append(_judge(train, features, one, rules, model, how))
+        return table[-1]["pr_auc"] or 0.0
+
+    parzen(space, objective, n, seed, first)
+    table.sort(key=lambda r: (-(r["pr_auc"] or 0.0), -(r["roc_auc"] or 0.0)))
+    return {k: table[0][k] for k in space}, table
+
+
 def across(reports: Sequence[dict[str, Any]]) -> dict[str, Any]:
     """Mean and population deviation of every number that all reports (of several seeds, say) have, by its path."""
     flat = lambda v, at="": {k: x for n, w in v.items() for k, x in (flat(w, f"{at}{n}.") if isinstance(w, dict) else {f"{at}{n}": w}).items()}
@@ -163,10 +224,10 @@ def baseline(table: DataFrame, features: Sequence[str], event: str, marker: str,
     return final, report
 
 
-def baselines(table: DataFrame, features: Sequence[str], events: dict[str, str], seeds: Sequence[int], out: str, rules: Rules = Rules(), model: Callable = ln.forest, space: dict[str, Sequence[Any]] | None = None, draws: int = 4, weights: Sequence[dict[str, Any]] = (), **how) -> dict[str, Any]:
+def baselines(table: DataFrame, features: Sequence[str], events: dict[str, str], seeds: Sequence[int], out: str, rules: Rules = Rules(), model: Callable = ln.forest, space: dict[str, Sequence[Any]] | None = None, draws: int = 4, weights: Sequence[dict[str, Any]] = (), suggest: bool = False, **how) -> dict[str, Any]:
     """Baselines of every event (label to marker column) and seed, with their files below ``out``; returns the summary.
 
-    For each: the split, settings drawn from ``space`` with their out-of-fold scores and the best of them, then
+    For each: the split, settings drawn from ``space`` (or suggested, see :func:`tuned`) with their out-of-fold scores and the best of them, then
     ``weights`` of near and far negatives likewise, the threshold, and the report of the final fit on held-out recordings.
     The summary has means and deviations over the seeds by event.  Recordings to be tested take no part in a search.
     """
@@ -185,7 +246,7 @@ def baselines(table: DataFrame, features: Sequence[str], events: dict[str, str],
                 positives = train.groupBy("rec").agg(F.sum("y").alias("positives"))
                 train = stash(train.join(ln.fold_groups(positives, ruled.folds), "rec"), "search")
                 if space:
-                    best, ranked = search(train, used, drawn(space, draws, seed), ruled, model, **chosen)
+                    best, ranked = tuned(train, used, space, draws, ruled, model, seed, **chosen) if suggest or any(isinstance(v, tuple) for v in space.values()) else search(train, used, drawn(space, draws, seed), ruled, model, **chosen)
                     chosen |= best
                     sinks.write_rows(ranked, spark, f"{at}/cv_candidates")
                     sinks.write_json(spark, best, f"{at}/best_params")

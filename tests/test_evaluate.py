@@ -72,3 +72,15 @@ def test_positions(spark):
     want = sorted(range(1000), key=lambda i: (-(i % 10), i))
     assert [got[i] for i in want] == list(range(1000))
     assert tb.positions(rows.limit(0), F.col("id")).count() == 0
+
+
+def test_suggested_settings_come_near_the_best():
+    space = {"a": (0.0, 10.0), "b": (1e-4, 1.0, "log"), "c": ["x", "y", "z"], "d": [4]}
+    value = lambda one: -((one["a"] - 7) ** 2) - (np.log10(one["b"]) + 2) ** 2 - (one["c"] != "y")
+    best = lambda seen: max(v for _, v in seen)
+    clever = [best(e.parzen(space, value, 60, seed)) for seed in range(10)]
+    blind = [best(e.parzen(space, value, 60, seed, startup=60)) for seed in range(10)]
+    assert np.mean(clever) > np.mean(blind) and np.median(clever) > -0.5
+    seen = e.parzen(space, value, 30, 1, first=[{"a": 1.0, "b": 0.1, "c": "z", "d": 4}])
+    assert seen[0][0] == {"a": 1.0, "b": 0.1, "c": "z", "d": 4} and seen == e.parzen(space, value, 30, 1, first=[seen[0][0]])
+    assert all(0 <= one["a"] <= 10 and 1e-4 <= one["b"] <= 1 and one["c"] in space["c"] and one["d"] == 4 for one, _ in seen)

@@ -76,7 +76,7 @@ def test_from_files_to_reports(spark, folder, tmp_path):
     assert abs(scaled.agg(F.avg("amag_mean")).first()[0]) < 1e-9
     assert spark.read.option("header", True).csv(str(tmp_path / "f/resampled/accel")).select("recording_id").distinct().count() == 9
     rules = ["--folds", "2", "--least_hours", "0.01", "--hit_window", "60", "--budget", "100", "--candidates", "32"]
-    more = ["--events", "TAKEOFF", "--seeds", "1", "2", "--draws", "1", "--space", '{"depth": [2, 3]}', "--weights", '[{"w_mid": 0.5, "w_far": 0.2}]', "--params", '{"trees": 4}']
+    more = ["--events", "TAKEOFF", "--seeds", "1", "2", "--draws", "2", "--suggest", "--space", '{"depth": [2, 3]}', "--weights", '[{"w_mid": 0.5, "w_far": 0.2}]', "--params", '{"trees": 4}']
     summary = main(["baseline", str(tmp_path / "f/features_imputed"), str(tmp_path / "b"), *rules, *more], spark)
     assert 0 <= summary["TAKEOFF"]["threshold"]["mean"] <= 1 and summary["TAKEOFF"]["test.pr_auc"]["mean"] > 0.3
     for seed in (1, 2):

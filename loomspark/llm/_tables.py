@@ -58,6 +58,15 @@ def stash(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is never broadcast, as its rows grow with the input.
+
+    The optimizer would broadcast it below a size that it estimates from files, without what ``explode`` adds to them and
+    with what their compression saves, and the driver would build the hash table.
+    """
+    return df.hint("merge")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a stashed table that no plan reads any longer."""
     jvm = spark.sparkContext._jvm

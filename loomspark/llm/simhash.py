@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._tables import stash, tune
+from loomspark.llm._tables import grown, stash, tune
 from loomspark.llm.components import components
 
 SHINGLE, SEED, RADIUS, HALF = 3, 42, 2, 32
@@ -70,7 +70,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` (signed) of the distinct fingerprints ``fp`` that differ in 1 to 2 bits; a pair may come twice.
 
     Each fingerprint gives 2 table rows and about 34 probes: of the two that differ by one bit in a segment, the one
-    with that bit clear probes.
+    with that bit clear probes.  Only the heavy buckets, 1 in 128 fingerprints at most, may be broadcast.
     """
     low = F.lit((1 << HALF) - 1)
     halves = F.array(F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(low).alias("seg")), F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", HALF).alias("seg")))
@@ -80,7 +80,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     entries = light.select("side", "seg", F.col("fp").alias("other")).unionByName(heavy.withColumn("other", F.lit(None).cast("long")).withColumn("is_heavy", F.lit(True)), allowMissingColumns=True)
     probes = table.select("fp", "side", "seg", F.explode(_array(_masks([0, 1]))).alias("mask")).where(F.col("mask").bitwiseAND(F.col("seg")) == 0)
     probes = probes.select("fp", "side", F.col("seg").bitwiseXOR(F.col("mask")).alias("seg"), "mask")
-    met = probes.join(entries, ["side", "seg"])
+    met = grown(probes).join(grown(entries), ["side", "seg"])
 
     exact = F.col("mask") == 0
     near = met.where(F.col("is_heavy").isNull() & (~exact | (F.col("fp") < F.col("other"))) & F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).between(1, RADIUS))
@@ -92,7 +92,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     ball = met.where("is_heavy").select("fp", "side", "mask", rest)
     ball = ball.select("fp", F.col("fp").bitwiseXOR(shift("mask", F.col("side") == 1)).bitwiseXOR(shift("rest", F.col("side") == 0)).alias("other"), "mask")
     ball = ball.where((F.col("mask") != 0) | (F.col("fp") < F.col("other")))
-    sure = ball.join(distinct.select(F.col("fp").alias("other")), "other", "left_semi").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    sure = ball.join(grown(distinct.select(F.col("fp").alias("other"))), "other", "left_semi").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
     return near.unionByName(sure)
 
 
@@ -101,10 +101,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     prints, _ = stash(fingerprints(docs), "fingerprints")
     named, _ = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots, _ = components(linked(named.select("fp")), "a", "b")
-    classes = named.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
+    classes = grown(named).join(grown(roots), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("class"))
     least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    classes = classes.select("fp", "class").join(least, "class")
-    return prints.join(classes, "fp", "left").select("doc_id", "key", "fp", "class", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes = grown(classes.select("fp", "class")).join(grown(least), "class")
+    return prints.join(grown(classes), "fp", "left").select("doc_id", "key", "fp", "class", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:

@@ -68,6 +68,28 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, heavy):
     assert got == want
 
 
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    distinct, _ = simhash.stash(spark.range(3000).select(F.xxhash64("id").alias("fp")), "distinct")
+    assert "SortMergeJoin [side#" in _final_plan(simhash.linked(distinct))
+    monkeypatch.setattr(simhash, "HEAVY", 0)
+    assert "SortMergeJoin [other#" in _final_plan(simhash.linked(distinct))
+    docs = spark.range(3000).selectExpr("id doc_id", "concat_ws(' ', id, id + 1, id % 7, id * id) text")
+    assert "Broadcast" not in _final_plan(simhash.grouped(docs))
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "a long, b long")
+    seen = []
+    monkeypatch.setattr(components, "FEW", 10)
+    monkeypatch.setattr(components, "stash", lambda df, label: (seen.append(_final_plan(df)), simhash.stash(df, label))[1])
+    roots = {r.node: r.root for r in components.components(links, "a", "b")[0].collect()}
+    assert roots == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
+    assert len(seen) > 2 and not any("Broadcast" in plan for plan in seen)
+
+
 def test_odd_texts_and_ids(spark):
     rows = [(5, None, "x"), (3, " \t", "y"), (9, "One", "y"), (9, "one", "y"), (None, "one", "z"), (4, "é É", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")

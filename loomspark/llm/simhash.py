@@ -128,7 +128,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     members = grouped(docs).groupBy("class", "doc_id", "key").agg(F.count("*").alias("n"))
     stay = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "n")).alias("m"))
     stay, _ = stash(stay.select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__key"), (F.col("m.n") > 1).alias("__repeated")), "groups")
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
+    kept = docs.join(grown(stay), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")))
     own = [F.col(f"`{c}`") for c in docs.columns]
     if stay.where("__repeated").isEmpty():
         return kept.select(*own)

@@ -80,6 +80,7 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin [other#" in _final_plan(simhash.linked(distinct))
     docs = spark.range(3000).selectExpr("id doc_id", "concat_ws(' ', id, id + 1, id % 7, id * id) text")
     assert "Broadcast" not in _final_plan(simhash.grouped(docs))
+    assert "Broadcast" not in _final_plan(simhash.keep_one(docs))
 
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "a long, b long")
     seen = []

@@ -30,10 +30,10 @@ def statistics(v: str, name: str) -> list[Column]:
 def compact(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], time: str = "s") -> DataFrame:
     """``rows`` with, for each column, the place ``__i`` of its value among the window's ``__n`` present ones, their mean and std, and the value before.
 
-    All columns share one sort by window and time.
+    All columns share one sort by window and time, and sums are taken in that order.
     """
-    whole = Window.partitionBy(*keys)
-    w = whole.orderBy(time)
+    w = Window.partitionBy(*keys).orderBy(time)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = {}
     for c in columns:
         out |= {
@@ -43,6 +43,13 @@ def compact(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], time:
     return rows.withColumns(out)
 
 
+def shape(c: str, name: str) -> dict[str, Column]:
+    """Skew and excess kurtosis of a compacted column, by its differences from the mean."""
+    n, sd = F.count(c), F.max(f"{c}__sd")
+    moment = lambda k: F.avg(F.pow(F.col(c) - F.col(f"{c}__mu"), F.lit(k))) / F.pow(sd, F.lit(k))
+    return {"skew": F.when((n >= 3) & (sd > 0), moment(3.0)).alias(f"{name}_skew"), "kurt": F.when((n >= 4) & (sd > 0), moment(4.0) - 3).alias(f"{name}_kurt")}
+
+
 def feature(c: str, kind: str, hz: float = 1.0, seconds: float = 2.0, time: str = "s", dead: float = 0.0) -> Column:
     """An order-sensitive feature of a compacted column: its missing values are left out before anything is counted."""
     y, i, n = F.col(c), F.col(f"{c}__i"), F.col(f"{c}__n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import scalars
@@ -650,6 +650,11 @@ def digits(c: str) -> int:
     return 1 if c in ("ground_vs_air_ratio", "vibration_vs_static_ratio") else 3 if "ahoriz" in c else 5
 
 
+def scaled_round(c: str, n: int) -> Column:
+    """A double to n digits as DuckDB rounds it: the nearest whole number of the scaled value, halves away from zero."""
+    return F.round(F.col(c) * 10.0**n) / 10.0**n
+
+
 def _moments_sql(c: str, name: str, *kinds: str) -> list[str]:
     every = {
         "mean": f"avg({c})", "std": f"stddev_pop({c})", "min": f"min({c})", "max": f"max({c})", "median": f"quantile_cont({c}, 0.5)", "iqr": f"quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)",
@@ -783,7 +788,10 @@ SELECT rec, grid, grid_id, k, round(ca, 5) AS accel_obs_coverage, round(cb, 5) A
 
 @query(sensor_sql())
 def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full feature table without filling, 80 hours of the events taken as a second of a sensor; features to 5 digits (times pi, no value is half of the last)."""
+    """The full feature table without filling, 80 hours of the events taken as a second of a sensor; features to 5 digits.
+
+    Times pi, no value of ax and p is half of the last digit; those of ay may be, so rounding scales first, as in the SQL.
+    """
     from loomspark.plans import sensors
 
     s = signal(spark, sf_dir).withColumn("t", F.col("t") / (80 * HOUR))
@@ -794,7 +802,7 @@ def sensor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sensors.signal_features(table)
     out = sensors.imputed(table)
     times = ("t_start", "t_end", "t_center", "t_anchor", "t_takeoff", "dist_to_takeoff", "dist_to_event", "accel_obs_coverage", "baro_obs_coverage", "log_dt_prev_end_s", "log_win_s", "dt_prev_end_s", "accel_coverage", "baro_coverage")
-    return out.withColumns({c: F.round(c, digits(c)) for c in [*found, *times]})
+    return out.withColumns({c: scaled_round(c, digits(c)) for c in [*found, *times]})
 
 
 def _bins_sql(name: str, where: str, step: float) -> str:

@@ -44,7 +44,7 @@ def _late(c: str, name: str, hz: float, *wanted: tuple[str, float]) -> list[Colu
 
 
 def _plain(c: str, name: str, *kinds: str) -> list[Column]:
-    every = dict(zip(MOMENTS, ft.statistics(c, name)))
+    every = dict(zip(MOMENTS, ft.statistics(c, name))) | ft.shape(c, name)
     return [every[k] if k != "maxabs" else F.max(F.abs(F.col(c))).alias(f"{name}_maxabs") for k in kinds]
 
 
@@ -68,7 +68,7 @@ def baro_streams(baro: DataFrame, cfg: Settings) -> DataFrame:
 def accel_features(rows: DataFrame, hz: float) -> DataFrame:
     """Features of the windows' accelerations (``rows``: samples in windows); only samples with all three axes count."""
     rows = rows.where(" and ".join(f"{c} is not null" for c in AXES))
-    x = ft.compact(rows, KEYS, ["amag", "dyn", "avert", "ahoriz", "amag_ema10"])
+    x = ft.compact(rows, KEYS, [*AXES, "amag", "dyn", "avert", "ahoriz", "amag_ema10"])
     x = x.withColumn("jerk", (F.col("amag") - F.col("amag__before")) * hz).withColumns({"jerk__i": F.col("amag__i") - 1, "jerk__n": F.col("amag__n") - 1})
     out = [e for c in (*AXES, "amag") for e in _plain(c, c, *MOMENTS)]
     out += [ft.feature("amag", k).alias(f"amag_{k}") for k in (*TREND, "peakcount")]

@@ -38,3 +38,13 @@ def test_entry(spark):
     assert FLAGSHIP in entry.queries()
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_halves_of_the_last_digit(spark, tmp_path):
+    """Recordings whose mean or kurtosis is half of the fifth digit, or a hair from it, are rounded as the SQL rounds them."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT event_id + shift * 100000 AS event_id, ts, user_id, event_type, value FROM '/root/testdata/sf0.1/events.parquet' JOIN (VALUES (729, 5), (624, 6), (562, 5), (964, 1)) t(user_id, shift) USING (user_id)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = QUERIES["sensor_features"](spark, str(tmp_path)).toPandas(), con.execute(ORACLES["sensor_features"]).df()
+    assert {3.15313, 2.34687} <= set(want.ay_mean) and {-1.21937, -0.94042} <= set(want.ay_kurt)
+    assert rows(got) == rows(want)
